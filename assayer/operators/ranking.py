@@ -142,12 +142,11 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFram
 
 
 def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` (1-based) by a numeric or time column, and ``n``.
-
-    Rows that share one ``order`` value with a large part of the table are cut
-    further by the first tie column's own order, so ties cannot pile up.
-    """
-    b = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_num", F.col(order).cast("double"))
+    """Add ``rank`` (1-based) by a numeric or time column, and ``n``."""
+    number = F.col(order)
+    if df.schema[order].dataType.typeName().startswith("timestamp"):
+        number = F.unix_micros(number.cast("timestamp"))
+    b = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_num", number.cast("double"))
     return (
         running(b, by, [order, *ties], ["_one"], bucket_on="_num")
         .withColumn("rank", (F.col("_one_before") + 1).cast("bigint"))
