@@ -1,6 +1,6 @@
 """All registered queries, grouped the way the operators are."""
 
-from assayer.plans.catalog import decisions, scalars, selection, sources  # noqa: F401
+from assayer.plans.catalog import decisions, guards, metrics, scalars, selection, sources  # noqa: F401
 from assayer.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

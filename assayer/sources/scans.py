@@ -82,7 +82,8 @@ def parse_vendor_results(docs: DataFrame, text: str = "text", key: str = "folder
     )
     scores = F.map_from_entries(F.transform(last, lambda m: F.struct(m["name"], m["score"])))
     verdicts = F.map_from_entries(F.transform(last, lambda m: F.struct(m["name"], F.coalesce(m["verdict"], F.lit("")))))
-    bad = F.exists(models, lambda m: m["name"].isNull() | m["score"].isNull())
+    misshapen = F.get_json_object(F.col(text), "$.models").isNotNull() & F.col("_d.models").isNull()
+    bad = misshapen | F.exists(models, lambda m: m["name"].isNull() | m["score"].isNull())
     ok = F.expr(f"try_parse_json(`{text}`)").isNotNull() & _is_object(F.col(text)) & ~bad
     return parsed.select(
         F.col(key).alias("cache_key"),
