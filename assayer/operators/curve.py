@@ -36,8 +36,13 @@ def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str
     Each bucket contributes its own inversions plus ``positives x negatives in
     earlier buckets``; the bucket table is all that crosses the second shuffle.
     """
+    return auc_of(compact(df, by, score, label, weight), by)
+
+
+def auc_of(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`auc` of an already compact table."""
     by = list(by)
-    b = with_value_bucket(compact(df, by, score, label, weight), "score", alike=("pos", "neg"))
+    b = with_value_bucket(cells, "score", alike=("pos", "neg"))
     lower = Window.partitionBy(*by, BUCKET).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (
         b.withColumn("_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
@@ -60,7 +65,11 @@ def auc(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str
 
 def curve(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """The full ROC table: per distinct score, counts at it, below it, in total."""
-    return running(compact(df, by, score, label, weight), by, ["score"], ["pos", "neg"], bucket_on="score")
+    return curve_of(compact(df, by, score, label, weight), by)
+
+
+def curve_of(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return running(cells, by, ["score"], ["pos", "neg"], bucket_on="score")
 
 
 def _order_stat(rank: Column, count: str) -> Column:
@@ -93,11 +102,16 @@ def tpr_at_fpr(
 ) -> DataFrame:
     """AUC plus, per named FPR, the share of positives strictly above the
     interpolated ``1 - fpr`` quantile of the negatives. NULL without both classes."""
-    by = list(by)
     fprs = fprs if fprs is not None else {"tpr_at_1pct": 0.01}
+    return tpr_of(compact(df, by, score, label, weight), by, fprs)
+
+
+def tpr_of(cells: DataFrame, by: Sequence[str], fprs: dict[str, float]) -> DataFrame:
+    """:func:`tpr_at_fpr` of an already compact table."""
+    by = list(by)
     if any(not 0.0 <= f <= 1.0 for f in fprs.values()):
         raise ValueError(f"false-positive rates must lie in [0, 1]: {fprs}")
-    r = curve(df, by, score, label, weight)
+    r = curve_of(cells, by)
     p, n = F.max("pos_total"), F.max("neg_total")
     aggs = [
         _ratio(F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)), p, n).alias("auc"),
