@@ -17,21 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    real = F.col("event_type").isin("view", "click")
-    return e.select(
-        F.col("event_id").cast("string").alias("sample_id"),
-        F.concat(F.lit("s"), "event_id").alias("source_id"),
-        F.concat(F.lit("u"), "user_id").alias("subject_id"),
-        F.when(~real, F.col("event_type")).alias("generator"),
-        F.when(real, 0).otherwise(1).alias("label"),
-        F.when(F.col("event_id") % 3 == 0, "c0").when(F.col("event_id") % 3 == 1, "c23").otherwise("c40").alias("compression"),
-        F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("stratum"),
-        F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"),
-        (F.lit(20) + F.col("event_id") % 100).cast("double").alias("inter_ocular_px"),
-        F.col("value").alias("blur_var"),
-        (F.col("user_id") % 60 - 10).cast("double").alias("yaw_deg"),
-        (F.regexp_extract("props", "([0-9]+)", 1).cast("double") / 100).alias("exposure"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "string(event_id) AS sample_id",
+        "'s' || event_id AS source_id",
+        "'u' || user_id AS subject_id",
+        "if(event_type IN ('view', 'click'), NULL, event_type) AS generator",
+        "if(event_type IN ('view', 'click'), 0, 1) AS label",
+        "elt(int(event_id % 3) + 1, 'c0', 'c23', 'c40') AS compression",
+        "'g' || (user_id % 4) AS stratum",
+        "'d' || (user_id % 20) AS domain",
+        "double(20 + event_id % 100) AS inter_ocular_px",
+        "value AS blur_var",
+        "double(user_id % 60 - 10) AS yaw_deg",
+        "double(regexp_extract(props, '([0-9]+)', 1)) / 100 AS exposure",
         "ts",
         "value",
     )
@@ -43,13 +41,13 @@ def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long detector scores with their record columns, from one narrow scan."""
-    reject, poor = F.col("band") == "reject", F.col("band").isin("reject", "low")
-    arms = F.array(
-        F.struct(F.lit("d_value").alias("detector"), F.when(~reject, F.col("value") / (F.col("value") + 50)).alias("score")),
-        F.struct(F.lit("d_exposure").alias("detector"), F.when(~poor, F.col("exposure")).alias("score")),
-        F.struct(F.lit("d_iod").alias("detector"), (F.col("inter_ocular_px") / 120).alias("score")),
+    return banded(spark, sf_dir).selectExpr(
+        "*",
+        """inline(array(
+          struct('d_value' AS detector, if(band = 'reject', NULL, value / (value + 50)) AS score),
+          struct('d_exposure', if(band IN ('reject', 'low'), NULL, exposure)),
+          struct('d_iod', inter_ocular_px / 120)))""",
     )
-    return banded(spark, sf_dir).withColumn("_arm", F.explode(arms)).select("*", "_arm.*").drop("_arm")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def tpr_of(cells: DataFrame, by: Sequence[str], fprs: dict[str, float]) -> DataF
         lo, hi, frac = _interpolated(1.0 - f, "neg")
         aggs.append((lo + (hi - lo) * frac).alias(f"_thr{i}"))
     head = r.groupBy(*by).agg(*aggs)
-    above = null_safe_join(r.select(*by, "score", "pos"), head, by)
+    above = null_safe_join(cells.select(*by, "score", "pos"), head, by)
     firsts = [F.first(c).alias(c) for c in ("auc", "n_pos", "n_neg")]
     hits = [
         F.when(

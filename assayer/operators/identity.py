@@ -36,18 +36,16 @@ def _blocked(df: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _fold_blocks(same: bool, threshold: float):
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         best, hits, pairs = -np.inf, 0, 0
         if len(a) and len(b):
             x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-            diagonal = same and key[0] == key[1]
-            if diagonal:
-                ids = a["id"].to_numpy()
+            left, right = a["id"].to_numpy(), b["id"].to_numpy()
             for lo in range(0, len(x), CHUNK_ROWS):
                 s = x[lo : lo + CHUNK_ROWS] @ y.T
-                if diagonal:
-                    keep = ids[lo : lo + CHUNK_ROWS, None] < b["id"].to_numpy()[None, :]
-                    s = s[keep]
+                if same and key[0] == key[1]:
+                    s = s[left[lo : lo + CHUNK_ROWS, None] < right[None, :]]
                 if s.size:
                     best = max(best, float(s.max()))
                     hits += int((s >= threshold).sum())
@@ -62,10 +60,11 @@ def _compare(a: DataFrame, b: DataFrame, threshold: float, same: bool) -> DataFr
     ab, na = _blocked(a)
     bb, nb = _blocked(b)
     first = F.col("_blk") if same else F.lit(0)
-    left = ab.withColumn("_n", nb).select("id", "v", F.col("_blk").alias("i"), F.explode(F.sequence(first, F.col("_n") - 1)).alias("j"))
     last = F.col("_blk") if same else F.col("_n") - 1
-    right = bb.withColumn("_n", na).select("id", "v", F.explode(F.sequence(F.lit(0), last)).alias("i"), F.col("_blk").alias("j"))
-    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_fold_blocks(same, threshold), "best double, hits long, pairs long")
+    left = ab.withColumn("_n", nb).select(F.lit(0).alias("side"), "id", "v", F.col("_blk").alias("i"), F.explode(F.sequence(first, F.col("_n") - 1)).alias("j"))
+    right = bb.withColumn("_n", na).select(F.lit(1).alias("side"), "id", "v", F.explode(F.sequence(F.lit(0), last)).alias("i"), F.col("_blk").alias("j"))
+    both = left.unionByName(right.select("side", "id", "v", "i", "j"))
+    parts = both.groupBy("i", "j").applyInPandas(_fold_blocks(same, threshold), "best double, hits long, pairs long")
     return parts.agg(F.max("best").alias("best"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 

@@ -31,17 +31,16 @@ BUCKET = "_bucket"
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that treats a NULL key as a value; right keys are dropped."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
     if not keys:
         # the right side is a global aggregate: exactly one row
-        return left.join(F.broadcast(renamed), how=how, on=F.lit(True))
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+        return left.join(F.broadcast(right), how=how, on=F.lit(True))
+    extra = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *extra)
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if i == 0 else cond & c
+    return left.join(renamed, cond, how).select(*left.columns, *extra)
 
 
 def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = ()) -> DataFrame:
@@ -50,7 +49,7 @@ def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = ()) -
     ``alike`` lists the columns the caller goes on to use: reading them in the
     sketch too makes both plans share one exchange instead of two.
     """
-    steps = F.array(*[F.lit(i / N_CUTS) for i in range(N_CUTS + 1)])
+    steps = F.expr("array(" + ", ".join(f"{i / N_CUTS}D" for i in range(N_CUTS + 1)) + ")")
     stats = (
         df.agg(
             F.count(F.lit(1)).alias("n"),
@@ -69,10 +68,9 @@ def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = ()) -
     sub = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * fine), F.lit(0)), fine)
     bucket = at.cast("bigint") * F.lit(1 << 33) + F.when(heavy, F.lit(1 << 32)).otherwise(sub)
     return (
-        df.withColumn("_stats", stats)
-        .withColumn("_at", F.when(n > ONE_BUCKET_ROWS, F.size(F.filter(cuts, lambda c: c < v))))
-        .withColumn(BUCKET, F.when(at.isNull(), F.lit(0)).otherwise(bucket).cast("bigint"))
-        .drop("_stats", "_at")
+        df.select("*", stats.alias("_stats"))
+        .select("*", F.when(n > ONE_BUCKET_ROWS, F.size(F.filter(cuts, lambda c: c < v))).alias("_at"))
+        .select(*df.columns, F.when(at.isNull(), F.lit(0)).otherwise(bucket).cast("bigint").alias(BUCKET))
     )
 
 
@@ -85,15 +83,9 @@ def with_hash_bucket(df: DataFrame, hashed: str) -> DataFrame:
     """Bucket on leading hash bits; uniform by construction, so no sketch."""
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(ROWS_PER_BUCKET)))).cast("int")
-    return (
-        df.withColumn("_n", n)
-        .withColumn(
-            BUCKET,
-            F.when(F.col("_n") <= ONE_BUCKET_ROWS, F.lit(0).cast("bigint")).otherwise(
-                F.floor(F.col(hashed) / F.pow(F.lit(2.0), F.lit(HASH_BITS) - bits)).cast("bigint")
-            ),
-        )
-        .drop("_n")
+    leading = F.floor(F.col(hashed) / F.pow(F.lit(2.0), F.lit(HASH_BITS) - bits))
+    return df.select("*", n.alias("_n")).select(
+        *df.columns, F.when(F.col("_n") <= ONE_BUCKET_ROWS, F.lit(0)).otherwise(leading).cast("bigint").alias(BUCKET)
     )
 
 
@@ -124,21 +116,16 @@ def running(
     )
     local = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = null_safe_join(b, offsets, [*by, BUCKET])
-    for s in sums:
-        joined = joined.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(local), F.lit(0)))
-    return joined.drop(BUCKET, *[f"_o_{s}" for s in sums])
+    before = [(F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(local), F.lit(0))).alias(f"{s}_before") for s in sums]
+    return joined.select(*[c for c in b.columns if c != BUCKET], *[f"{s}_total" for s in sums], *before)
 
 
 def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFrame:
     """Add ``rank`` (1-based, seeded random order within ``by``) and ``n``."""
-    hexed = df.withColumn("_hex", hash_hex(seed, key)).withColumn("_one", F.lit(1).cast("bigint"))
-    b = with_hash_bucket(hexed.withColumn("_h", leading_int(F.col("_hex"))), "_h")
-    return (
-        running(b, by, ["_hex", key], ["_one"])
-        .withColumn("rank", (F.col("_one_before") + 1).cast("bigint"))
-        .withColumnRenamed("_one_total", "n")
-        .drop("_hex", "_h", "_one", "_one_before")
-    )
+    hexed = df.select("*", hash_hex(seed, key).alias("_hex"))
+    b = with_hash_bucket(hexed.select("*", leading_int(F.col("_hex")).alias("_h"), F.lit(1).cast("bigint").alias("_one")), "_h")
+    r = running(b, by, ["_hex", key], ["_one"])
+    return r.select(*df.columns, F.col("_one_total").alias("n"), (F.col("_one_before") + 1).cast("bigint").alias("rank"))
 
 
 def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
@@ -146,10 +133,6 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[st
     number = F.col(order)
     if df.schema[order].dataType.typeName().startswith("timestamp"):
         number = F.unix_micros(number.cast("timestamp"))
-    b = df.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_num", number.cast("double"))
-    return (
-        running(b, by, [order, *ties], ["_one"], bucket_on="_num")
-        .withColumn("rank", (F.col("_one_before") + 1).cast("bigint"))
-        .withColumnRenamed("_one_total", "n")
-        .drop("_one", "_num", "_one_before")
-    )
+    b = df.select("*", F.lit(1).cast("bigint").alias("_one"), number.cast("double").alias("_num"))
+    r = running(b, by, [order, *ties], ["_one"], bucket_on="_num")
+    return r.select(*df.columns, F.col("_one_total").alias("n"), (F.col("_one_before") + 1).cast("bigint").alias("rank"))

@@ -17,6 +17,7 @@ from assayer.functions.scalar import finite
 from assayer.functions.seed import hash_int
 from assayer.operators.curve import auc_of, tpr_of
 from assayer.operators.ranking import hash_rank, null_safe_join
+from assayer.session import shared
 
 STATISTICS = ("auc", "tpr_at_fpr", "mean")
 
@@ -45,10 +46,10 @@ def replicate_cells(df: DataFrame, by: Sequence[str], group: str, replicates: in
     ``arms`` columns share one set of draws, which is what makes differences
     between arms paired.
     """
-    cells = _cells(df, [*by, *arms], group, score, label)
+    cells = shared(_cells(df, [*by, *arms], group, score, label))
     d = draws(cells, by, group, replicates, seed)
     x = null_safe_join(cells, d, [*by, group]).withColumn("rep", F.explode("reps"))
-    return x.groupBy(*by, *arms, "rep", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return shared(x.groupBy(*by, *arms, "rep", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
 def replicate_statistic(cells: DataFrame, keys: Sequence[str], stat: str = "auc", fpr: float = 0.01) -> DataFrame:

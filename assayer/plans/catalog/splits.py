@@ -13,6 +13,7 @@ from assayer.operators.curve import auc
 from assayer.plans.catalog.metrics import auc_sql, r6, tpr_sql
 from assayer.plans.catalog.registry import query
 from assayer.plans.catalog.selection import _md5
+from assayer.session import shared
 
 
 @query("F1_record_violations", """
@@ -51,7 +52,7 @@ def _relabelled(df):
 
 
 def assignments(spark, d):
-    return P.generator_folds(_relabelled(fx.records(spark, d)), 4)
+    return shared(P.generator_folds(_relabelled(fx.records(spark, d)), 4))
 
 
 @query("F2_generator_folds", f"WITH {_FOLDS} SELECT fold, sample_id, side FROM asg", ("fx_records",))

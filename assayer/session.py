@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a small loop-carried table in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a table that one job reads several times.
+
+    Blocks spill to disk, and a block lost with its executor is recomputed from
+    lineage. Plans that read the table see a leaf instead of its whole history.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
