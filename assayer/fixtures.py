@@ -45,8 +45,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*",
         """inline(array(
           struct('d_value' AS detector, if(band = 'reject', NULL, value / (value + 50)) AS score),
-          struct('d_exposure', if(band IN ('reject', 'low'), NULL, exposure)),
-          struct('d_iod', inter_ocular_px / 120)))""",
+          struct('d_exposure' AS detector, if(band IN ('reject', 'low'), NULL, exposure) AS score),
+          struct('d_iod' AS detector, inter_ocular_px / 120 AS score)))""",
     )
 
 

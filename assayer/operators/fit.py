@@ -202,8 +202,9 @@ def null_scores(train: DataFrame, test: DataFrame, width: int, key: str, n: int,
     lab = B.permuted_labels(train, key, "label", n, seed)
     rows = train.select(key, "x").join(lab, key).select(F.col("draw").cast("string").alias("problem"), "x", F.col("label").alias("y"), F.lit(1.0).alias("w"))
     model = fit_logistic(rows, width)
-    scored = test.select("x", "label", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("string").alias("problem")).join(model, "problem")
-    return scored.select(F.col("problem").cast("int").alias("draw"), "label", probability(F.col("x"), F.col("coef"), F.col("intercept"), width).alias("score"))
+    model = model.select(F.col("problem").cast("int").alias("draw"), "coef", "intercept")
+    scored = test.select("x", "label", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).join(model, "draw")
+    return scored.select("draw", "label", probability(F.col("x"), F.col("coef"), F.col("intercept"), width).alias("score"))
 
 
 def permutation_null(train: DataFrame, test: DataFrame, width: int, key: str, n: int = 12, seed: int = 0) -> DataFrame:

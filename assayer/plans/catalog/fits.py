@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 from assayer import fixtures as fx
 from assayer.operators import fit as L
 from assayer.operators import resample as B
-from assayer.operators.curve import auc
-from assayer.plans.catalog.metrics import r6
+from assayer.plans.catalog.metrics import auc_sql, r6
 from assayer.plans.catalog.registry import query
+from assayer.plans.catalog.selection import _md5
+from assayer.plans.catalog.splits import _MASKS, _SERPENT, draws_sql, weighted_auc_sql
 
 NEWTON_STEPS = 12
 
 
-def newton_sql(rows: str, key: str) -> str:
+def newton_sql(rows: str, key: str, w: str = "1.0") -> str:
     """One-feature regularised logistic regression by unrolled Newton steps."""
     steps = [f"b0 AS (SELECT DISTINCT {key} AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {rows})"]
     for i in range(NEWTON_STEPS):
-        steps.append(f"""s{i} AS (SELECT k, any_value(a) AS a, any_value(b) AS b, sum(p - y) AS ga, sum((p - y) * x) + any_value(b) AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p) * x * x) + 1 AS hbb
-  FROM (SELECT b{i}.k, a, b, r.x, r.y, 1 / (1 + exp(-(a + b * r.x))) AS p FROM {rows} r JOIN b{i} ON b{i}.k = r.{key}) GROUP BY k),
+        steps.append(f"""s{i} AS (SELECT k, any_value(a) AS a, any_value(b) AS b, sum(w * (p - y)) AS ga, sum(w * (p - y) * x) + any_value(b) AS gb, sum(w * p * (1 - p)) AS haa, sum(w * p * (1 - p) * x) AS hab, sum(w * p * (1 - p) * x * x) + 1 AS hbb
+  FROM (SELECT b{i}.k, a, b, r.x, r.y, {w} AS w, 1 / (1 + exp(-(a + b * r.x))) AS p FROM {rows} r JOIN b{i} ON b{i}.k = r.{key}) GROUP BY k),
 b{i + 1} AS (SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM s{i})""")
     return ",\n".join(steps)
 
 
 def features(spark, d):
-    return fx.banded(spark, d).withColumn("x", F.array(F.col("value") / 50, F.col("inter_ocular_px") / 100, F.col("exposure")))
+    """One informative feature, so every fit below has a plain SQL twin."""
+    return fx.records(spark, d).withColumn("x", F.array(F.col("value") / 50 + F.when(F.col("generator") == "error", 0.4).otherwise(0.0)))
+
+
+_X = "value / 50 + CASE WHEN generator = 'error' THEN 0.4 ELSE 0 END"
 
 
 @query("L1_logistic_fits", f"""
@@ -53,22 +58,32 @@ def platt_curves(spark, d):
     return c.select("detector", "band", (F.round("coef", 5) + 0.0).alias("coef"), (F.round("intercept", 5) + 0.0).alias("intercept"), r6("prior").alias("prior"))
 
 
-@query("L3_balanced_head")
+@query("L3_balanced_head", f"""
+WITH m AS (SELECT avg({_X}) AS mu, stddev_pop({_X}) AS sd, count(*) AS n, sum(label) AS n1 FROM fx_records),
+r AS (SELECT 'h' AS k, ({_X} - mu) / sd AS x, label AS y, n / (2.0 * CASE WHEN label = 1 THEN n1 ELSE n - n1 END) AS cw FROM fx_records, m), {newton_sql('r', 'k', 'r.cw')}
+SELECT round(a, 5) + 0.0 AS intercept, round(b, 5) + 0.0 AS coef, round(mu, 5) AS mean, round(sd, 5) AS scale FROM b{NEWTON_STEPS}, m""", ("fx_records",))
 def balanced_head(spark, d):
-    h = L.fit_head(features(spark, d), "x", 3, balanced=True)
-    each = lambda c: F.transform(c, lambda v: F.round(v, 5))
-    return h.select(F.round("intercept", 5).alias("intercept"), each("coef").alias("coef"), each("mean").alias("mean"), each("scale").alias("scale"))
+    h = L.fit_head(features(spark, d), "x", 1, balanced=True)
+    only = lambda c: (F.round(F.get(c, F.lit(0)), 5) + 0.0).alias(c)
+    return h.select((F.round("intercept", 5) + 0.0).alias("intercept"), only("coef"), only("mean"), only("scale"))
 
 
-@query("L4_out_of_fold_scores")
+@query("L4_out_of_fold_scores", f"""
+WITH g AS (SELECT subject_id, count(*) AS n_rows FROM fx_records GROUP BY 1), o AS (SELECT *, (row_number() OVER (ORDER BY {_SERPENT.format(md5=_md5(0, 'subject_id'))}, subject_id) - 1) % 10 AS pos FROM g),
+f AS (SELECT r.sample_id, r.subject_id, r.label, {_X} AS v, CAST(CASE WHEN pos < 5 THEN pos ELSE 9 - pos END AS INTEGER) AS fold FROM fx_records r JOIN o ON o.subject_id = r.subject_id),
+t AS (SELECT p.k, v, label FROM f, range(0, 5) p(k) WHERE fold <> p.k), st AS (SELECT k, avg(v) AS mu, stddev_pop(v) AS sd FROM t GROUP BY 1),
+r AS (SELECT t.k, (v - mu) / sd AS x, label AS y FROM t JOIN st ON st.k = t.k), {newton_sql('r', 'k')}
+SELECT sample_id, subject_id, label, fold, round(1 / (1 + exp(-(a + b * (v - mu) / sd))), 5) AS score FROM f JOIN st ON st.k = fold JOIN b{NEWTON_STEPS} n ON n.k = fold""", ("fx_records",))
 def out_of_fold_scores(spark, d):
-    return L.out_of_fold_scores(features(spark, d), "x", 3, "subject_id", "sample_id").withColumn("score", r6("score"))
+    return L.out_of_fold_scores(features(spark, d), "x", 1, "subject_id", "sample_id").withColumn("score", F.round("score", 5))
 
 
-@query("L5_family_refits")
+@query("L5_family_refits", f"""
+WITH {_MASKS}, r AS (SELECT held AS k, {_X} AS x, label AS y FROM m WHERE side = 'train'), {newton_sql('r', 'k')}
+SELECT held, sample_id, label, round(1 / (1 + exp(-(a + b * ({_X})))), 5) AS score FROM m JOIN b{NEWTON_STEPS} n ON n.k = held WHERE side = 'test'""", ("fx_records",))
 def family_refits(spark, d):
-    s = L.refit_folds(features(spark, d), "x", 3, "subject_id", "sample_id", 5)
-    return auc(s, ["held"]).withColumn("auc", r6("auc"))
+    s = L.refit_folds(features(spark, d), "x", 1, "subject_id", "sample_id", 5)
+    return s.select("held", "sample_id", "label", F.round("score", 5).alias("score"))
 
 
 @query("L6_shortcut_control")
@@ -83,14 +98,24 @@ def constant_control(spark, d):
     return L.in_sample_control(r, "x", 2, "subject_id")
 
 
-@query("L7_in_sample_control")
+@query("L7_in_sample_control", f"""
+WITH r AS (SELECT 'all' AS k, subject_id, {_X} AS x, label AS y FROM fx_records), {newton_sql('r', 'k')},
+s AS (SELECT r.k, subject_id, 1 / (1 + exp(-(a + b * x))) AS score, y AS label FROM r JOIN b{NEWTON_STEPS} n ON n.k = r.k), d AS {draws_sql('s', 'k', 'subject_id', 20, 0)},
+x AS (SELECT rep, score, label, w FROM s JOIN d ON d.subject_id = s.subject_id), q AS {weighted_auc_sql('x', 'rep')}, p AS {auc_sql('s', 'k')}
+SELECT round(max(auc), 5) AS auc, round(quantile_cont(stat, 0.025), 5) AS ci_lo, round(quantile_cont(stat, 0.975), 5) AS ci_hi, false AS constant FROM p, q""", ("fx_records",))
 def in_sample_control(spark, d):
-    return L.in_sample_control(features(spark, d), "x", 3, "subject_id", 20)
+    c = L.in_sample_control(features(spark, d), "x", 1, "subject_id", 20)
+    return c.select(*[F.round(k, 5).alias(k) for k in ("auc", "ci_lo", "ci_hi")], "constant")
 
 
-@query("L8_family_null")
+@query("L8_family_null", f"""
+WITH {_MASKS}, tr AS (SELECT sample_id, {_X} AS x, label FROM m WHERE held = 'error' AND side = 'train'), te AS (SELECT {_X} AS x, label FROM m WHERE held = 'error' AND side = 'test'),
+pl AS (SELECT draw, x, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '5', draw || '|' || sample_id)), draw || '|' || sample_id) <= (SELECT sum(label) FROM tr) THEN 1 ELSE 0 END AS y FROM tr, range(0, 6) t(draw)),
+r AS (SELECT draw AS k, x, y FROM pl), {newton_sql('r', 'k')},
+s AS (SELECT CAST(n.k AS INTEGER) AS draw, 1 / (1 + exp(-(a + b * x))) AS score, label FROM te, b{NEWTON_STEPS} n)
+SELECT draw, round(auc, 5) AS stat FROM {auc_sql('s', 'draw')}""", ("fx_records",))
 def family_null(spark, d):
-    return L.null_for_family(features(spark, d), "x", 3, "subject_id", "sample_id", "error", 6, 5).withColumn("stat", r6("stat"))
+    return L.null_for_family(features(spark, d), "x", 1, "subject_id", "sample_id", "error", 6, 5).withColumn("stat", F.round("stat", 5))
 
 
 @query("L9_null_verdict", """
