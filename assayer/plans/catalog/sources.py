@@ -26,7 +26,7 @@ def _session_docs(spark, d):
         .when(k % 10 == 2, F.concat(F.lit('{"session_id":"s'), ks, F.lit('","frame_count":"many"}')))
         .when(k % 10 == 3, F.lit('{"swapped":1,"frame_count":5,"decision":null}'))
         .otherwise(full))
-    return o.select(F.concat(F.lit("f"), ks).alias("folder"), text.alias("text"))
+    return scans.once(o, F.concat(F.lit("f"), ks).alias("folder"), text.alias("text")).select("folder", "text")
 
 
 @query("S1_sessions", """
@@ -59,14 +59,14 @@ SELECT cache_key, CASE WHEN f > 50 THEN 'MANIPULATED' ELSE 'AUTHENTIC' END AS ve
   CASE WHEN k % 5 = 0 THEN f / 200.0 ELSE greatest(f / 200.0, (k % 100) / 100.0) END AS max_model_score
 FROM (SELECT 'k' || event_id AS cache_key, event_id AS k, CAST(json_extract(props, '$.k') AS INTEGER) AS f FROM events) WHERE k % 11 <> 0""")
 def vendor_results(spark, d):
-    e = fx.table(spark, d, "events")
-    k, f = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    e = scans.once(fx.table(spark, d, "events").select("event_id", "props"), F.get_json_object("props", "$.k").cast("int").alias("f"))
+    k, f = F.col("event_id"), F.col("f")
     name = lambda n, score, bad: F.concat(F.lit('{"name":"' + n + '","score":'), score.cast("string"), F.lit(',"verdict":"'), F.when(bad, "MANIPULATED").otherwise("AUTHENTIC"), F.lit('"}'))
     m1, m2 = name("m1", f / 200.0, f > 30), name("m2", (k % 100) / 100.0, k % 2 == 0)
     text = F.when(k % 11 == 0, '{"models":[7]}').otherwise(F.concat(
         F.lit('{"verdict":"'), F.when(f > 50, "MANIPULATED").otherwise("AUTHENTIC"), F.lit('","score":'), (f / 100.0).cast("string"),
         F.lit(',"models":['), m1, F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(","), m2)), F.lit("]}")))
-    docs = e.select(F.concat(F.lit("k"), k.cast("string")).alias("folder"), text.alias("text"))
+    docs = scans.once(e.select(F.concat(F.lit("k"), k.cast("string")).alias("folder"), "event_id", "f"), text.alias("text")).select("folder", "text")
     return scans.parse_vendor_results(docs).where(F.col("reject_reason").isNull()).select(
         "cache_key", "verdict", "score", "n_models", "n_manipulated", "max_model_score")
 

@@ -23,20 +23,29 @@ def read_json_documents(spark: SparkSession, root: str, file_name: str) -> DataF
     )
 
 
+def once(df: DataFrame, *parsed: Column) -> DataFrame:
+    """Add columns that are computed once per row however often they are read.
+
+    Predicates are not pushed through a generator, so a filter on a parsed
+    field cannot drag a second copy of the parse below itself.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*parsed))))
+
+
 def _truthy(x: Column) -> Column:
     return F.coalesce(~F.lower(F.trim(x)).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
 
 
-def _is_object(text: Column) -> Column:
-    return F.trim(text).startswith("{")
+def _is_object(text: str) -> Column:
+    """A well-formed JSON object; arrays, scalars and broken text are not."""
+    return F.json_object_keys(F.col(text)).isNotNull()
 
 
 def parse_sessions(docs: DataFrame, text: str = "text", folder: str = "folder") -> DataFrame:
     """Session documents to columns; ``reject_reason`` is NULL on the good rows."""
     d = F.from_json(F.col(text), K.SESSION_JSON, {"mode": "PERMISSIVE"})
-    ok_shape = F.expr(f"try_parse_json(`{text}`)").isNotNull() & _is_object(F.col(text))
     count = F.expr("try_cast(_d.frame_count AS int)")
-    out = docs.withColumn("_d", d).withColumn("_ok", F.coalesce(ok_shape, F.lit(False)))
+    out = once(docs, d.alias("_d"), _is_object(text).alias("_ok"))
     reason = (
         F.when(~F.col("_ok"), "not_a_json_object")
         .when(F.col("_d.frame_count").isNotNull() & count.isNull(), "frame_count_not_an_integer")
@@ -72,31 +81,25 @@ def explode_frames(sessions: DataFrame) -> DataFrame:
 
 def parse_vendor_results(docs: DataFrame, text: str = "text", key: str = "folder") -> DataFrame:
     """Vendor documents to score and verdict maps plus their summaries."""
-    d = F.from_json(F.col(text), K.VENDOR_JSON)
-    parsed = docs.withColumn("_d", d)
-    models = F.coalesce(F.col("_d.models"), F.array().cast(K.VENDOR_JSON["models"].dataType))
+    has = F.get_json_object(F.col(text), "$.models").isNotNull()
+    parsed = once(docs.withColumnRenamed(key, "cache_key"), F.from_json(F.col(text), K.VENDOR_JSON).alias("_d"), _is_object(text).alias("_ok"), has.alias("_has"))
+    none = F.array().cast(K.VENDOR_JSON["models"].dataType)
+    flat = parsed.select("cache_key", "_d.verdict", "_d.score", F.col("_d.models").alias("_raw"), "_ok", "_has")
+    flat = flat.select("*", F.coalesce("_raw", none).alias("_m"), F.reverse(F.transform(F.coalesce("_raw", none), lambda m: m["name"])).alias("_rev"))
     # a repeated model name keeps its last entry, as a later write would
-    last = F.filter(
-        models,
-        lambda m, i: ~F.exists(F.slice(models, i + 2, F.greatest(F.size(models) - i - 1, F.lit(0))), lambda later: later["name"] == m["name"]),
-    )
-    scores = F.map_from_entries(F.transform(last, lambda m: F.struct(m["name"], m["score"])))
-    verdicts = F.map_from_entries(F.transform(last, lambda m: F.struct(m["name"], F.coalesce(m["verdict"], F.lit("")))))
-    misshapen = F.get_json_object(F.col(text), "$.models").isNotNull() & F.col("_d.models").isNull()
-    bad = misshapen | F.exists(models, lambda m: m["name"].isNull() | m["score"].isNull())
-    ok = F.expr(f"try_parse_json(`{text}`)").isNotNull() & _is_object(F.col(text)) & ~bad
-    return parsed.select(
-        F.col(key).alias("cache_key"),
-        F.coalesce("_d.verdict", F.lit("")).alias("verdict"),
-        F.col("_d.score").alias("score"),
-        F.when(ok, scores).alias("model_scores"),
-        F.when(ok, verdicts).alias("model_verdicts"),
-        F.when(~F.coalesce(ok, F.lit(False)), "unreadable").alias("reject_reason"),
-    ).select(
-        "*",
-        F.size("model_scores").alias("n_models"),
-        F.size(F.filter(F.map_values("model_verdicts"), lambda v: v == "MANIPULATED")).alias("n_manipulated"),
-        F.array_max(F.map_values("model_scores")).alias("max_model_score"),
+    size = F.size("_m")
+    last = F.filter("_m", lambda m, i: F.array_position("_rev", m["name"]) == size - i)
+    broken = (F.col("_has") & F.col("_raw").isNull()) | F.exists("_m", lambda m: m["name"].isNull() | m["score"].isNull())
+    ok = F.coalesce(F.col("_ok") & ~broken, F.lit(False))
+    kept = flat.select("cache_key", F.coalesce("verdict", F.lit("")).alias("verdict"), "score", F.when(ok, last).alias("_l"))
+    return kept.select(
+        "cache_key", "verdict", "score",
+        F.map_from_entries(F.transform("_l", lambda m: F.struct(m["name"], m["score"]))).alias("model_scores"),
+        F.map_from_entries(F.transform("_l", lambda m: F.struct(m["name"], F.coalesce(m["verdict"], F.lit(""))))).alias("model_verdicts"),
+        F.when(F.col("_l").isNull(), "unreadable").alias("reject_reason"),
+        F.size("_l").alias("n_models"),
+        F.size(F.filter("_l", lambda m: m["verdict"] == "MANIPULATED")).alias("n_manipulated"),
+        F.array_max(F.transform("_l", lambda m: m["score"])).alias("max_model_score"),
     )
 
 
