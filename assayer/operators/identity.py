@@ -36,7 +36,7 @@ def _blocked(df: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _fold_blocks(same: bool, threshold: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         best, hits, pairs = -np.inf, 0, 0
         if len(a) and len(b):

@@ -34,7 +34,8 @@ def acceptable(files: DataFrame, path: str = "path", size: str = "length") -> Da
 
 def watch_folder(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     """A stream of new files; the checkpoint makes each one arrive once."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(folder)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(folder)
     return acceptable(files)
 
 
