@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assayer.functions.seed import HASH_BITS, hash_hex, leading_int
@@ -43,9 +44,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).select(*left.columns, *extra)
 
 
-def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = ()) -> DataFrame:
+def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Add a bucket number that never decreases as ``order`` grows.
 
+    ``rows`` asks for buckets of about that many rows where the default is too big.
+
     ``alike`` lists the columns the caller goes on to use: reading them in the
     sketch too makes both plans share one exchange instead of two.
     """
@@ -61,15 +64,17 @@ def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = ()) -
     )
     v = F.col(order).cast("double")
     cuts, n, at = F.col("_stats.cuts"), F.col("_stats.n"), F.col("_at")
+    per_bucket = min(rows or ROWS_PER_BUCKET, ROWS_PER_BUCKET)
+    one_bucket = min(rows or ONE_BUCKET_ROWS, ONE_BUCKET_ROWS)
     below, above = F.get(cuts, at - 1), F.get(cuts, at)
-    fine = F.ceil(n / F.lit(N_CUTS * ROWS_PER_BUCKET))
+    fine = F.ceil(n / F.lit(N_CUTS * per_bucket))
     heavy = F.coalesce((v == above) & (F.get(cuts, at + 1) == above), F.lit(False))
     share = F.when(above > below, (v - below) / (above - below)).otherwise(F.lit(0.0))
     sub = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * fine), F.lit(0)), fine)
     bucket = at.cast("bigint") * F.lit(1 << 33) + F.when(heavy, F.lit(1 << 32)).otherwise(sub)
     return (
         df.select("*", stats.alias("_stats"))
-        .select("*", F.when(n > ONE_BUCKET_ROWS, F.size(F.filter(cuts, lambda c: c < v))).alias("_at"))
+        .select("*", F.when(n > one_bucket, F.size(F.filter(cuts, lambda c: c < v))).alias("_at"))
         .select(*df.columns, F.when(at.isNull(), F.lit(0)).otherwise(bucket).cast("bigint").alias(BUCKET))
     )
 
@@ -128,11 +133,35 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFram
     return r.select(*df.columns, F.col("_one_total").alias("n"), (F.col("_one_before") + 1).cast("bigint").alias("rank"))
 
 
+def _is_number(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
+
+
+def _split_ties(b: DataFrame, tie: str) -> DataFrame:
+    """Cut the buckets of single, very common values further, by the tie column.
+
+    Those buckets leave their low 32 bits unused; the tie column's own bucket
+    number goes there. Its bounds are sketched over the tied rows alone.
+    """
+    heavy = is_heavy(F.col(BUCKET))
+    t = b.select("*", F.when(heavy, F.col(tie)).alias("_tie")).withColumnRenamed(BUCKET, "_outer")
+    inner = with_value_bucket(t, "_tie")
+    at, sub = F.shiftright(F.col(BUCKET), 33), F.col(BUCKET) % F.lit(1 << 32)
+    low = at * F.lit(1 << 26) + F.least(sub, F.lit((1 << 26) - 1))
+    return inner.select(*[c for c in b.columns if c != BUCKET], (F.col("_outer") + F.when(is_heavy(F.col("_outer")), low).otherwise(0)).alias(BUCKET))
+
+
 def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` (1-based) by a numeric or time column, and ``n``."""
+    """Add ``rank`` (1-based) by a numeric or time column, and ``n``.
+
+    A single value that fills whole buckets is cut again by a numeric first tie.
+    """
     number = F.col(order)
     if df.schema[order].dataType.typeName().startswith("timestamp"):
         number = F.unix_micros(number.cast("timestamp"))
     b = df.select("*", F.lit(1).cast("bigint").alias("_one"), number.cast("double").alias("_num"))
-    r = running(b, by, [order, *ties], ["_one"], bucket_on="_num")
+    b = with_value_bucket(b, "_num")
+    if ties and _is_number(df, ties[0]):
+        b = _split_ties(b, ties[0])
+    r = running(b, by, [order, *ties], ["_one"])
     return r.select(*df.columns, F.col("_one_total").alias("n"), (F.col("_one_before") + 1).cast("bigint").alias("rank"))

@@ -1,25 +1,31 @@
 """Grouped bootstrap, paired differences and permutation tests.
 
 Groups are numbered once; a replicate draws as many numbers as there are
-groups. A group carries the list of replicates that drew it, rows meet that
-list by one join on the group and explode after it, so raw rows are never
-multiplied before they are compact and never shuffled per replicate.
+groups. A group carries the list of replicates that drew it and rows meet that
+list by one join on the group. For the AUC rows then move once, to their score
+bucket, and all replicates are counted there together as columns of a matrix;
+what leaves a bucket is three numbers per replicate. Other statistics explode
+the compact table after the join. Raw rows are never multiplied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from assayer.functions.scalar import finite
 from assayer.functions.seed import hash_int
 from assayer.operators.curve import auc_of, tpr_of
-from assayer.operators.ranking import hash_rank, null_safe_join
+from assayer.operators.ranking import BUCKET, hash_rank, is_heavy, null_safe_join, with_value_bucket
 from assayer.session import shared
 
 STATISTICS = ("auc", "tpr_at_fpr", "mean")
+MATRIX_CELLS = 4_000_000  # rows x replicates one task counts at a time
 
 
 def draws(groups: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int) -> DataFrame:
@@ -52,11 +58,65 @@ def replicate_cells(df: DataFrame, by: Sequence[str], group: str, replicates: in
     return shared(x.groupBy(*by, *arms, "rep", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
-def replicate_statistic(cells: DataFrame, keys: Sequence[str], stat: str = "auc", fpr: float = 0.01) -> DataFrame:
-    """One of :data:`STATISTICS` per replicate, NULL where it is undefined."""
+def _count_bucket(keys: Sequence[str], replicates: int, schema: pa.Schema) -> Callable:
+    """Positives, negatives and inversions per replicate inside one bucket."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        reps = table.column("reps").combine_chunks()
+        drawn = reps.flatten().to_numpy()
+        row = np.repeat(np.arange(len(reps)), reps.value_lengths().to_numpy(zero_copy_only=False))
+        values, at = np.unique(table.column("score").to_numpy(), return_inverse=True)
+        cell = at[row] * replicates + drawn
+
+        def counted(column: str) -> np.ndarray:
+            w = table.column(column).to_numpy()[row]
+            return np.bincount(cell, weights=w, minlength=len(values) * replicates).reshape(len(values), replicates)
+
+        p, n = counted("pos"), counted("neg")
+        u = (p * (np.cumsum(n, axis=0) - n / 2.0)).sum(axis=0)
+        p, n = p.sum(axis=0), n.sum(axis=0)
+        fixed = [pa.array([k.as_py()] * replicates, schema.field(i).type) for i, k in enumerate(key[: len(keys)])]
+        rest = [pa.array(np.arange(replicates, dtype="int32")), pa.array(p), pa.array(n), pa.array(u)]
+        return pa.Table.from_arrays([*fixed, *rest], schema=schema)
+
+    return run
+
+
+def replicate_auc(df: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int, arms: Sequence[str] = (),
+                  score: str = "score", label: str = "label") -> DataFrame:
+    """(by, arms, rep, stat): the AUC of every replicate, NULL where undefined.
+
+    A score carried by a large part of the cells is its own bucket and is split
+    by group: a single value has no order inside it, so its counts just add up.
+    """
+    cells = shared(_cells(df, [*by, *arms], group, score, label))
+    d = draws(cells, by, group, replicates, seed)
+    rows = max(500, MATRIX_CELLS // replicates)
+    keys = [*by, *arms]
+    b = with_value_bucket(cells, "score", alike=("pos", "neg"), rows=rows)
+    x = null_safe_join(b, d, [*by, group])
+    spread = F.pmod(hash_int(seed, group), F.lit(1024))
+    x = x.select(*keys, BUCKET, "score", "pos", "neg", "reps", is_heavy(F.col(BUCKET)).alias("_heavy"), F.when(is_heavy(F.col(BUCKET)), spread).otherwise(0).alias("_salt"))
+    out = [*keys, BUCKET, "_heavy"]
+    kinds = dict(x.select(*out).dtypes)
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    if not set(kinds.values()) <= set(arrow):
+        raise TypeError(f"keys must be plain columns, got {kinds}")
+    schema = pa.schema([(k, arrow[kinds[k]]) for k in out] + [("rep", pa.int32()), ("_p", pa.float64()), ("_n", pa.float64()), ("_u", pa.float64())])
+    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in out) + ", rep int, _p double, _n double, _u double"
+    parts = x.groupBy(*out, "_salt").applyInArrow(_count_bucket(out, replicates, schema), ddl)
+    whole = parts.groupBy(*out, "rep").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_u").alias("_u"))
+    lower = Window.partitionBy(*keys, "rep").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_n").over(lower), F.lit(0.0))
+    inside = F.when(F.col("_heavy"), F.col("_p") * F.col("_n") / 2.0).otherwise(F.col("_u"))
+    g = whole.select(*keys, "rep", "_p", "_n", (inside + F.col("_p") * below).alias("_w")).groupBy(*keys, "rep").agg(
+        F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return g.select(*keys, "rep", F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / (F.col("_p") * F.col("_n"))).alias("stat"))
+
+
+def replicate_statistic(cells: DataFrame, keys: Sequence[str], stat: str, fpr: float = 0.01) -> DataFrame:
+    """A statistic per replicate from exploded cells, NULL where it is undefined."""
     keys = [*keys, "rep"]
-    if stat == "auc":
-        return auc_of(cells, keys).select(*keys, F.col("auc").alias("stat"))
     if stat == "tpr_at_fpr":
         return tpr_of(cells, keys, {"stat": fpr}).select(*keys, "stat")
     if stat == "mean":
@@ -78,6 +138,8 @@ def interval(stats: DataFrame, by: Sequence[str], alpha: float = 0.05) -> DataFr
 def bootstrap_ci(df: DataFrame, by: Sequence[str], group: str, replicates: int = 1000, seed: int = 0, alpha: float = 0.05,
                  stat: str = "auc", fpr: float = 0.01, score: str = "score", label: str = "label") -> DataFrame:
     """Percentile interval of a statistic, resampling whole groups."""
+    if stat == "auc":
+        return interval(replicate_auc(df, by, group, replicates, seed, score=score, label=label), by, alpha)
     cells = replicate_cells(df, by, group, replicates, seed, score=score, label=label)
     return interval(replicate_statistic(cells, by, stat, fpr), by, alpha)
 
@@ -88,8 +150,7 @@ def paired_delta_ci(df: DataFrame, by: Sequence[str], group: str, baseline: str,
     arms = F.array(F.struct(F.lit(0).alias("arm"), F.col(baseline).alias("score")), F.struct(F.lit(1).alias("arm"), F.col(candidate).alias("score")))
     both = df.where(finite(baseline) & finite(candidate)).select(*by, F.col(group), F.col(label), F.inline(arms))
     delta = lambda c: F.max(F.when(F.col("arm") == 1, F.col(c))) - F.max(F.when(F.col("arm") == 0, F.col(c)))
-    cells = replicate_cells(both, by, group, replicates, seed, arms=["arm"], label=label)
-    per = replicate_statistic(cells, [*by, "arm"], "auc").groupBy(*by, "rep").agg(delta("stat").alias("stat"))
+    per = replicate_auc(both, by, group, replicates, seed, arms=["arm"], label=label).groupBy(*by, "rep").agg(delta("stat").alias("stat"))
     whole = _cells(both, [*by, "arm"], group, "score", label).groupBy(*by, "arm", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     point = auc_of(whole, [*by, "arm"]).groupBy(*by).agg(
         F.max(F.when(F.col("arm") == 0, F.col("auc"))).alias("baseline_auc"), F.max(F.when(F.col("arm") == 1, F.col("auc"))).alias("candidate_auc"),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from assayer.functions.seed import hash_hex
@@ -93,7 +94,10 @@ def positional_sample(df: DataFrame, by: str, order: str, key: str, k: int, seed
 
 
 def first_k(df: DataFrame, by: str, order: Sequence[str], k: int) -> DataFrame:
-    """First rows per group; Spark trims every task to ``k`` before the shuffle."""
+    """First rows per group. Up to ``GROUP_LIMIT`` Spark trims every task to ``k``
+    before the shuffle; a larger ``k`` over a numeric order takes the ranked path."""
+    if k > GROUP_LIMIT and isinstance(df.schema[order[0]].dataType, T.NumericType):
+        return ordered_rank(df, [by], order[0], order[1:]).where(F.col("rank") <= k).drop("rank", "n")
     w = Window.partitionBy(by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 

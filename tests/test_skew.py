@@ -99,3 +99,16 @@ def test_large_samples_use_ranks(df, monkeypatch):
     few = {r.id for r in S.balanced_limit(df, "label", "id", 60, 2, 1).collect()}
     monkeypatch.setattr(S, "GROUP_LIMIT", 1)
     assert {r.id for r in S.balanced_limit(df, "label", "id", 60, 2, 1).collect()} == few and len(few) == 60
+
+
+def test_ties_are_cut_by_the_tie_column(df):
+    b = R.with_value_bucket(df.withColumn("_num", F.col("score")), "_num")
+    before = b.groupBy(R.BUCKET).count().agg(F.max("count")).collect()[0][0]
+    after = R._split_ties(b, "id").groupBy(R.BUCKET).count().agg(F.max("count")).collect()[0][0]
+    assert before >= 300 and after < 60
+
+
+def test_first_k_beyond_the_group_limit(df, monkeypatch):
+    want = {r.id for r in S.first_k(df, "g", ["score", "id"], 5).collect()}
+    monkeypatch.setattr(S, "GROUP_LIMIT", 1)
+    assert {r.id for r in S.first_k(df, "g", ["score", "id"], 5).collect()} == want
