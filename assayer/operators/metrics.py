@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from assayer.functions.scalar import class_of, finite
 from assayer.operators.curve import quantiles, tpr_at_fpr
-from assayer.operators.ranking import BUCKET, null_safe_join, with_value_bucket
+from assayer.operators.ranking import BUCKET, null_safe_join, time_number, with_value_bucket
 
 
 def ece(df: DataFrame, by: Sequence[str] = (), prob: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
@@ -51,11 +51,8 @@ def autocorrelation_ess(df: DataFrame, group: str, order: str, value: str) -> Da
     straddles two buckets is stitched from their first and last values. A
     series of any length is thereby never ordered by one task.
     """
-    number = F.col(order)
-    if df.schema[order].dataType.typeName().startswith("timestamp"):
-        number = F.unix_micros(number.cast("timestamp"))
     v = F.col(value).cast("double")
-    base = df.select(group, number.cast("double").alias("_t"), F.col(order).alias("_o"), v.alias("_v"))
+    base = df.select(group, time_number(df, order).alias("_t"), F.col(order).alias("_o"), v.alias("_v"))
     mean = base.groupBy(group).agg(F.avg("_v").alias("_m"))
     b = with_value_bucket(null_safe_join(base, mean, [group]).withColumn("_c", F.col("_v") - F.col("_m")).drop("_m"), "_t")
     w = Window.partitionBy(group, BUCKET).orderBy("_o", "_v")

@@ -133,6 +133,21 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFram
     return r.select(*df.columns, F.col("_one_total").alias("n"), (F.col("_one_before") + 1).cast("bigint").alias("rank"))
 
 
+def time_number(df: DataFrame, name: str) -> Column:
+    """A number that grows with a time column whatever the session time zone.
+
+    A timestamp without zone is read field by field: converting it to an
+    instant would step backwards at a change of clocks.
+    """
+    kind = df.schema[name].dataType.typeName()
+    if kind == "timestamp_ntz":
+        t = F.col(name)
+        return (F.unix_date(t.cast("date")) * 86_400.0 + F.hour(t) * 3_600.0 + F.minute(t) * 60.0 + F.extract(F.lit("SECOND"), t).cast("double")).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(name).cast("double")
+    return F.col(name).cast("double")
+
+
 def _is_number(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
@@ -156,10 +171,7 @@ def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[st
 
     A single value that fills whole buckets is cut again by a numeric first tie.
     """
-    number = F.col(order)
-    if df.schema[order].dataType.typeName().startswith("timestamp"):
-        number = F.unix_micros(number.cast("timestamp"))
-    b = df.select("*", F.lit(1).cast("bigint").alias("_one"), number.cast("double").alias("_num"))
+    b = df.select("*", F.lit(1).cast("bigint").alias("_one"), time_number(df, order).alias("_num"))
     b = with_value_bucket(b, "_num")
     if ties and _is_number(df, ties[0]):
         b = _split_ties(b, ties[0])

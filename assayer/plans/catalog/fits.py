@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assayer import fixtures as fx
 from assayer.operators import fit as L
 from assayer.operators import resample as B
-from assayer.plans.catalog.metrics import auc_sql, r6
+from assayer.plans.catalog.metrics import auc_sql, ece_sql, r6
 from assayer.plans.catalog.registry import query
 from assayer.plans.catalog.selection import _md5
 from assayer.plans.catalog.splits import _MASKS, _SERPENT, draws_sql, weighted_auc_sql
@@ -127,8 +127,18 @@ def null_verdict(spark, d):
     return a.select("run", B.null_verdict(obs, F.col("lo"), F.col("hi"), 0.7).alias("verdict"))
 
 
-@query("L10_calibration_report")
+@query("L10_calibration_report", f"""
+WITH s AS (SELECT * FROM fx_joined WHERE score IS NOT NULL),
+g AS (SELECT subject_id, row_number() OVER (ORDER BY {_md5(2, 'subject_id')}, subject_id) <= greatest(1, round_even(count(*) OVER () * 0.3, 0)) AS is_test FROM (SELECT DISTINCT subject_id FROM s)),
+sp AS (SELECT s.detector, s.band, s.score, s.label, is_test FROM s JOIN g ON g.subject_id = s.subject_id),
+e AS (SELECT detector, band FROM sp WHERE NOT is_test GROUP BY 1, 2 HAVING count(*) >= 20 AND min(label) <> max(label)),
+r AS (SELECT sp.detector || '/' || sp.band AS k, score AS x, label AS y FROM sp JOIN e ON e.detector = sp.detector AND e.band = sp.band WHERE NOT is_test), {newton_sql('r', 'k')},
+j AS (SELECT detector, label, 1 / (1 + exp(-(a + b * score))) AS score FROM sp JOIN b{NEWTON_STEPS} n ON n.k = detector || '/' || band WHERE is_test), u AS {auc_sql('j', 'detector')}, c AS {ece_sql('j', 'detector')},
+fb AS (SELECT band, count(*) AS n FROM fx_banded GROUP BY 1), z AS (SELECT detector, count(*) FILTER (NOT is_test) AS n_fit, count(DISTINCT band) AS bands_seen FROM sp GROUP BY 1),
+q AS (SELECT detector, count(*) AS bands_fitted, sum(n) AS covered FROM e JOIN fb ON fb.band = e.band GROUP BY 1)
+SELECT z.detector, n_fit, n_pos + n_neg AS n_holdout, round(auc, 5) AS auc, round(ece, 5) AS ece, bands_fitted, bands_seen, round(covered / (SELECT sum(n) FROM fb), 6) AS fraction_covered
+FROM z JOIN q ON q.detector = z.detector JOIN u ON u.detector = z.detector JOIN c ON c.detector = z.detector""", ("fx_joined",))
 def calibration_report(spark, d):
     bands = fx.banded(spark, d).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     r = L.calibration_report(fx.scored(spark, d), "subject_id", 0.3, 2, bands)
-    return r.select("detector", "n_fit", "n_holdout", r6("auc").alias("auc"), r6("ece").alias("ece"), "bands_fitted", "bands_seen", r6("fraction_covered").alias("fraction_covered"))
+    return r.select("detector", "n_fit", "n_holdout", F.round("auc", 5).alias("auc"), F.round("ece", 5).alias("ece"), "bands_fitted", "bands_seen", r6("fraction_covered").alias("fraction_covered"))
