@@ -122,16 +122,14 @@ def tpr_of(cells: DataFrame, by: Sequence[str], fprs: dict[str, float]) -> DataF
         lo, hi, frac = _interpolated(1.0 - f, "neg")
         aggs.append((lo + (hi - lo) * frac).alias(f"_thr{i}"))
     head = r.groupBy(*by).agg(*aggs)
-    above = null_safe_join(cells.select(*by, "score", "pos"), head, by)
-    firsts = [F.first(c).alias(c) for c in ("auc", "n_pos", "n_neg")]
+    # reading both counts keeps this branch on the exchange the curve came from
+    above = null_safe_join(cells.select(*by, "score", "pos", "neg"), head.drop("n_pos", "n_neg"), by)
+    pos, neg = F.sum("pos"), F.sum("neg")
     hits = [
-        F.when(
-            (F.first("n_pos") > 0) & (F.first("n_neg") > 0),
-            F.sum(F.when(F.col("score") > F.col(f"_thr{i}"), F.col("pos")).otherwise(0)) / F.first("n_pos"),
-        ).alias(name)
+        F.when((pos > 0) & (neg > 0), F.sum(F.when(F.col("score") > F.col(f"_thr{i}"), F.col("pos")).otherwise(0)) / pos).alias(name)
         for i, name in enumerate(fprs)
     ]
-    return above.groupBy(*by).agg(*firsts, *hits)
+    return above.groupBy(*by).agg(F.first("auc").alias("auc"), pos.alias("n_pos"), neg.alias("n_neg"), *hits)
 
 
 def catch_at_budget(df: DataFrame, by: Sequence[str], budgets: dict[str, float], score: str = "score", label: str = "label") -> DataFrame:
