@@ -21,7 +21,7 @@ ANSWER = "chunk int, h1 binary"
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(chunk, id, text, row): row holds all other columns as a struct, so that no name can clash."""
-    n = max(2 * partitions(docs.sparkSession), chunk_count(docs, text))
+    n = chunk_count(docs, text)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return docs.select(
         F.expr(f"cast(pmod(xxhash64(coalesce(cast(`{id_col}` as long), xxhash64(`{text}`))), {n}) as int)").alias("chunk"),
@@ -32,7 +32,8 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 
 def bucket_count(docs: DataFrame) -> int:
-    return 2 * partitions(docs.sparkSession)
+    """Hash ranges: a row goes from each chunk to each range at most, so there are no more of them than tasks need."""
+    return partitions(docs.sparkSession)
 
 
 def _ranges(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import lines, simhash, substrings
+from assayer.llm import ann, bpe, langid, lines, minhash, packing, simhash, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,64 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_minhash")
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", packing.word_count().alias("n_words"), F.xxhash64("text").cast("string").alias("cluster"))
+    return packing.pack(docs, cluster="cluster")
+
+
+def _third(id_col: str, of: int):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _third("doc_id", 3) != 1)
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (_third("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query("op4_neighbours")
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, _third("doc_id", 5) != 0)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (_third("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
+@_query(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY h, n),
+    digits AS (SELECT page_id, n, first, list_transform(range(0, 32), lambda k: ('0x' || substr(h, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4)) & 31) AS v
+               FROM p JOIN f USING (h, n))
+    SELECT page_id, n AS payload_bytes, array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x::INT + 1, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM digits
+    """,
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"))
+
+
+@_query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")

@@ -53,40 +53,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 
 
 def planes_of(f: np.ndarray) -> np.ndarray:
-    """Bit planes: row j holds bit j of every fingerprint, 64 fingerprints to a word (padded with zeros)."""
-    n = -(-len(f) // 64) * 64
-    padded = np.zeros(n, np.uint64)
+    """Bit planes of fingerprints (n rows of 64-bit words): row j holds bit j of all, 64 fingerprints to a word."""
+    rows = -(-len(f) // 64) * 64
+    padded = np.zeros((rows, f.shape[1]), np.uint64)
     padded[: len(f)] = f
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
+class Tally:
+    """Distances of many lanes at once, kept as bit planes.
+
+    A difference bit is added by carry-save half adders. Counters begin so high that the carry out of the last plane
+    says that a lane has passed the radius; such a lane is dead for good.
+    """
+
+    def __init__(self, shape: tuple[int, ...], radius: int) -> None:
+        levels = int(radius + 1).bit_length()
+        start = (1 << levels) - 1 - radius
+        self.count = [np.full(shape, ONES if start >> k & 1 else 0, np.uint64) for k in range(levels)]
+        self.dead = np.zeros(shape, np.uint64)
+        self.spare = np.empty(shape, np.uint64)
+
+    def add(self, difference: np.ndarray) -> None:
+        """Takes the array over as scratch space."""
+        for c in self.count:
+            np.bitwise_and(c, difference, out=self.spare)
+            c ^= difference
+            difference, self.spare = self.spare, difference
+        self.dead |= difference
+
+    def over(self) -> bool:
+        return bool((self.dead == ONES).all())
+
+
 def within(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
     """For each query a row of words whose set bits are the fingerprints at most `radius` bits away.
 
-    Distances of 64 fingerprints live in one word of each counter plane; a difference bit is added by carry-save
-    half adders, and a lane that passes the radius is marked dead for good. When every lane of a block is dead the
-    rest of the bits is not looked at.
+    When every lane of a block is dead the rest of the bits is not looked at.
     """
-    levels = int(radius).bit_length()
-    shape = (len(queries), planes.shape[1])
-    count = [np.zeros(shape, np.uint64) for _ in range(levels)]
-    dead = np.zeros(shape, np.uint64)
-    limit = radius + 1
-    for j in range(64):
-        q = ((queries >> np.uint64(j)) & np.uint64(1)) * ONES
-        carry = planes[j][None, :] ^ q[:, None]
-        for c in count:
-            carry, c[...] = carry & c, carry ^ c
-        dead |= carry
-        if limit < 1 << levels:  # counters that stand at radius + 1
-            over = np.full(shape, ONES)
-            for k, c in enumerate(count):
-                over &= c if limit >> k & 1 else ~c
-            dead |= over
-        if j >= 7 and j % 8 == 7 and (dead == ONES).all():
+    tally = Tally((len(queries), planes.shape[1]), radius)
+    for j, plane in enumerate(planes):
+        q = ((queries[:, j // 64] >> np.uint64(j % 64)) & np.uint64(1)) * ONES
+        tally.add(plane[None, :] ^ q[:, None])
+        if j % 8 == 7 and tally.over():
             break
-    return ~dead
+    return ~tally.dead
 
 
 def close_pairs(f: np.ndarray, g: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,6 +110,34 @@ def close_pairs(f: np.ndarray, g: np.ndarray, radius: int) -> Iterator[tuple[np.
         yield lo + i, j
 
 
+def shifted_pairs(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of equal key within the radius, keys sorted: the planes against themselves moved by 1, 2, ... places."""
+    planes = planes_of(f)
+    left, right, d = [], [], 1
+    while d < len(f):
+        same = key[d:] == key[:-d]
+        if not same.any():
+            break
+        whole, part = divmod(d, 64)
+        tally = Tally((planes.shape[1],), radius)
+        tally.dead[:] = ONES
+        alive = np.packbits(same, bitorder="little")
+        tally.dead.view(np.uint8)[: len(alive)] ^= alive
+        for j, plane in enumerate(planes):
+            moved = np.zeros_like(plane)
+            moved[: len(plane) - whole] = plane[whole:] >> np.uint64(part)
+            if part:
+                moved[: len(plane) - whole - 1] |= plane[whole + 1 :] << np.uint64(64 - part)
+            tally.add(plane ^ moved)
+            if j % 8 == 7 and tally.over():
+                break
+        at = np.flatnonzero(np.unpackbits((~tally.dead).view(np.uint8), bitorder="little"))
+        left.append(at)
+        right.append(at + d)
+        d += 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
 def tile_edges(f: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) inside one bucket or tile. Rows with side 2 are compared with side 1 only, others among themselves."""
     one, two = np.flatnonzero(side != 2), np.flatnonzero(side == 2)
@@ -106,52 +146,48 @@ def tile_edges(f: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray
     for i, j in close_pairs(f[one], f[other], radius):
         root = local_roots(root, one[i], other[j])
     moved = np.flatnonzero(root != np.arange(len(f)))
-    return f[moved], f[root[moved]]
-
-
-def _small_runs(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges inside runs of equal keys: pair i with i + d, for growing d, over all runs at once."""
-    left, right, at, d = [], [], np.arange(len(f)), 1
-    while True:
-        at = at[at + d < len(f)]
-        at = at[key[at] == key[at + d]]
-        if not len(at):
-            break
-        planes = planes_of(f[at] ^ f[at + d])
-        ok = np.unpackbits(within(planes, np.zeros(1, np.uint64), radius)[0].view(np.uint8), bitorder="little")[: len(at)].astype(bool)
-        left.append(f[at[ok]])
-        right.append(f[at[ok] + d])
-        d += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.uint64),) * 2
+    return moved, root[moved]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first, as arrays of at least `rows` rows that never cut a run of equal keys."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for batch in batches:
+        part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held.append(part)
+        count += len(part[0])
+        if count < rows:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        if cut:
+            yield [c[:cut] for c in whole]
+        held, count = [[c[cut:] for c in whole]], len(whole[0]) - cut
+    if count:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def bucket_edges(key: np.ndarray, f: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect what lies within the radius, bucket by bucket of the sorted keys."""
+    cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    size = np.diff(cuts)
+    small = (size > 1) & (size <= 32) & (np.maximum.reduceat(side, cuts[:-1]) == 0)
+    rows = np.flatnonzero(np.repeat(small, size))
+    i, j = shifted_pairs(f[rows], key[rows], radius)
+    left, right = [rows[i]], [rows[j]]
+    for r in np.flatnonzero((size > 1) & ~small):
+        i, j = tile_edges(f[cuts[r] : cuts[r + 1]], side[cuts[r] : cuts[r + 1]], radius)
+        left.append(cuts[r] + i)
+        right.append(cuts[r] + j)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _edges_of_sorted(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def edges(key, f, side):
-            a, b = [], []
-            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            size = np.diff(cuts)
-            small = np.repeat((size <= 32) & (size > 1) & (np.maximum.reduceat(side, cuts[:-1]) == 0), size)
-            x, y = _small_runs(f[small], key[small], radius)
-            a.append(x), b.append(y)
-            for r in np.flatnonzero((size > 1) & ~small[cuts[:-1]]):
-                x, y = tile_edges(f[cuts[r] : cuts[r + 1]], side[cuts[r] : cuts[r + 1]], radius)
-                a.append(x), b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            part = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
-            if rest is not None:
-                part = [np.concatenate(p) for p in zip(rest, part, strict=True)]
-            cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
-            if cut:
-                yield edges(*(p[:cut] for p in part))
-            rest = [p[cut:] for p in part]
-        if rest is not None and len(rest[0]):
-            yield edges(*rest)
+        for key, f, side in runs_of(batches):
+            i, j = bucket_edges(key, f.view(np.uint64)[:, None], side, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[j])], ["a", "b"])
 
     return run
 
