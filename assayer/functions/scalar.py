@@ -95,12 +95,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def linear_probability(features: Column, mean: Sequence[float], scale: Sequence[float], weights: Sequence[float], bias: float) -> Column:
-    """Standardise, project, squash. The few parameters travel as literals, a
-    zero scale counts as one, and the sum stays inside code generation."""
-    z = F.lit(float(bias))
-    for i, (m, s, w) in enumerate(zip(mean, scale, weights, strict=True)):
-        z = z + (F.get(features, F.lit(i)) - F.lit(float(m))) / F.lit(float(s) or 1.0) * F.lit(float(w))
-    return 1.0 / (1.0 + F.exp(-z))
+    """Standardise, project, squash. The parameters travel as three array
+    literals, so the expression is as small at 768 features as at one; a zero
+    scale counts as one."""
+    array = lambda v: F.lit([float(x) for x in v])
+    slope = [float(w) / (float(s) or 1.0) for w, s in zip(weights, scale, strict=True)]
+    centred = F.zip_with(features, array(mean), lambda x, m: x - m)
+    return 1.0 / (1.0 + F.exp(-(dot(centred, array(slope)) + F.lit(float(bias)))))
 
 
 def feature_blocks(features: Column | str, first: int, width: int) -> tuple[Column, Column]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import schema as K
-from assayer.functions.scalar import model_verdict, verdict_name
+from assayer.functions.scalar import finite, model_verdict, verdict_name
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,16 @@ def sample_scores(frames: DataFrame, keys: list[str]) -> DataFrame:
 def to_evidence(scores: DataFrame, curves: DataFrame) -> DataFrame:
     """Calibrated log-likelihood ratio per score row, or an abstention.
 
+    A score that is NaN or infinite was not measured: it abstains with that
+    reason, and no raw score is kept.
+
     ``curves`` holds one row per (detector, band); Catalyst broadcasts it when
     its measured size allows and AQE falls back to a skew-split merge join.
     """
     c = curves.select("detector", "band", "coef", "intercept", "prior", "max_abs_llr")
     j = scores.join(c, ["detector", "band"], "left")
-    silent = F.coalesce(F.col("abstained"), F.lit(False)) | F.col("score").isNull()
+    broken = F.col("score").isNotNull() & ~finite("score")
+    silent = F.coalesce(F.col("abstained"), F.lit(False)) | ~finite("score")
     inside = (F.col("prior") > 0) & (F.col("prior") < 1)
     prior = F.when(inside, F.log(F.col("prior") / (1 - F.col("prior")))).otherwise(0.0)
     raw = F.col("coef") * F.col("score") + F.col("intercept") - prior
@@ -51,24 +56,28 @@ def to_evidence(scores: DataFrame, curves: DataFrame) -> DataFrame:
         F.when(silent | no_curve, 0.0).otherwise(llr).alias("llr"),
         F.when(~silent, F.col("score")).alias("raw_score"),
         (silent | no_curve).alias("abstained"),
-        F.when(silent, F.col("reason")).when(no_curve, "uncalibrated_for_band").otherwise("ok").alias("reason"),
+        F.when(broken, "not_measured").when(silent, F.col("reason")).when(no_curve, "uncalibrated_for_band").otherwise("ok").alias("reason"),
     )
 
 
 def fuse(evidence: DataFrame, samples: DataFrame | None = None, policy: Policy = Policy(), frames: DataFrame | None = None,
-         keep_evidence: bool = False) -> DataFrame:
+         keep_evidence: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
     """One decision per sample from a single grouping on ``sample_id``.
 
+    ``extra`` aggregates are taken in the same grouping and come out beside the
+    decision.
+
     ``keep_evidence`` also gathers the rows behind the decision: one per
     detector, so the array is as long as the detector list. Leave it off for
     per-frame evidence, whose length nothing bounds. ``frames`` may give ``(sample_id, n_frames,
     ess)`` for the effective-sample-size discount; ``samples`` keeps samples
     that have no evidence at all.
     """
-    llr = F.when(~F.col("abstained"), F.col("llr"))
+    llr = F.when(~F.col("abstained") & finite("llr"), F.col("llr"))
     entry = F.struct("detector", F.struct("abstained", "detector", "llr", "raw_score", "reason", F.col("detector_version").alias("version")).alias("e"))
     gathered = [F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("evidence")] if keep_evidence else []
     g = evidence.groupBy("sample_id").agg(
+        *[c.alias(k) for k, c in (extra or {}).items()],
         F.count(llr).alias("n_contributing"),
         F.coalesce(F.sum(llr), F.lit(0.0)).alias("_sum"),
         F.coalesce(F.sum(F.when(llr > 0, llr)), F.lit(0.0)).alias("_pos"),
@@ -81,10 +90,10 @@ def fuse(evidence: DataFrame, samples: DataFrame | None = None, policy: Policy =
         g = g.join(frames.select("sample_id", "n_frames", "ess"), "sample_id", "left")
     else:
         g = g.withColumn("n_frames", F.lit(1)).withColumn("ess", F.lit(None).cast("double"))
-    return _verdict(g, policy)
+    return _verdict(g, policy, list(extra or ()))
 
 
-def _verdict(g: DataFrame, policy: Policy) -> DataFrame:
+def _verdict(g: DataFrame, policy: Policy, kept: Sequence[str] = ()) -> DataFrame:
     n = F.coalesce(F.col("n_contributing"), F.lit(0))
     frames = F.coalesce(F.col("n_frames"), F.lit(1)).cast("double")
     eff = F.least(F.coalesce(F.col("ess"), F.lit(1.0)), frames)
@@ -103,7 +112,7 @@ def _verdict(g: DataFrame, policy: Policy) -> DataFrame:
     empty = F.array().cast("array<struct<abstained:boolean,detector:string,llr:double,raw_score:double,reason:string,version:string>>")
     return d.select(
         "sample_id", verdict.alias("verdict"), "llr_total", (1.0 / (1.0 + F.exp(-F.col("llr_total")))).alias("posterior"),
-        "disagreement", "n_contributing", ess.alias("ess"), *([F.coalesce("evidence", empty).alias("evidence")] if "evidence" in d.columns else []),
+        "disagreement", "n_contributing", ess.alias("ess"), *([F.coalesce("evidence", empty).alias("evidence")] if "evidence" in d.columns else []), *kept,
     )
 
 
@@ -206,20 +215,35 @@ def content_key(files: DataFrame, content: str, key: str) -> DataFrame:
 SCORER_SCHEMA = "sample_id string, detector string, version string, score double, abstained boolean, reason string"
 
 
-def isolated_scorer(items: DataFrame, detector: str, version: str, score_one: Callable[[pd.Series], float]) -> DataFrame:
-    """Run a Python scorer batch by batch; a row that raises abstains alone."""
+def isolated_scorer(items: DataFrame, detector: str, version: str, score: Callable[[pd.DataFrame], Sequence[float]]) -> DataFrame:
+    """Run a vectorised scorer on Arrow batches; a row that raises abstains alone.
+
+    ``score`` takes a frame and returns one number per row. A batch that raises
+    is halved until only the rows at fault are left, so a clean batch costs one
+    call and a bad row about two per halving.
+    """
+
+    def scored(pdf: pd.DataFrame) -> list[tuple[float | None, bool]]:
+        try:
+            values = np.asarray(score(pdf), dtype=float)
+            if len(values) != len(pdf):
+                raise ValueError("a scorer must return one number per row")
+            return [(float(v), False) for v in values]
+        except Exception:  # noqa: BLE001 - isolation is the point
+            if len(pdf) == 1:
+                return [(None, True)]
+            half = len(pdf) // 2
+            return scored(pdf.iloc[:half]) + scored(pdf.iloc[half:])
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                try:
-                    s = float(score_one(row))
-                    ok = s == s and abs(s) != float("inf")
-                    out.append((row["sample_id"], detector, version, s if ok else None, not ok, "ok" if ok else "not_measured"))
-                except Exception:  # noqa: BLE001 - isolation is the point
-                    out.append((row["sample_id"], detector, version, None, True, "detector_error"))
-            yield pd.DataFrame(out, columns=["sample_id", "detector", "version", "score", "abstained", "reason"])
+            got = scored(pdf) if len(pdf) else []
+            fine = [not failed and np.isfinite(v) for v, failed in got]
+            yield pd.DataFrame({
+                "sample_id": pdf["sample_id"].to_numpy(), "detector": detector, "version": version,
+                "score": [v if ok else None for (v, _), ok in zip(got, fine, strict=True)], "abstained": [not ok for ok in fine],
+                "reason": ["detector_error" if failed else "ok" if ok else "not_measured" for (_, failed), ok in zip(got, fine, strict=True)],
+            })
 
     return items.mapInPandas(run, schema=SCORER_SCHEMA)
 

@@ -14,24 +14,28 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import schema as K
+from assayer.functions.scalar import dot, finite
 from assayer.operators import resample as B
 from assayer.operators import splits as P
 from assayer.operators.curve import auc
-from assayer.operators.metrics import band_coverage, ece, standardiser
+from assayer.operators.metrics import ece, standardiser
 from assayer.operators.ranking import null_safe_join
 from assayer.session import cut_lineage, shared
 
 TOLERANCE = 1e-8
-PARTIAL = "problem string, pos int, v double"
+MAX_STEPS = 1000
+SPREAD = 32  # partial sums of one problem meet in this many tasks before the last
+PARTIAL = "problem string, part int, sums array<double>"
 STATE = "problem string, beta array<double>, best array<double>, loss double, step double"
 
 
 def _partial_sums(width: int) -> Callable:
-    """Per Arrow stream and problem: loss, gradient and upper Hessian, flattened."""
+    """Per task and problem one array: loss, gradient and upper Hessian."""
     d = width + 1
     upper = np.triu_indices(d)
 
@@ -49,8 +53,17 @@ def _partial_sums(width: int) -> Callable:
                 hess = (x * (w * p * (1.0 - p))[:, None]).T @ x
                 part = np.concatenate([[loss], grad, hess[upper]])
                 acc[problem] = acc[problem] + part if problem in acc else part
+        here = TaskContext.get().partitionId() % SPREAD
         for problem, part in acc.items():
-            yield pd.DataFrame({"problem": problem, "pos": np.arange(len(part), dtype="int32"), "v": part})
+            yield pd.DataFrame({"problem": [problem], "part": [here], "sums": [part]})
+
+    return run
+
+
+def _added(keys: list[str]) -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "sums": [total]})
 
     return run
 
@@ -85,32 +98,48 @@ def _newton(width: int, c: float) -> Callable:
     return run
 
 
-def fit_logistic(rows: DataFrame, width: int, c: float = 1.0, max_iter: int = 25) -> DataFrame:
-    """(problem, intercept, coef): L2 on the weights, none on the intercept.
+def fit_logistic(rows: DataFrame, width: int, c: float = 1.0, max_iter: int = MAX_STEPS) -> DataFrame:
+    """(problem, intercept, coef, converged): L2 on the weights, none on the intercept.
 
     ``rows`` is (problem, x array<double>, y, w). The objective is
-    ``c * sum(w * log loss) + |coef|^2 / 2``.
+    ``c * sum(w * log loss) + |coef|^2 / 2``. A problem still moving after
+    ``max_iter`` steps is refused by name; features or weights that are not
+    finite are refused before the first step. Steps stop for a problem once it
+    stands still, and only the others are summed again.
     """
     rows = shared(rows.select("problem", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")))
+    refuse_unmeasured(rows, "x")
     zero = F.array_repeat(F.lit(0.0), width + 1)
     state = cut_lineage(rows.select("problem").distinct().select(
         "problem", zero.alias("beta"), zero.alias("best"), F.lit(None).cast("double").alias("loss"), F.lit(None).cast("double").alias("step")))
+    moving = F.col("step").isNull() | (F.col("step") >= TOLERANCE)
     for _ in range(max_iter):
-        parts = rows.join(state.select("problem", "beta"), "problem").select("problem", "x", "y", "w", "beta").mapInPandas(_partial_sums(width), PARTIAL)
-        sums = parts.groupBy("problem", "pos").agg(F.sum("v").alias("v"))
-        packed = sums.groupBy("problem").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("sums"))
-        state = cut_lineage(packed.join(state.select("problem", "beta", "best", "loss"), "problem").mapInPandas(_newton(width, c), STATE))
-        if (state.agg(F.max("step")).collect()[0][0] or 0.0) < TOLERANCE:
+        live = state.where(moving)
+        parts = rows.join(live.select("problem", "beta"), "problem").select("problem", "x", "y", "w", "beta").mapInPandas(_partial_sums(width), PARTIAL)
+        parts = parts.groupBy("problem", "part").applyInPandas(_added(["problem", "part"]), PARTIAL)
+        packed = parts.groupBy("problem").applyInPandas(_added(["problem"]), "problem string, sums array<double>")
+        stepped = packed.join(live.select("problem", "beta", "best", "loss"), "problem").mapInPandas(_newton(width, c), STATE)
+        state = cut_lineage(stepped.unionByName(state.where(~moving)))
+        if state.where(moving).isEmpty():
             break
-    return state.select("problem", F.get("beta", F.lit(0)).alias("intercept"), F.slice("beta", 2, width).alias("coef"))
+    stuck = state.where(moving).agg(F.count(F.lit(1)).alias("n"), F.min("problem").alias("first")).first()
+    rows.unpersist()
+    if stuck.n:
+        raise ValueError(f"{stuck.n} fit(s) did not converge in {max_iter} steps, among them {stuck.first!r}")
+    return state.select("problem", F.get("beta", F.lit(0)).alias("intercept"), F.slice("beta", 2, width).alias("coef"), F.lit(True).alias("converged"))
 
 
-def probability(x: Column, coef: Column, intercept: Column, width: int) -> Column:
-    """Fitted probability as one generated expression."""
-    z = intercept
-    for i in range(width):
-        z = z + F.get(x, F.lit(i)) * F.get(coef, F.lit(i))
-    return 1.0 / (1.0 + F.exp(-z))
+def refuse_unmeasured(df: DataFrame, features: str) -> DataFrame:
+    """Features with a NULL, NaN or infinite entry belong in no fit."""
+    bad = df.where(F.col(features).isNull() | F.exists(features, lambda v: ~finite(v))).limit(1).count()
+    if bad:
+        raise ValueError(f"{features!r} holds rows that were measured in part only; drop or complete them before fitting")
+    return df
+
+
+def probability(x: Column, coef: Column, intercept: Column) -> Column:
+    """Fitted probability from arrays; the expression does not grow with their width."""
+    return 1.0 / (1.0 + F.exp(-(intercept + dot(x, coef))))
 
 
 def weights(label: Column, n0: Column, n1: Column, balanced: bool) -> Column:
@@ -125,7 +154,7 @@ def weights(label: Column, n0: Column, n1: Column, balanced: bool) -> Column:
 
 def calibration_eligibility(scores: DataFrame, by: Sequence[str] = ("detector", "band")) -> DataFrame:
     """Which bands may be fitted, and the prior that will be taken out again."""
-    s = scores.where(F.col("score").isNotNull())
+    s = scores.where(finite("score"))
     g = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("prior"), (F.min("label") != F.max("label")).alias("_two"))
     status = F.when(F.col("n") < K.MIN_FIT_SAMPLES, "too_few").when(~F.col("_two"), "one_class").otherwise("ok")
     return g.select(*by, "n", "prior", status.alias("status"))
@@ -135,7 +164,7 @@ def fit_curves(scores: DataFrame, by: Sequence[str] = ("detector", "band")) -> D
     """Per-band Platt curves; rows with equal score and label are weighted, not repeated."""
     ok = calibration_eligibility(scores, by).where(F.col("status") == "ok").select(*by, "prior")
     key = F.concat_ws("\u0001", *by)
-    cells = scores.where(F.col("score").isNotNull()).groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("w"))
+    cells = scores.where(finite("score")).groupBy(*by, "score", "label").agg(F.count(F.lit(1)).alias("w"))
     rows = cells.join(ok.select(*by), list(by), "left_semi").select(key.alias("problem"), F.array("score").alias("x"), F.col("label").alias("y"), "w")
     fitted = fit_logistic(rows, 1)
     return ok.withColumn("problem", key).join(fitted, "problem").select(
@@ -146,8 +175,8 @@ def fit_curves(scores: DataFrame, by: Sequence[str] = ("detector", "band")) -> D
 # --- heads, folds and controls -----------------------------------------------
 
 
-def _standardise(x: str, width: int) -> Column:
-    return F.array(*[(F.get(x, F.lit(i)) - F.get("mean", F.lit(i))) / F.get("scale", F.lit(i)) for i in range(width)])
+def _standardise(x: str) -> Column:
+    return F.zip_with(F.zip_with(x, "mean", lambda v, m: v - m), "scale", lambda v, s: v / s)
 
 
 def fit_head(df: DataFrame, features: str, width: int, label: str = "label", balanced: bool = False, c: float = 1.0) -> DataFrame:
@@ -157,9 +186,9 @@ def fit_head(df: DataFrame, features: str, width: int, label: str = "label", bal
         raise ValueError(f"cannot fit on one class: {n.n0} real, {n.n1} fake")
     std = shared(standardiser(df, features, width))
     z = null_safe_join(df, std, []).select(
-        F.lit("head").alias("problem"), _standardise(features, width).alias("x"), F.col(label).alias("y"),
+        F.lit("head").alias("problem"), _standardise(features).alias("x"), F.col(label).alias("y"),
         weights(F.col(label), F.lit(float(n.n0)), F.lit(float(n.n1)), balanced).alias("w"))
-    return null_safe_join(fit_logistic(z, width, c).drop("problem"), std, [])
+    return null_safe_join(fit_logistic(z, width, c).drop("problem", "converged"), std, [])
 
 
 def out_of_fold_scores(df: DataFrame, features: str, width: int, group: str, key: str, k: int = 5, seed: int = 0, c: float = 1.0) -> DataFrame:
@@ -172,10 +201,10 @@ def out_of_fold_scores(df: DataFrame, features: str, width: int, group: str, key
     train = folded.select("fold", "_x", "label").withColumn("problem", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("problem") != F.col("fold"))
     usable = train.groupBy("problem").agg((F.min("label") != F.max("label")).alias("_two")).where("_two").select("problem")
     std = shared(standardiser(train.join(usable, "problem"), "_x", width, ["problem"]))
-    rows = train.join(std, "problem").select(F.col("problem").cast("string").alias("problem"), _standardise("_x", width).alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w"))
+    rows = train.join(std, "problem").select(F.col("problem").cast("string").alias("problem"), _standardise("_x").alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w"))
     model = fit_logistic(rows, width, c).join(std.withColumn("problem", F.col("problem").cast("string")), "problem")
     test = folded.join(model.withColumn("fold", F.col("problem").cast("int")).drop("problem"), "fold", "left")
-    return test.select(key, group, "label", "fold", probability(_standardise("_x", width), F.col("coef"), F.col("intercept"), width).alias("score"))
+    return test.select(key, group, "label", "fold", probability(_standardise("_x"), F.col("coef"), F.col("intercept")).alias("score"))
 
 
 def refit_folds(df: DataFrame, features: str, width: int, group: str, key: str, seed: int = 0) -> DataFrame:
@@ -187,7 +216,7 @@ def refit_folds(df: DataFrame, features: str, width: int, group: str, key: str,
     rows = train.select(F.col("held").alias("problem"), F.col("_x").alias("x"), F.col("label").alias("y"), F.lit(1.0).alias("w"))
     model = fit_logistic(rows, width).withColumnRenamed("problem", "held")
     test = masks.where(F.col("side") == "test").join(model, "held")
-    return test.select("held", key, group, "label", probability(F.col("_x"), F.col("coef"), F.col("intercept"), width).alias("score"))
+    return test.select("held", key, group, "label", probability(F.col("_x"), F.col("coef"), F.col("intercept")).alias("score"))
 
 
 def require_two_families(df: DataFrame) -> None:
@@ -204,32 +233,34 @@ def null_scores(train: DataFrame, test: DataFrame, width: int, key: str, n: int,
     model = fit_logistic(rows, width)
     model = model.select(F.col("problem").cast("int").alias("draw"), "coef", "intercept")
     scored = test.select("x", "label", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw")).join(model, "draw")
-    return scored.select("draw", "label", probability(F.col("x"), F.col("coef"), F.col("intercept"), width).alias("score"))
+    return scored.select("draw", "label", probability(F.col("x"), F.col("coef"), F.col("intercept")).alias("score"))
 
 
 def permutation_null(train: DataFrame, test: DataFrame, width: int, key: str, n: int = 12, seed: int = 0) -> DataFrame:
     """(draw, stat): transfer AUC of every refit; an undefined one stays NULL."""
     two = train.agg(F.min("label"), F.max("label")).collect()[0]
     if two[0] == two[1]:
-        raise ValueError("a one-class label vector permutes to itself")
+        raise ValueError("the training labels hold one class only, so shuffling them gives no null to compare with")
     return auc(null_scores(train, test, width, key, n, seed), ["draw"]).select("draw", F.col("auc").alias("stat"))
 
 
 def run_control(df: DataFrame, features: str, width: int, group: str, key: str, seed: int = 0, n_null: int = 24, replicates: int = 200) -> DataFrame:
     """Does a shortcut feature alone separate the classes across groups?
 
-    Rows whose features were all unmeasured are dropped, groups are split with
+    Rows whose features were all unmeasured are dropped, partly measured ones
+    are refused, groups are split with
     both classes on both sides, and the real fit is compared with the range of
     fits on shuffled labels.
     """
     x = F.col(features).cast("array<double>")
-    kept = df.where(F.exists(x, lambda v: v.isNotNull() & ~F.isnan(v))).select(key, group, "label", x.alias("x"))
+    kept = df.where(F.exists(x, finite)).select(key, group, "label", x.alias("x"))
+    refuse_unmeasured(kept, "x")
     split = shared(P.class_aware_split(kept, group, "label", seed))
     P.require_both_classes(split, "label")
     fit, test = split.where(F.col("side") == "fit"), split.where(F.col("side") == "test")
     model = fit_logistic(fit.select(F.lit("observed").alias("problem"), "x", F.col("label").alias("y"), F.lit(1.0).alias("w")), width)
-    scored = shared(null_safe_join(test, model.drop("problem"), []).select(
-        key, group, "label", probability(F.col("x"), F.col("coef"), F.col("intercept"), width).alias("score")))
+    scored = shared(null_safe_join(test, model.drop("problem", "converged"), []).select(
+        key, group, "label", probability(F.col("x"), F.col("coef"), F.col("intercept")).alias("score")))
     observed = auc(scored).select(F.col("auc").alias("observed"))
     null = B.permutation_p(permutation_null(fit, test, width, key, n_null, seed), observed)
     ci = B.bootstrap_ci(scored, [], group, replicates, seed).select("ci_lo", "ci_hi")
@@ -246,7 +277,7 @@ def in_sample_control(df: DataFrame, features: str, width: int, group: str, repl
         return df.agg(F.lit(0.5).alias("auc"), F.lit(None).cast("double").alias("ci_lo"), F.lit(None).cast("double").alias("ci_hi"), F.lit(True).alias("constant"))
     x = df.select(group, "label", F.col(features).cast("array<double>").alias("x"))
     model = fit_logistic(x.select(F.lit("control").alias("problem"), "x", F.col("label").alias("y"), F.lit(1.0).alias("w")), width)
-    scored = shared(null_safe_join(x, model.drop("problem"), []).select(group, "label", probability(F.col("x"), F.col("coef"), F.col("intercept"), width).alias("score")))
+    scored = shared(null_safe_join(x, model.drop("problem", "converged"), []).select(group, "label", probability(F.col("x"), F.col("coef"), F.col("intercept")).alias("score")))
     ci = B.bootstrap_ci(scored, [], group, replicates, 0)
     return null_safe_join(auc(scored).select("auc"), ci, []).select("auc", "ci_lo", "ci_hi", F.lit(False).alias("constant"))
 
@@ -259,7 +290,7 @@ def null_for_family(df: DataFrame, features: str, width: int, group: str, key: s
 
 def calibration_report(scores: DataFrame, group: str, fraction: float, seed: int, frames_by_band: DataFrame) -> DataFrame:
     """Per detector: fit on most subjects, judge the curves on the others."""
-    split = shared(P.group_holdout(scores.where(F.col("score").isNotNull()), group, fraction, seed))
+    split = shared(P.group_holdout(scores.where(finite("score")), group, fraction, seed))
     curves = shared(fit_curves(split.where(F.col("side") == "train")))
     held = split.where(F.col("side") == "test").join(curves.select("detector", "band", "coef", "intercept"), ["detector", "band"])
     judged = shared(held.select("detector", "label", (1.0 / (1.0 + F.exp(-(F.col("coef") * F.col("score") + F.col("intercept"))))).alias("score")))
@@ -272,8 +303,3 @@ def calibration_report(scores: DataFrame, group: str, fraction: float, seed: int
         "detector", "n_fit", (F.coalesce("n_pos", F.lit(0)) + F.coalesce("n_neg", F.lit(0))).alias("n_holdout"), "auc", F.when(F.col("auc").isNotNull(), F.col("ece")).alias("ece"),
         F.coalesce("bands_fitted", F.lit(0)).alias("bands_fitted"), "bands_seen", (F.coalesce("_c", F.lit(0)) / F.col("_t")).alias("fraction_covered"))
 
-
-__all__ = [
-    "band_coverage", "calibration_eligibility", "calibration_report", "fit_curves", "fit_head", "fit_logistic", "in_sample_control",
-    "null_for_family", "out_of_fold_scores", "permutation_null", "refit_folds", "require_two_families", "run_control",
-]

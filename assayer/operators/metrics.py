@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -226,15 +228,13 @@ def corpus_block(records: DataFrame) -> DataFrame:
 def standardiser(df: DataFrame, features: str, width: int, by: Sequence[str] = ()) -> DataFrame:
     """Mean and population spread per feature index; a near-zero spread is one.
 
-    One aggregate per column keeps the scan in generated code with no explode.
+    One vector aggregate, combined map-side, whose plan does not grow with the
+    width; NULL entries are refused by the fits, not skipped here.
     """
-    aggs = []
-    for i in range(width):
-        x = F.get(features, F.lit(i)).cast("double")
-        aggs += [F.avg(x).alias(f"_m{i}"), F.stddev_pop(x).alias(f"_s{i}")]
-    g = df.groupBy(*by).agg(*aggs)
-    scale = [F.when(F.col(f"_s{i}") < 1e-9, 1.0).otherwise(F.col(f"_s{i}")) for i in range(width)]
-    return g.select(*by, F.array(*[F.col(f"_m{i}") for i in range(width)]).alias("mean"), F.array(*scale).alias("scale"))
+    v = array_to_vector(F.col(features).cast("array<double>"))
+    g = df.groupBy(*by).agg(F.count(features).alias("_n"), Summarizer.metrics("mean", "variance").summary(v).alias("_s"))
+    spread = F.transform(vector_to_array("_s.variance"), lambda x: F.sqrt(x * (F.col("_n") - 1) / F.col("_n")))
+    return g.where("_n > 0").select(*by, vector_to_array("_s.mean").alias("mean"), F.transform(spread, lambda s: F.when(s < 1e-9, 1.0).otherwise(s)).alias("scale"))
 
 
 def face_summary(frames: DataFrame, key: str, faces: str) -> DataFrame:

@@ -5,10 +5,12 @@ cut into order-preserving buckets, each bucket is summed, the (small) bucket
 table is prefix-summed, and only then does a window run - over one bucket.
 
 Bucket bounds come from the table itself: a quantile sketch over all rows, read
-through an uncorrelated scalar subquery. A bucket therefore holds about
-``1 / buckets`` of *all* rows whichever key they carry, so one key holding a
-third of the table is spread over a third of the buckets. Tables under
-``ONE_BUCKET_ROWS`` stay in a single bucket and pay for no split.
+through an uncorrelated scalar subquery. Every bound is a quantile, so a bucket
+holds its share of *all* rows however the values are spread and whichever key
+they carry; one key holding a third of the table fills a third of the buckets.
+The number of bounds used follows from the row count: buckets hold about
+``ROWS_PER_BUCKET`` rows, and never more than about two of the ``CUTS`` parts of
+the table, but for a single common value, which is a bucket by itself.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql.window import Window
 
 from assayer.functions.seed import HASH_BITS, hash_hex, leading_int
 
-N_CUTS = 32
-SKETCH_ACCURACY = 2000
-ONE_BUCKET_ROWS = 1_000_000
+FAN = 16
+CUTS = FAN**3  # bounds the sketch yields; a row finds its place among them in three looks at FAN each
+SKETCH_ACCURACY = 10 * CUTS
 ROWS_PER_BUCKET = 200_000
 
 BUCKET = "_bucket"
@@ -52,30 +54,28 @@ def with_value_bucket(df: DataFrame, order: str, *, alike: Sequence[str] = (), r
     ``alike`` lists the columns the caller goes on to use: reading them in the
     sketch too makes both plans share one exchange instead of two.
     """
-    steps = F.expr("array(" + ", ".join(f"{i / N_CUTS}D" for i in range(N_CUTS + 1)) + ")")
-    stats = (
-        df.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col(order).cast("double"), steps, F.lit(SKETCH_ACCURACY)).alias("cuts"),
-            *[F.max(c).alias(f"_{c}") for c in alike],
-        )
-        .select(F.struct("*").alias("s"))
-        .scalar()
+    # the sketch wants a constant: one text literal, not CUTS + 1 of them
+    steps = F.split(F.lit(",".join(str(i / CUTS) for i in range(CUTS + 1))), ",").cast("array<double>")
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(F.col(order).cast("double"), steps, F.lit(SKETCH_ACCURACY)).alias("all"),
+        *[F.max(c).alias(f"_{c}") for c in alike],
     )
+    stride = F.greatest(F.lit(1), F.floor(F.lit(CUTS) * min(rows or ROWS_PER_BUCKET, ROWS_PER_BUCKET) / F.greatest(F.col("n"), F.lit(1)))).cast("int")
+    every = lambda c, k: F.filter(c, lambda _, i: i % k == 0)
+    cuts = counted.withColumn("_stride", stride).withColumn("c", every(F.col("all"), F.col("_stride")))
+    stats = cuts.select(F.struct("c", every(F.col("c"), F.lit(FAN)).alias("b"), every(F.col("c"), F.lit(FAN * FAN)).alias("a"), *[f"_{c}" for c in alike]).alias("s")).scalar()
     v = F.col(order).cast("double")
-    cuts, n, at = F.col("_stats.cuts"), F.col("_stats.n"), F.col("_at")
-    per_bucket = min(rows or ROWS_PER_BUCKET, ROWS_PER_BUCKET)
-    one_bucket = min(rows or ONE_BUCKET_ROWS, ONE_BUCKET_ROWS)
-    below, above = F.get(cuts, at - 1), F.get(cuts, at)
-    fine = F.ceil(n / F.lit(N_CUTS * per_bucket))
-    heavy = F.coalesce((v == above) & (F.get(cuts, at + 1) == above), F.lit(False))
-    share = F.when(above > below, (v - below) / (above - below)).otherwise(F.lit(0.0))
-    sub = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * fine), F.lit(0)), fine)
-    bucket = at.cast("bigint") * F.lit(1 << 33) + F.when(heavy, F.lit(1 << 32)).otherwise(sub)
+    less = lambda part: F.size(F.filter(part, lambda x: x < v))
+    rough = less(F.col("_stats.a"))
+    at = F.col("_at")
+    heavy = F.coalesce((v == F.get("_stats.c", at)) & (F.get("_stats.c", at + 1) == v), F.lit(False))
     return (
         df.select("*", stats.alias("_stats"))
-        .select("*", F.when(n > one_bucket, F.size(F.filter(cuts, lambda c: c < v))).alias("_at"))
-        .select(*df.columns, F.when(at.isNull(), F.lit(0)).otherwise(bucket).cast("bigint").alias(BUCKET))
+        .select("*", rough.alias("_rough"))
+        .select("*", F.when(F.col("_rough") > 0, (F.col("_rough") - 1) * FAN + less(F.slice("_stats.b", F.greatest(F.lit(1), (F.col("_rough") - 1) * FAN + 1), FAN)) - 1).alias("_mid"))
+        .select("*", F.coalesce(F.col("_mid") * FAN + less(F.slice("_stats.c", F.greatest(F.lit(1), F.col("_mid") * FAN + 1), FAN)), F.lit(0)).alias("_at"))
+        .select(*df.columns, (at.cast("bigint") * F.lit(1 << 33) + F.when(heavy, F.lit(1 << 32)).otherwise(0)).cast("bigint").alias(BUCKET))
     )
 
 
@@ -90,7 +90,7 @@ def with_hash_bucket(df: DataFrame, hashed: str) -> DataFrame:
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(ROWS_PER_BUCKET)))).cast("int")
     leading = F.floor(F.col(hashed) / F.pow(F.lit(2.0), F.lit(HASH_BITS) - bits))
     return df.select("*", n.alias("_n")).select(
-        *df.columns, F.when(F.col("_n") <= ONE_BUCKET_ROWS, F.lit(0)).otherwise(leading).cast("bigint").alias(BUCKET)
+        *df.columns, leading.cast("bigint").alias(BUCKET)
     )
 
 
@@ -134,9 +134,10 @@ def hash_rank(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFram
 
 
 def time_number(df: DataFrame, name: str) -> Column:
-    """A number that grows with a time column whatever the session time zone.
+    """A number that never falls as an order column grows, whatever its type.
 
-    A timestamp without zone is read field by field: converting it to an
+    Text goes by its first six bytes; ties are the caller's to order. Times do
+    not depend on the session time zone: a timestamp without zone is read field by field: converting it to an
     instant would step backwards at a change of clocks.
     """
     kind = df.schema[name].dataType.typeName()
@@ -145,6 +146,10 @@ def time_number(df: DataFrame, name: str) -> Column:
         return (F.unix_date(t.cast("date")) * 86_400.0 + F.hour(t) * 3_600.0 + F.minute(t) * 60.0 + F.extract(F.lit("SECOND"), t).cast("double")).cast("double")
     if kind == "timestamp":
         return F.unix_micros(name).cast("double")
+    if kind == "date":
+        return F.unix_date(name).cast("double")
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("double")
 
 
@@ -167,7 +172,7 @@ def _split_ties(b: DataFrame, tie: str) -> DataFrame:
 
 
 def ordered_rank(df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` (1-based) by a numeric or time column, and ``n``.
+    """Add ``rank`` (1-based) by a numeric, time or text column, and ``n``.
 
     A single value that fills whole buckets is cut again by a numeric first tie.
     """

@@ -25,7 +25,7 @@ from assayer.operators.ranking import BUCKET, hash_rank, is_heavy, null_safe_joi
 from assayer.session import shared
 
 STATISTICS = ("auc", "tpr_at_fpr", "mean")
-MATRIX_CELLS = 4_000_000  # rows x replicates one task counts at a time
+MATRIX_CELLS = 4_000_000  # values x replicates one task counts at a time
 
 
 def draws(groups: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int) -> DataFrame:
@@ -65,16 +65,22 @@ def _count_bucket(keys: Sequence[str], replicates: int, schema: pa.Schema) -> Ca
         reps = table.column("reps").combine_chunks()
         drawn = reps.flatten().to_numpy()
         row = np.repeat(np.arange(len(reps)), reps.value_lengths().to_numpy(zero_copy_only=False))
-        values, at = np.unique(table.column("score").to_numpy(), return_inverse=True)
-        cell = at[row] * replicates + drawn
-
-        def counted(column: str) -> np.ndarray:
-            w = table.column(column).to_numpy()[row]
-            return np.bincount(cell, weights=w, minlength=len(values) * replicates).reshape(len(values), replicates)
-
-        p, n = counted("pos"), counted("neg")
-        u = (p * (np.cumsum(n, axis=0) - n / 2.0)).sum(axis=0)
-        p, n = p.sum(axis=0), n.sum(axis=0)
+        scores, pos, neg = (table.column(c).to_numpy() for c in ("score", "pos", "neg"))
+        order = np.argsort(scores, kind="stable")
+        ends = np.flatnonzero(np.concatenate((scores[order][1:] != scores[order][:-1], [True]))) + 1
+        drawn_of, cut = np.split(drawn, np.cumsum(np.bincount(row, minlength=len(reps)))[:-1]), 0
+        p, n, u = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        step = max(1, MATRIX_CELLS // replicates)
+        for lo in range(0, len(ends), step):  # so many values at a time, totals carried
+            stop = ends[lo : lo + step]
+            rows = order[cut : stop[-1]]
+            value = np.searchsorted(stop - cut, np.arange(len(rows)), "right")
+            times = np.array([len(drawn_of[r]) for r in rows])
+            cell = np.repeat(value, times) * replicates + (np.concatenate([drawn_of[r] for r in rows]) if len(rows) else drawn[:0])
+            here = lambda w: np.bincount(cell, weights=np.repeat(w[rows], times), minlength=len(stop) * replicates).reshape(len(stop), replicates)  # noqa: B023, E731
+            a, b = here(pos), here(neg)
+            u += (a * (n + np.cumsum(b, axis=0) - b / 2.0)).sum(axis=0)
+            p, n, cut = p + a.sum(axis=0), n + b.sum(axis=0), stop[-1]
         fixed = [pa.array([k.as_py()] * replicates, schema.field(i).type) for i, k in enumerate(key[: len(keys)])]
         rest = [pa.array(np.arange(replicates, dtype="int32")), pa.array(p), pa.array(n), pa.array(u)]
         return pa.Table.from_arrays([*fixed, *rest], schema=schema)

@@ -7,15 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from assayer.functions.seed import hash_hex
 from assayer.operators.ranking import hash_rank, ordered_rank
 
-TOP_K_ROWS = 100_000  # a final heap this size fits one task comfortably
-GROUP_LIMIT = 1_000  # Spark prunes row_number() <= k map-side up to this k
-
 
 def dedup_first(df: DataFrame, content: str, order: str) -> DataFrame:
     """First row per content value plus ``copies``.
@@ -61,17 +56,12 @@ def largest_detection(det: DataFrame, frame: str, ties: Sequence[str]) -> DataFr
 
 def seeded_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """``k`` rows without replacement; all rows when there are no more than ``k``."""
-    if k <= TOP_K_ROWS:
-        return df.withColumn("_h", hash_hex(seed, key)).orderBy("_h", key).limit(k).drop("_h")
     return hash_rank(df, [], key, seed).where(F.col("rank") <= k).drop("rank", "n")
 
 
 def balanced_limit(df: DataFrame, label: str, key: str, limit: int, n_labels: int, seed: int) -> DataFrame:
     """An equal share of the limit for every class."""
     share = limit // n_labels
-    if share <= GROUP_LIMIT:
-        w = Window.partitionBy(label).orderBy("_h", key)
-        return df.withColumn("_h", hash_hex(seed, key)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= share).drop("_h", "_rn")
     return hash_rank(df, [label], key, seed).where(F.col("rank") <= share).drop("rank", "n")
 
 
@@ -94,12 +84,9 @@ def positional_sample(df: DataFrame, by: str, order: str, key: str, k: int, seed
 
 
 def first_k(df: DataFrame, by: str, order: Sequence[str], k: int) -> DataFrame:
-    """First rows per group. Up to ``GROUP_LIMIT`` Spark trims every task to ``k``
-    before the shuffle; a larger ``k`` over a numeric order takes the ranked path."""
-    if k > GROUP_LIMIT and isinstance(df.schema[order[0]].dataType, T.NumericType):
-        return ordered_rank(df, [by], order[0], order[1:]).where(F.col("rank") <= k).drop("rank", "n")
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    """First rows per group by distributed rank: one path for every ``k``, type
+    of order and size of group."""
+    return ordered_rank(df, [by], order[0], order[1:]).where(F.col("rank") <= k).drop("rank", "n")
 
 
 def recent(df: DataFrame, n: int, status: str | None = None) -> DataFrame:
@@ -150,9 +137,9 @@ def expand_real_and_derived(items: DataFrame, key: str, generator: str) -> DataF
 
 
 def refuse_evaluation_only(items: DataFrame, key: str) -> DataFrame:
-    reserved = [r[0] for r in items.where(F.col("swapped")).select(key).limit(5).collect()]
-    if reserved:
-        raise ValueError(f"refusing evaluation-only items: {reserved}")
+    reserved = items.where(F.col("swapped")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).first()
+    if reserved.n:
+        raise ValueError(f"{reserved.n} items are kept for evaluation, {reserved.first!r} first; remove them from the training input")
     return items
 
 
@@ -218,7 +205,7 @@ def licence_problems(found: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def require_clean_release(found: DataFrame, manifest: DataFrame, allow_empty: bool = False) -> None:
     if not allow_empty and found.isEmpty():
-        raise ValueError("the asset scan found nothing; a gate that examined nothing cannot certify a release")
+        raise ValueError("no assets to check: point the scan at the release folder, or pass allow_empty for a release without any")
     bad = licence_problems(found, manifest).limit(5).collect()
     if bad:
         raise ValueError("release refused: " + "; ".join(f"{r.problem} {r.item}" for r in bad))

@@ -128,8 +128,9 @@ def class_aware_split(df: DataFrame, group: str, label: str, seed: int) -> DataF
     Groups of one class, of the other and mixed groups are dealt out
     separately in fit-test-test-fit order, largest first; mixed groups start on
     the test side. Any class spread over two groups therefore reaches both
-    sides, and halves differ by less than the largest group. Dealing by rank
-    needs no sequential pass, so the number of groups is not limited.
+    sides. Sizes are ordered by powers of two only, so the halves are close but
+    carry no bound. Dealing by rank needs no sequential pass, so the number of
+    groups is not limited.
     """
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(label).alias("_lo"), F.max(label).alias("_hi"))
     groups = groups.withColumn("kind", F.when(F.col("_lo") != F.col("_hi"), "mixed").otherwise(F.col("_lo").cast("string"))).drop("_lo", "_hi")

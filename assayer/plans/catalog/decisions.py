@@ -21,11 +21,13 @@ _CURVES = ", ".join(f"('{d}', '{b}', {c!r}, {i!r}, {p!r})" for d, b, c, i, p in
 
 _EVIDENCE = f"""
 curves(detector, band, coef, intercept, prior) AS (VALUES {_CURVES}),
+broken AS (SELECT * REPLACE (CASE WHEN score IS NOT NULL AND hash_rank % 11 < 3 THEN NULL ELSE score END AS score), score IS NOT NULL AND hash_rank % 11 < 3 AS bad
+  FROM (SELECT *, ('0x' || substr(md5(sample_id || detector), 1, 6))::BIGINT AS hash_rank FROM fx_joined)),
 ev AS (SELECT s.sample_id, s.detector, s.band, s.score AS raw_score, s.score IS NULL OR c.coef IS NULL AS abstained,
-  CASE WHEN s.score IS NULL THEN 'below_quality_floor' WHEN c.coef IS NULL THEN 'uncalibrated_for_band' ELSE 'ok' END AS reason,
+  CASE WHEN bad THEN 'not_measured' WHEN s.score IS NULL THEN 'below_quality_floor' WHEN c.coef IS NULL THEN 'uncalibrated_for_band' ELSE 'ok' END AS reason,
   CASE WHEN s.score IS NULL OR c.coef IS NULL THEN 0.0 ELSE greatest(-6.0, least(6.0,
     CAST(c.coef AS DOUBLE) * s.score + CAST(c.intercept AS DOUBLE) - CASE WHEN c.prior > 0 AND c.prior < 1 THEN ln(CAST(c.prior AS DOUBLE) / (1 - CAST(c.prior AS DOUBLE))) ELSE 0 END)) END AS llr
-  FROM fx_joined s LEFT JOIN curves c ON c.detector = s.detector AND c.band = s.band)"""
+  FROM broken s LEFT JOIN curves c ON c.detector = s.detector AND c.band = s.band)"""
 
 _DECISION = _EVIDENCE + """,
 f AS (SELECT sample_id, count(CASE WHEN NOT abstained THEN 1 END) AS n_contributing,
@@ -44,8 +46,11 @@ def curves(spark):
 
 
 def score_rows(spark, d):
+    """Scores of which some are NaN or infinite: those must abstain."""
+    draw = F.conv(F.substring(F.md5(F.concat("sample_id", "detector")), 1, 6), 16, 10).cast("bigint") % 11
+    broken = F.when(draw == 0, float("nan")).when(draw == 1, float("inf")).when(draw == 2, float("-inf")).otherwise(F.col("score"))
     return fx.scored(spark, d).select(
-        "sample_id", "detector", F.lit("1.0").alias("version"), "score", F.col("score").isNull().alias("abstained"),
+        "sample_id", "detector", F.lit("1.0").alias("version"), F.when(F.col("score").isNotNull(), broken).alias("score"), F.col("score").isNull().alias("abstained"),
         F.when(F.col("score").isNull(), "below_quality_floor").otherwise("ok").alias("reason"), "band")
 
 
@@ -186,10 +191,10 @@ def content_key(spark, d):
     return C.content_key(fx.table(spark, d, "pages"), "html", "page_id")
 
 
-def _brittle(row):
-    if row["n_chars"] % 7 == 0:
+def _brittle(items):
+    if (items["n_chars"] % 7 == 0).any():
         raise RuntimeError("decoder lost the stream")
-    return row["n_chars"] / 1000.0 if row["n_chars"] % 5 else float("nan")
+    return (items["n_chars"] / 1000.0).where(items["n_chars"] % 5 != 0)
 
 
 @query("C14_isolated_failures", """

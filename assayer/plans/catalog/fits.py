@@ -92,10 +92,29 @@ def shortcut_control(spark, d):
     return L.run_control(docs, "x", 2, "domain", "sample_id", seed=1, n_null=8, replicates=40)
 
 
-@query("L7_constant_control", "SELECT 0.5::DOUBLE AS auc, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi, true AS constant")
+@query("L7_constant_control", """
+SELECT CASE WHEN stddev_pop(length(o_orderstatus)) = 0 THEN 0.5::DOUBLE END AS auc, CAST(NULL AS DOUBLE) AS ci_lo, CAST(NULL AS DOUBLE) AS ci_hi, stddev_pop(length(o_orderstatus)) = 0 AS constant
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def constant_control(spark, d):
-    r = fx.records(spark, d).withColumn("x", F.array(F.lit(1.0), F.lit(4.0)))
-    return L.in_sample_control(r, "x", 2, "subject_id")
+    """The length of the order status, which is one letter in every row of the table."""
+    li, o = fx.table(spark, d, "lineitem"), fx.table(spark, d, "orders")
+    r = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").cast("string").alias("subject_id"), (F.col("l_linestatus") == "O").cast("int").alias("label"), F.array(F.length("o_orderstatus").cast("double")).alias("x"))
+    return L.in_sample_control(r, "x", 1, "subject_id")
+
+
+@query("L3_wide_head", """
+WITH x AS (SELECT unnest(range(0, 64)) AS feature, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT CAST(feature AS INTEGER) AS feature, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) AS scale, 0.0::DOUBLE AS slope FROM x GROUP BY 1""")
+def wide_head(spark, d):
+    """64 features fitted at once: mean and spread of each, and the slope of the objective there, which is zero at the fit."""
+    e = fx.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") >= 5).cast("int").alias("label"))
+    h = L.fit_head(e, "x", 64)
+    z = F.zip_with(F.zip_with("x", "mean", lambda v, m: v - m), "scale", lambda v, s: v / s)
+    scored = e.crossJoin(F.broadcast(h)).select("label", z.alias("z"), "mean", "scale", "coef", "intercept")
+    miss = L.probability(F.col("z"), F.col("coef"), F.col("intercept")) - F.col("label")
+    each = scored.select(miss.alias("e"), F.posexplode(F.arrays_zip("z", "mean", "scale", "coef")).alias("feature", "c"))
+    g = each.groupBy("feature").agg(F.first("c.mean").alias("mean"), F.first("c.scale").alias("scale"), (F.sum(F.col("e") * F.col("c.z")) + F.first("c.coef")).alias("slope"))
+    return g.select("feature", (F.round("mean", 6) + 0.0).alias("mean"), F.round("scale", 6).alias("scale"), (F.round("slope", 4) + 0.0).alias("slope"))
 
 
 @query("L7_in_sample_control", f"""

@@ -29,8 +29,10 @@ def acceptable_arrivals(spark, d):
 
 
 @query("T2_settled", """
-WITH s AS (SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS size, lag(CAST(floor(value / 25) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
-SELECT user_id AS name, min(event_id) AS settled_at, arg_min(size, event_id) AS size, CASE WHEN arg_min(size, event_id) = 0 THEN 'empty' ELSE 'accepted' END AS outcome FROM s WHERE size = prev GROUP BY 1""")
+WITH s AS (SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (SELECT *, CASE WHEN size = lag(size) OVER (PARTITION BY user_id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY k) AS run FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY k) AS pos FROM r)
+SELECT user_id AS name, event_id AS settled_at, size, CASE WHEN size = 0 THEN 'empty' ELSE 'accepted' END AS outcome FROM p WHERE pos % 2 = 0""")
 def settled(spark, d):
     e = fx.table(spark, d, "events").select(F.col("user_id").alias("name"), F.col("event_id").alias("scan"), F.floor(F.col("value") / 25).alias("size"))
     return T.settled(e)
@@ -55,31 +57,68 @@ def _life(spark, d):
     return fx.table(spark, d, "events").select(F.floor(F.col("event_id") / 4).alias("id"), F.col("event_id").alias("seq"), F.col("ts").alias("event_time"), status.alias("status"))
 
 
-@query("T4_current_state", f"SELECT id, arg_max(seq, seq) AS seq, arg_max(status, seq) AS status FROM {_LIFE} GROUP BY 1")
+_REPLAY = f"""
+RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM {_LIFE}),
+r AS (SELECT id, seq, status, k, '' AS was, status = 'queued' AS legal FROM e WHERE k = 1
+  UNION ALL SELECT e.id, e.seq, e.status, e.k, n.now AS was, (n.now, e.status) IN (('', 'queued'), ('queued', 'running'), ('running', 'done'), ('running', 'failed'), ('running', 'queued')) AS legal
+  FROM (SELECT *, CASE WHEN NOT legal THEN was WHEN status IN ('done', 'failed') THEN '' ELSE status END AS now FROM r) n JOIN e ON e.id = n.id AND e.k = n.k + 1)"""
+
+
+@query("T4_current_state", f"WITH {_REPLAY} SELECT id, max(seq) AS seq, arg_max(status, seq) AS status FROM r WHERE legal GROUP BY 1")
 def current_state(spark, d):
-    return T.latest(_life(spark, d), ["seq"], ["seq", "status"])
+    return T.current_state(_life(spark, d))
 
 
-@query("T4_illegal_transitions", f"""
-SELECT id, seq, was, status FROM (SELECT id, seq, status, coalesce(lag(status) OVER (PARTITION BY id ORDER BY seq), '') AS was FROM {_LIFE})
-WHERE (was, status) NOT IN (('', 'queued'), ('queued', 'running'), ('running', 'done'), ('running', 'failed'), ('running', 'queued'))""")
+@query("T4_illegal_transitions", f"WITH {_REPLAY} SELECT id, seq, was, status FROM r WHERE NOT legal")
 def illegal_transitions(spark, d):
     return T.illegal_transitions(_life(spark, d))
 
 
+@query("T4_lifecycle_stream", f"WITH {_REPLAY} SELECT CAST(id AS VARCHAR) AS id, seq, was, status, legal FROM r")
+def lifecycle_stream(spark, d):
+    """The whole event table as a stream, through files in the shared folder."""
+    life = _life(spark, d).select(F.col("id").cast("string").alias("id"), "seq", "status")
+    return _drained(life, T.lifecycle_stream)
+
+
+@query("T2_settle_stream", """
+WITH s AS (SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (SELECT *, CASE WHEN size = lag(size) OVER (PARTITION BY user_id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY k) AS run FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY k) AS pos FROM r)
+SELECT CAST(user_id AS VARCHAR) AS name, event_id AS settled_at, size, CASE WHEN size = 0 THEN 'empty' ELSE 'accepted' END AS outcome FROM p WHERE pos % 2 = 0""")
+def settle_stream(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_id").alias("scan"), F.floor(F.col("value") / 25).alias("size"))
+    return _drained(e, T.settle_stream)
+
+
+def _drained(rows, stream):
+    """Write rows to the shared folder, run them through a stream once, and read what it appended."""
+    spark, out = rows.sparkSession, D.scratch(rows.sparkSession, "stream")
+    rows.write.parquet(f"{out}/in")
+    run = stream(spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
+    run.writeStream.outputMode("append").format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(run.schema).parquet(f"{out}/out")
+
+
 @query("T5_orphans", f"SELECT id, 'queued' AS status FROM {_LIFE} GROUP BY 1 HAVING arg_max(status, seq) = 'running' AND max(ts) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 2 DAYS")
 def orphans(spark, d):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     return T.orphans(_life(spark, d), now, "2 DAYS", ["seq"]).select("id", "status")
 
 
+def _sixths_raise(items):
+    if (items["k"] % 6 == 0).any():
+        raise RuntimeError("the batch holds an item that cannot be scored")
+    return (items["n"] % 100) / 100.0
+
+
 @query("T6_decided_items", """
 WITH e AS (SELECT CAST(page_id AS VARCHAR) AS id, page_id % 6 = 0 AS bad, greatest(-6.0, least(6.0, 5.0 * (length(html) % 100) / 100.0 - 1.5 - ln(0.45 / 0.55))) AS llr FROM pages)
 SELECT id, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN NOT bad THEN CASE WHEN llr >= 1 THEN 'fake' WHEN llr <= -1 THEN 'real' ELSE 'insufficient_evidence' END END AS verdict,
   CASE WHEN NOT bad THEN round(llr, 6) END AS llr_total, CASE WHEN bad THEN 'every detector raised on this item' END AS error FROM e""")
 def decided_items(spark, d):
     items = fx.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("sample_id"), F.length("html").alias("n"), F.col("page_id").alias("k"))
-    scores = isolated_scorer(items, "d_value", "1.0", lambda r: (r["n"] % 100) / 100.0 if r["k"] % 6 else 1 / 0).withColumn("band", F.lit("medium"))
+    scores = isolated_scorer(items, "d_value", "1.0", _sixths_raise).withColumn("band", F.lit("medium"))
     return D.decide_items(scores, curves(spark)).select("id", "status", "verdict", r6("llr_total").alias("llr_total"), "error")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from assayer import fixtures as fx
 from assayer.functions import scalar as X
-from assayer.operators.select import coverage_difference  # noqa: F401
 from assayer.plans.catalog.registry import query
 from assayer.sources import ingest, scans, sinks
 

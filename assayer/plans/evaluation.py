@@ -27,7 +27,7 @@ class EvaluationConfig:
     min_genuine: int = K.MIN_GENUINE_PER_STRATUM
     identity_threshold: float = 0.6
     identity_tolerated: float = 0.0
-    max_subjects: int = 500
+    max_subjects: int | None = None
     required_compression: tuple[str, ...] = K.REQUIRED_COMPRESSION
     threshold_source: str = "validation"
     waived: frozenset[str] = field(default_factory=frozenset)
@@ -88,7 +88,7 @@ def identity_reports(records: DataFrame, folds: DataFrame, embeddings: DataFrame
     for name in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
         one = folds.where(F.col("fold") == name)
         r = I.identity_disjoint(one.where(F.col("side") == "train"), one.where(F.col("side") == "test"), e, t, tol)
-        out = out.unionByName(r.select(F.lit("fold").alias("scope"), F.lit(name).alias("name"), "*"))
+        out = out.unionByName(r.select(F.lit("fold").alias("scope"), F.lit(name).alias("name"), "*"), allowMissingColumns=True)
     return out
 
 

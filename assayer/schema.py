@@ -4,29 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, D, I, B, L = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.LongType()
+S, D, I = T.StringType(), T.DoubleType(), T.IntegerType()
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-ROI = _struct(("x", I), ("y", I), ("w", I), ("h", I))
-QUALITY = _struct(("inter_ocular_px", D), ("blur_var", D), ("yaw_deg", D), ("pitch_deg", D), ("exposure", D), ("band", S))
-
-RECORDS = _struct(
-    ("sample_id", S), ("source_id", S), ("subject_id", S), ("generator", S), ("label", I),
-    ("compression", S), ("face_detector", S), ("align", S), ("stratum", S), ("domain", S),
-    ("has_face", B), ("roi", ROI), ("inter_ocular_px", D), ("blur_var", D), ("yaw_deg", D), ("exposure", D),
-)
-SCORES = _struct(
-    ("sample_id", S), ("detector", S), ("version", S), ("score", D), ("abstained", B), ("reason", S),
-    ("latency_ms", D), ("variant", S),
-)
-OBSERVATIONS = _struct(("sample_id", S), ("source_id", S), ("t", D), ("roi", ROI), ("quality", QUALITY))
-EVIDENCE = _struct(
-    ("sample_id", S), ("detector", S), ("detector_version", S), ("llr", D), ("raw_score", D), ("abstained", B), ("reason", S),
-)
 CURVES = _struct(
     ("detector", S), ("band", S), ("coef", D), ("intercept", D), ("prior", D), ("max_abs_llr", D), ("format_version", I),
 )
@@ -38,16 +22,9 @@ SESSION_JSON = _struct(
 VENDOR_JSON = _struct(
     ("verdict", S), ("score", D), ("models", T.ArrayType(_struct(("name", S), ("score", D), ("verdict", S)))),
 )
-MANIFEST = _struct(("item_id", S), ("filename", S), ("label", S), ("domain", S))
-SUBMISSION_EVENTS = _struct(
-    ("id", S), ("content_sha256", S), ("filename", S), ("source", S), ("path", S), ("event_time", T.TimestampType()),
-    ("status", S), ("verdict", S), ("llr_total", D), ("ood_score", D), ("error", S), ("record_json", S), ("record_digest", S),
-)
 
 # --- fixed values: equal to the published behaviour, so results agree ---------
 BANDS = ("reject", "low", "medium", "high")
-MODALITIES = ("image", "video", "audio", "live")
-VERDICTS = ("real", "fake", "insufficient_evidence", "out_of_distribution")
 VERDICT_NAMES = {
     "real": "AUTHENTIC",
     "fake": "MANIPULATED",
@@ -62,7 +39,7 @@ MAX_ABS_LLR, MAX_TOTAL_LLR = 6.0, 20.0
 MIN_FIT_SAMPLES = 20
 CURVE_FORMAT_VERSION = 1
 AUDIT_SCHEMA_VERSION = "2"
-MAX_PIXELS, MAX_FILE_BYTES, MAX_FRAMES, MAX_DURATION_S, DEFAULT_FPS = 7680 * 4320, 256 * 1024 * 1024, 10_000, 1800.0, 25.0
+MAX_PIXELS, MAX_FILE_BYTES, MAX_DURATION_S, DEFAULT_FPS = 7680 * 4320, 256 * 1024 * 1024, 1800.0, 25.0
 LABEL_TOKENS = {"real": 0, "fake": 1}
 UNLABELLED = -1
 SNIFF_BYTES = 4096
@@ -76,6 +53,6 @@ MIN_GENUINE_PER_STRATUM = 150
 MIN_ADVERSARIAL_TPR = 0.10
 FROZEN_COLOUR_CONTROL, COLOUR_MARGIN = 0.530, 0.05
 FAKE_THRESHOLD, REAL_THRESHOLD, DISAGREEMENT_OOD = 1.0, -1.0, 3.0
-POLICY_VERSION = "p0-default-v0"
+POLICY_VERSION = "assayer-default-1"
 FRAME_INDEX_SUFFIX = r"(?:[ _-]\(?\d+\)?|\(\d+\))$"
 # -----------------------------------------------------------------------------

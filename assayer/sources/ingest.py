@@ -36,7 +36,7 @@ def score_file_violations(rows: DataFrame, known: DataFrame) -> DataFrame:
 def accept_score_file(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Typed scores, or a refusal that names the first offences."""
     if rows.isEmpty():
-        raise ValueError("header but no rows: an empty score file is not total abstention")
+        raise ValueError("the score file has no rows; list every sample, abstaining ones too")
     bad = score_file_violations(rows, known).limit(5).collect()
     if bad:
         raise ValueError("score file refused: " + "; ".join(f"{r.violation} {r.sample_id!r}" for r in bad))

@@ -168,7 +168,3 @@ def read_score_file(spark: SparkSession, path: str) -> DataFrame:
         "sample_id", F.col("score").alias("raw_score"),
         F.when(F.col("extra").isNotNull(), 3).when(F.col("score").isNull(), 1).otherwise(2).alias("n_fields"),
     )
-
-
-def provenance(path: Column | str) -> Column:
-    return corpus_label(path)

@@ -16,9 +16,11 @@ from assayer.session import ensure_checkpoint_dir
 
 def decide_items(scores: DataFrame, curves: DataFrame, policy: C.Policy = C.Policy()) -> DataFrame:
     """Scores of settled items to finished rows: done with a verdict, or failed
-    alone with its error text when every scorer raised on the item."""
-    failed = scores.groupBy("sample_id").agg(F.bool_and(F.col("reason") == "detector_error").alias("_f"))
-    d = C.fuse(C.to_evidence(scores, curves), policy=policy).join(failed, "sample_id")
+    alone with its error text when every scorer raised on the item.
+
+    The flag is taken in the grouping that fuses, so the scores are read, and
+    the scorers run, once."""
+    d = C.fuse(C.to_evidence(scores, curves), policy=policy, extra={"_f": F.bool_and(F.col("reason") == "detector_error")})
     return d.select(
         F.col("sample_id").alias("id"), F.when(F.col("_f"), "failed").otherwise("done").alias("status"), F.when(~F.col("_f"), F.col("verdict")).alias("verdict"),
         F.when(~F.col("_f"), F.col("llr_total")).alias("llr_total"), F.when(~F.col("_f"), F.col("disagreement")).alias("ood_score"),

@@ -8,11 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from assayer import schema as K
-from assayer.operators.ranking import ordered_rank
+from assayer.operators.ranking import BUCKET, ordered_rank, running, with_value_bucket
 
 LEGAL = (("", "queued"), ("queued", "running"), ("running", "done"), ("running", "failed"), ("running", "queued"))
+STATES = ("", "queued", "running")
+
+
+def _move(was: str, status: str) -> str:
+    """The state after an event: a finished submission is closed."""
+    return was if (was, status) not in LEGAL else status if status in STATES else ""
 
 
 def file_name(path: Column | str) -> Column:
@@ -33,44 +40,59 @@ def acceptable(files: DataFrame, path: str = "path", size: str = "length") -> Da
 
 
 def watch_folder(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
-    """A stream of new files; the checkpoint makes each one arrive once."""
+    """A stream of new files; the checkpoint makes each one arrive once.
+
+    Without an explicit age limit the file source ignores whatever is a week
+    older than the newest file it has seen; a late file must still be taken.
+    """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("maxFileAge", "36500d").option("recursiveFileLookup", True).load(folder)
     return acceptable(files)
 
 
 def settled(snapshots: DataFrame, name: str = "name", scan: str = "scan", size: str = "size") -> DataFrame:
-    """First scan at which a file had the same size as on its previous scan.
+    """Every scan at which a file had kept its size for ``STABLE_SCANS`` listings.
 
-    The previous scan is found by rank and an equi-join, not a window over one
-    file, so a file listed endlessly is still spread over tasks.
+    A settled file is taken and its name forgotten, so a file sent again under
+    the same name settles again: inside a stretch of equal sizes every
+    ``STABLE_SCANS``-th listing settles. Stretches are found by rank, an
+    equi-join and a running count, not by a window over one file, so a file
+    listed endlessly is still spread over tasks.
     """
     r = ordered_rank(snapshots.select(name, scan, size), [name], scan).select(name, scan, size, "rank")
     prev = r.select(F.col(name).alias("_n"), (F.col("rank") + 1).alias("_k"), F.col(size).alias("_s"))
-    same = r.join(prev, (F.col(name) == F.col("_n")) & (F.col("rank") == F.col("_k"))).where(F.col(size) == F.col("_s"))
-    first = same.groupBy(name).agg(F.min(scan).alias("settled_at"), F.min_by(size, scan).alias("size"))
-    return first.withColumn("outcome", F.when(F.col("size") == 0, "empty").otherwise("accepted"))
+    marked = r.join(prev, (F.col(name) == F.col("_n")) & (F.col("rank") == F.col("_k")), "left").select(
+        name, scan, size, "rank", F.when(F.col("_s") == F.col(size), 0).otherwise(1).cast("bigint").alias("_new"), F.col("rank").cast("double").alias("_pos"))
+    stretches = running(marked, [name], ["_pos"], ["_new"], bucket_on="_pos").select(name, scan, size, "rank", (F.col("_new_before") + F.col("_new")).alias("_run"))
+    start = stretches.groupBy(name, "_run").agg(F.min("rank").alias("_first"))
+    kept = stretches.join(start, [name, "_run"]).where((F.col("rank") - F.col("_first") + 1) % K.STABLE_SCANS == 0)
+    return kept.select(name, F.col(scan).alias("settled_at"), size, F.when(F.col(size) == 0, "empty").otherwise("accepted").alias("outcome"))
 
 
 def settle_stream(snapshots: DataFrame) -> DataFrame:
-    """The same decision on a stream of (name, scan, size) listings."""
+    """The same decisions on a stream of (name, scan, size) listings.
+
+    State is one size and one count for a name that has not settled yet; it is
+    dropped on settling.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, scans, done = state.get if state.exists else (-1, 0, False)
+        size, scans = state.get if state.exists else (-1, 0)
         out = []
         for r in pd.concat(list(batches)).sort_values("scan").itertuples(index=False):
-            if done:
-                continue
             scans = scans + 1 if r.size == size else 1
             size = r.size
             if scans >= K.STABLE_SCANS:
                 out.append((key[0], r.scan, r.size, "accepted" if r.size else "empty"))
-                done = True
-        state.update((int(size), int(scans), bool(done)))
+                size, scans = -1, 0
+        if scans:
+            state.update((int(size), int(scans)))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["name", "settled_at", "size", "outcome"])
 
     return snapshots.groupBy("name").applyInPandasWithState(
-        step, "name string, settled_at long, size long, outcome string", "size long, scans int, done boolean", "append", GroupStateTimeout.NoTimeout)
+        step, "name string, settled_at long, size long, outcome string", "size long, scans int", "append", GroupStateTimeout.NoTimeout)
 
 
 def enqueue(files: DataFrame, path: str, arrived: str, content_sha256: Column, source: str = "watch") -> DataFrame:
@@ -85,16 +107,66 @@ def latest(events: DataFrame, order: Sequence[str], columns: Sequence[str]) -> D
     return events.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")).select("id", "_r.*")
 
 
+def transitions(events: DataFrame, order: str = "seq") -> DataFrame:
+    """(id, order, was, status, legal): the state each event met, and whether it moved it.
+
+    Only a legal event moves the state; a refused one leaves it as it was. A
+    finished submission is closed, so its id stands where an unseen one does.
+
+    Every event is a function on the few states, and functions compose in any
+    grouping. A submission's events are cut into order-preserving buckets; the
+    first pass keeps one function per bucket, the small table of functions is
+    folded along each submission, and the second pass runs each bucket from the
+    state it starts in. Both read sorted streams and hold one state.
+    """
+    at = with_value_bucket(events.select("id", order, "status").withColumn("_pos", F.col(order).cast("double")), "_pos").drop("_pos")
+    sorted_ = at.repartition("id", BUCKET).sortWithinPartitions("id", BUCKET, order)
+    kind, seq = (events.schema[c].dataType.simpleString() for c in ("id", order))
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = None, list(STATES)
+        for pdf in batches:
+            out = []
+            for i, b, s in zip(pdf["id"], pdf[BUCKET], pdf["status"], strict=True):
+                if (i, b) != here:
+                    if here is not None:
+                        out.append((*here, state))
+                    here, state = (i, b), list(STATES)
+                state = [_move(w, s) for w in state]
+            yield pd.DataFrame(out, columns=["id", BUCKET, "to"])
+        if here is not None:
+            yield pd.DataFrame([(*here, state)], columns=["id", BUCKET, "to"])
+
+    maps = sorted_.select("id", BUCKET, "status").mapInPandas(shrink, f"id {kind}, {BUCKET} bigint, to array<string>")
+    earlier = Window.partitionBy("id").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    index = lambda s: F.array_position(F.array(*[F.lit(x) for x in STATES]), s).cast("int")
+    start = F.aggregate(F.collect_list("to").over(earlier), F.lit(""), lambda s, to: F.element_at(to, index(s)))
+    begin = maps.select("id", BUCKET, start.alias("_start"))
+    joined = at.join(begin, ["id", BUCKET]).repartition("id", BUCKET).sortWithinPartitions("id", BUCKET, order)
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = None, ""
+        for pdf in batches:
+            was, legal = [], []
+            for i, b, s, first in zip(pdf["id"], pdf[BUCKET], pdf["status"], pdf["_start"], strict=True):
+                if (i, b) != here:
+                    here, state = (i, b), first
+                was.append(state)
+                legal.append((state, s) in LEGAL)
+                state = _move(state, s)
+            yield pd.DataFrame({"id": pdf["id"], order: pdf[order], "was": was, "status": pdf["status"], "legal": legal})
+
+    return joined.select("id", BUCKET, order, "status", "_start").mapInPandas(follow, f"id {kind}, {order} {seq}, was string, status string, legal boolean")
+
+
+def current_state(events: DataFrame, order: str = "seq") -> DataFrame:
+    """The last legal event of each submission; one with none has no state."""
+    return latest(transitions(events, order).where("legal"), [order], [order, "status"])
+
+
 def illegal_transitions(events: DataFrame, order: str = "seq") -> DataFrame:
-    """Status changes the lifecycle does not allow, first events included."""
-    r = ordered_rank(events.select("id", order, "status"), ["id"], order).select("id", order, "status", "rank")
-    prev = r.select(F.col("id").alias("_i"), (F.col("rank") + 1).alias("_k"), F.col("status").alias("_was"))
-    j = r.join(prev, (F.col("id") == F.col("_i")) & (F.col("rank") == F.col("_k")), "left")
-    was = F.coalesce("_was", F.lit(""))
-    legal = F.lit(False)
-    for a, b in LEGAL:
-        legal = legal | ((was == a) & (F.col("status") == b))
-    return j.where(~legal).select("id", order, was.alias("was"), "status")
+    """Events the lifecycle refuses, and the state they met."""
+    return transitions(events, order).where(~F.col("legal")).drop("legal")
 
 
 def orphans(events: DataFrame, now: Column, max_age: str, order: Sequence[str] = ("event_time",)) -> DataFrame:
@@ -104,21 +176,41 @@ def orphans(events: DataFrame, now: Column, max_age: str, order: Sequence[str] =
     return cur.where(late).select("id", now.alias("event_time"), F.lit("queued").alias("status"))
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """Apply events per submission in order; refused ones come out marked."""
+def lifecycle_stream(events: DataFrame, max_age: str | None = None) -> DataFrame:
+    """Apply events per submission in order; refused ones come out marked and move nothing.
+
+    State is dropped when a submission finishes. With ``max_age`` the events
+    carry ``event_time``, and a submission left running for longer is put back
+    in the queue by a timer on the watermark: a legal row without ``seq``.
+    """
+    age = None if max_age is None else int(pd.Timedelta(max_age).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was = state.get[0] if state.exists else ""
+        was, since = state.get if state.exists else ("", 0)
         out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            ok = (was, r.status) in LEGAL
-            out.append((key[0], int(r.seq), was, r.status, ok))
-            was = r.status
-        state.update((was,))
-        yield pd.DataFrame(out, columns=["id", "seq", "was", "status", "legal"])
-
-    return events.groupBy("id").applyInPandasWithState(
-        step, "id string, seq long, was string, status string, legal boolean", "status string", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            if was == "running":
+                out.append((key[0], None, was, "queued", True))
+                was = "queued"
+        else:
+            for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+                ok = (was, r.status) in LEGAL
+                out.append((key[0], int(r.seq), was, r.status, ok))
+                if ok:
+                    was = _move(was, r.status)
+                    since = int(r.event_time.timestamp() * 1000) if age is not None else 0
+        if was:
+            state.update((was, since))
+            if age is not None and was == "running":
+                state.setTimeoutTimestamp(max(since + age, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["id", "seq", "was", "status", "legal"]).astype({"seq": "Int64"})
+
+    timeout = GroupStateTimeout.NoTimeout if age is None else GroupStateTimeout.EventTimeTimeout
+    stamped = events if age is None else events.withWatermark("event_time", "0 seconds")
+    return stamped.groupBy("id").applyInPandasWithState(
+        step, "id string, seq long, was string, status string, legal boolean", "status string, since long", "append", timeout)
 
 
 def queue_depth(counts: DataFrame) -> DataFrame:

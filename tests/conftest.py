@@ -21,5 +21,4 @@ def many_buckets(monkeypatch):
     """Make even tiny tables take the multi-bucket path."""
     from assayer.operators import ranking
 
-    monkeypatch.setattr(ranking, "ONE_BUCKET_ROWS", 20)
     monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 5)

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.functions import scalar as X
+from assayer.operators import decide as C
 from assayer.operators import fit as L
 
 
@@ -65,7 +67,7 @@ def test_one_class_is_refused(spark):
     df = table(spark, [[1.0], [2.0]], [1, 1])
     with pytest.raises(ValueError, match="one class"):
         L.fit_head(df, "x", 1)
-    with pytest.raises(ValueError, match="one-class"):
+    with pytest.raises(ValueError, match="one class only"):
         L.permutation_null(df, df, 1, "sample_id", 2)
     with pytest.raises(ValueError, match="two families"):
         L.require_two_families(df.withColumn("generator", F.lit("only")))
@@ -76,3 +78,47 @@ def test_thin_bands_are_not_fitted(spark):
     df = spark.createDataFrame(rows, "detector string, band string, score double, label int")
     assert {r.band: r.status for r in L.calibration_eligibility(df).collect()} == {"low": "ok", "high": "one_class", "medium": "too_few"}
     assert [r.band for r in L.fit_curves(df).collect()] == ["low"]
+
+
+def test_a_768_wide_head_fits_and_scores(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 768))
+    y = (x[:, 0] + x[:, 1] + 0.5 * rng.normal(size=600) > 0).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "k long, f array<double>, label int")
+    h = L.fit_head(df, "f", 768)
+    r = h.first()
+    assert len(r.coef) == len(r.mean) == 768
+    z = (x - np.array(r.mean)) / np.array(r.scale)
+    p = 1 / (1 + np.exp(-(z @ np.array(r.coef) + r.intercept)))
+    grad = z.T @ (p - y) + np.array(r.coef)
+    assert np.abs(grad).max() < 1e-5
+    one = X.linear_probability(F.col("f"), r.mean, r.scale, r.coef, r.intercept)
+    got = np.array([v.p for v in df.select("k", one.alias("p")).orderBy("k").collect()])
+    assert np.abs(got - p).max() < 1e-9
+
+
+def test_a_fit_that_has_not_converged_is_refused(spark):
+    rows = spark.createDataFrame([("a", [float(i)], i % 2, 1.0) for i in range(40)] + [("b", [0.0], 0, 1.0), ("b", [0.0], 1, 1.0)], "problem string, x array<double>, y int, w double")
+    with pytest.raises(ValueError, match="did not converge in 1 steps"):
+        L.fit_logistic(rows, 1, max_iter=1)
+    assert all(r.converged for r in L.fit_logistic(rows, 1).collect())
+
+
+def test_what_was_not_measured_is_refused_or_left_out(spark):
+    part = spark.createDataFrame([("a", [1.0, float("nan")], 0, 1.0), ("a", [2.0, 1.0], 1, 1.0)], "problem string, x array<double>, y int, w double")
+    with pytest.raises(ValueError, match="measured in part"):
+        L.fit_logistic(part, 2)
+    scores = [("d", "low", i / 40, i % 2) for i in range(40)]
+    kind = "detector string, band string, score double, label int"
+    clean = L.fit_curves(spark.createDataFrame(scores, kind)).first()
+    dirty = L.fit_curves(spark.createDataFrame(scores + [("d", "low", float("nan"), 1), ("d", "low", float("inf"), 0), ("d", "low", None, 0)], kind)).first()
+    assert [dirty.coef, dirty.intercept, dirty.prior] == pytest.approx([clean.coef, clean.intercept, clean.prior], abs=1e-9)
+
+
+def test_a_score_that_is_no_number_never_decides(spark):
+    curve = spark.createDataFrame([("d", "low", 9.0, 0.0, 0.5, 6.0)], "detector string, band string, coef double, intercept double, prior double, max_abs_llr double")
+    bad = [float("nan"), float("inf"), float("-inf")]
+    rows = spark.createDataFrame([(str(i), "d", "1", v, False, "ok", "low") for i, v in enumerate(bad)], "sample_id string, detector string, version string, score double, abstained boolean, reason string, band string")
+    ev = C.to_evidence(rows, curve)
+    assert all(r.abstained and r.llr == 0.0 and r.reason == "not_measured" and r.raw_score is None for r in ev.collect())
+    assert {r.verdict for r in C.fuse(ev).collect()} == {"insufficient_evidence"}

@@ -92,13 +92,13 @@ def test_bootstrap_equals_counting(spark, df, rows):
     assert sum(len(v) for v in d.values()) == 12 * len({r[4] for r in part})
 
 
-def test_large_samples_use_ranks(df, monkeypatch):
-    want = {r.id for r in S.seeded_sample(df, "id", 100, 9).collect()}
-    monkeypatch.setattr(S, "TOP_K_ROWS", 10)
-    assert {r.id for r in S.seeded_sample(df, "id", 100, 9).collect()} == want
+def test_samples_are_the_first_by_hash(df, rows):
+    hashed = {r.id: r.h for r in df.select("id", hash_hex(9, "id").alias("h")).collect()}
+    want = sorted(hashed, key=lambda i: (hashed[i], i))[:100]
+    assert {r.id for r in S.seeded_sample(df, "id", 100, 9).collect()} == set(want)
+    hashed = {r.id: r.h for r in df.select("id", hash_hex(1, "id").alias("h")).collect()}
     few = {r.id for r in S.balanced_limit(df, "label", "id", 60, 2, 1).collect()}
-    monkeypatch.setattr(S, "GROUP_LIMIT", 1)
-    assert {r.id for r in S.balanced_limit(df, "label", "id", 60, 2, 1).collect()} == few and len(few) == 60
+    assert few == {i for k in (0, 1) for i in sorted((r[0] for r in rows if r[3] == k), key=lambda i: (hashed[i], i))[:30]}
 
 
 def test_ties_are_cut_by_the_tie_column(df):
@@ -108,7 +108,13 @@ def test_ties_are_cut_by_the_tie_column(df):
     assert before >= 300 and after < 60
 
 
-def test_first_k_beyond_the_group_limit(df, monkeypatch):
-    want = {r.id for r in S.first_k(df, "g", ["score", "id"], 5).collect()}
-    monkeypatch.setattr(S, "GROUP_LIMIT", 1)
-    assert {r.id for r in S.first_k(df, "g", ["score", "id"], 5).collect()} == want
+@pytest.mark.parametrize("k", [5, 2000])
+def test_first_k_by_number_time_and_text(df, rows, k):
+    timed = df.withColumn("t", F.timestamp_seconds(F.col("id") * 7919 % 1000)).withColumn("s", F.concat(F.lit("same-prefix-"), F.lpad(F.col("id").cast("string"), 4, "0")))
+    of = lambda i: {"score": (rows[i][2], i), "t": (i * 7919 % 1000, i), "s": (f"same-prefix-{i:04d}", i)}
+    for order in ("score", "t", "s"):
+        got = {r.id for r in S.first_k(timed, "g", [order, "id"], k).collect()}
+        want = set()
+        for g in {r[4] for r in rows}:
+            want |= set(sorted((r[0] for r in rows if r[4] == g), key=lambda i: of(i)[order])[:k])
+        assert got == want

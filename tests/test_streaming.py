@@ -25,17 +25,17 @@ def _parts(df, key, folder):
 
 
 def test_settle_stream_equals_batch(spark, tmp_path):
-    rows = [(s, n, sizes[s]) for n, sizes in {"a": [1, 5, 5, 5], "b": [2, 3, 4, 4], "c": [0, 0, 0, 0], "d": [1, 2, 3, 4]}.items() for s in range(4)]
+    rows = [(s, n, sizes[s]) for n, sizes in {"a": [1, 5, 5, 5], "b": [2, 3, 4, 4], "c": [0, 0, 0, 0], "d": [1, 2, 3, 4], "e": [10, 10, 20, 20]}.items() for s in range(4)]
     snaps = spark.createDataFrame(rows, "scan long, name string, size long")
     _parts(snaps, "scan", str(tmp_path / "in"))
     stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
     got = _drain(T.settle_stream(stream), "append", tmp_path, "settled").collect()
     want = T.settled(snaps).select("name", "settled_at", "size", "outcome").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("a", 2, 5, "accepted"), ("b", 3, 4, "accepted"), ("c", 1, 0, "empty")]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) == [("a", 2, 5, "accepted"), ("b", 3, 4, "accepted"), ("c", 1, 0, "empty"), ("c", 3, 0, "empty"), ("e", 1, 10, "accepted"), ("e", 3, 20, "accepted")]
 
 
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
-    paths = {1: ["queued", "running", "done"], 2: ["running"], 3: ["queued", "done", "failed"], 4: ["queued", "running", "queued", "running", "failed"]}
+    paths = {1: ["queued", "running", "done"], 2: ["running"], 3: ["queued", "done", "failed"], 4: ["queued", "running", "queued", "running", "failed"], 5: ["queued", "done", "running", "done", "queued"]}
     ev = spark.createDataFrame([(i, s, st) for i, p in paths.items() for s, st in enumerate(p)], "id long, seq long, status string")
     ids = ev.withColumn("id", F.col("id").cast("string"))
     _parts(ids, "seq", str(tmp_path / "in"))
@@ -62,7 +62,7 @@ def test_decision_stream_equals_batch_and_isolates_failures(spark, tmp_path):
     items.coalesce(1).write.json(str(tmp_path / "in"))
 
     def score(df):
-        rows = isolated_scorer(df, "d_value", "1.0", lambda r: r["n"] / 30 if r["n"] != 7 else 1 / 0)
+        rows = isolated_scorer(df, "d_value", "1.0", lambda f: f["n"] / 30 if not (f["n"] == 7).any() else 1 / 0)
         return rows.withColumn("band", F.lit("medium"))
 
     stream = spark.readStream.schema(items.schema).json(str(tmp_path / "in"))
@@ -81,3 +81,36 @@ def test_retention_of_zero_days_keeps_everything(spark):
     assert T.expired(files, none, now, 0).count() == 0
     assert T.expired(files, none, now, 1).count() == 1
     assert T.expired(files, spark.createDataFrame([("p", "queued")], none.schema), now, 1).count() == 0
+
+
+def test_refused_events_move_nothing_in_any_bucket(spark, many_buckets):
+    paths = {1: ["queued", "done", "running", "done"], 2: ["running", "queued"], 3: ["queued", "running"] * 40 + ["done", "queued"]}
+    ev = spark.createDataFrame([(i, s, st) for i, p in paths.items() for s, st in enumerate(p)], "id long, seq long, status string")
+    got = {(r.id, r.seq): (r.was, r.legal) for r in T.transitions(ev).collect()}
+    for i, p in paths.items():
+        state = ""
+        for s, status in enumerate(p):
+            legal = (state, status) in T.LEGAL
+            assert got[i, s] == (state, legal)
+            state = T._move(state, status)
+    assert [tuple(r) for r in T.current_state(ev).orderBy("id").collect()] == [(1, 3, "done"), (2, 1, "queued"), (3, 81, "queued")]
+
+
+def test_a_running_submission_is_requeued_by_the_timer(spark, tmp_path):
+    rows = [("a", 0, "queued", "2024-01-01 00:00"), ("a", 1, "running", "2024-01-01 01:00"), ("b", 2, "queued", "2024-01-03 00:00"), ("c", 3, "queued", "2024-01-09 00:00")]
+    ev = spark.createDataFrame(rows, "id string, seq long, status string, t string").selectExpr("id", "seq", "status", "cast(t as timestamp) as event_time")
+    _parts(ev, "seq", str(tmp_path / "in"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
+    got = _drain(T.lifecycle_stream(stream, "1 day"), "append", tmp_path, "timed").collect()
+    assert [(r.id, r.was, r.status) for r in got if r.seq is None] == [("a", "running", "queued")]
+
+
+def test_a_late_old_file_is_taken(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "new.png").write_bytes(b"1")
+    take = lambda: T.watch_folder(spark, str(inbox)).select(T.file_name("path").alias("name"))
+    _drain(take(), "append", tmp_path, "late")
+    (inbox / "old.png").write_bytes(b"2")
+    os.utime(inbox / "old.png", (1_000_000_000, 1_000_000_000))
+    assert sorted(r.name for r in _drain(take(), "append", tmp_path, "late").collect()) == ["new.png", "old.png"]
