@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer import fixtures as fx
 from assayer.operators import fit as L
 from assayer.operators import resample as B
+from assayer.operators import splits as P
 from assayer.plans.catalog.metrics import auc_sql, ece_sql, r6
 from assayer.plans.catalog.registry import query
 from assayer.plans.catalog.selection import _md5
@@ -86,10 +87,37 @@ def family_refits(spark, d):
     return s.select("held", "sample_id", "label", F.round("score", 5).alias("score"))
 
 
-@query("L6_shortcut_control")
+_CONTROL = f"""
+g AS (SELECT "domain", count(*) AS n_rows, CASE WHEN min(label) <> max(label) THEN 'mixed' ELSE CAST(min(label) AS VARCHAR) END AS kind FROM fx_docs GROUP BY 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {_SERPENT.format(md5=_md5(1, '"domain"'))}, "domain") AS rk FROM g),
+sp AS (SELECT d.sample_id, d."domain" AS dom, d.score / 1000 AS x, d.label, CASE WHEN ((rk - 1) % 4 IN (0, 3)) = (kind <> 'mixed') THEN 'fit' ELSE 'test' END AS side FROM fx_docs d JOIN rk ON rk."domain" = d."domain"),
+tr AS (SELECT * FROM sp WHERE side = 'fit'), te AS (SELECT * FROM sp WHERE side = 'test'),
+pl AS (SELECT draw, x, CASE WHEN row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '1', draw || '|' || sample_id)), draw || '|' || sample_id) <= (SELECT sum(label) FROM tr) THEN 1 ELSE 0 END AS y FROM tr, range(0, 8) t(draw)),
+r AS (SELECT 'o' AS k, x, label AS y FROM tr UNION ALL SELECT CAST(draw AS VARCHAR) AS k, x, y FROM pl), {newton_sql('r', 'k')},
+s AS (SELECT n.k, dom, 1 / (1 + exp(-(a + b * x))) AS score, label FROM te, b{NEWTON_STEPS} n), p AS {auc_sql('s', 'k')}"""
+
+
+def _control_docs(spark, d):
+    return fx.docs(spark, d).withColumn("x", F.array(F.col("score") / 1000))
+
+
+@query("L6_shortcut_control", f"""
+WITH {_CONTROL}, so AS (SELECT * FROM s WHERE k = 'o'), d AS {draws_sql('so', 'k', 'dom', 40, 1)},
+w AS (SELECT rep, score, label, w FROM so JOIN d ON d.dom = so.dom), q AS {weighted_auc_sql('w', 'rep')}, o AS (SELECT auc AS v FROM p WHERE k = 'o'), n AS (SELECT auc FROM p WHERE k <> 'o')
+SELECT (SELECT round(v, 5) FROM o) AS auc, (SELECT round(quantile_cont(stat, 0.025), 5) FROM q) AS ci_lo, (SELECT round(quantile_cont(stat, 0.975), 5) FROM q) AS ci_hi,
+  (SELECT round(min(auc), 5) FROM n) AS null_lo, (SELECT round(max(auc), 5) FROM n) AS null_hi,
+  (SELECT round((count(*) FILTER (abs(auc - 0.5) >= abs(v - 0.5)) + 1) / (count(*) + 1), 5) FROM n, o) AS p,
+  (SELECT count(*) FROM tr) AS n_fit, (SELECT count(*) FROM te) AS n_test""", ("fx_docs",))
 def shortcut_control(spark, d):
-    docs = fx.docs(spark, d).withColumn("x", F.array(F.col("score") / 1000, (F.col("stratum") == "en").cast("double")))
-    return L.run_control(docs, "x", 2, "domain", "sample_id", seed=1, n_null=8, replicates=40)
+    c = L.run_control(_control_docs(spark, d), "x", 1, "domain", "sample_id", seed=1, n_null=8, replicates=40)
+    return c.select(*[F.round(k, 5).alias(k) for k in ("auc", "ci_lo", "ci_hi", "null_lo", "null_hi", "p")], "n_fit", "n_test")
+
+
+@query("U5_refitted_null", f"WITH {_CONTROL} SELECT CAST(k AS INTEGER) AS draw, round(auc, 5) AS stat FROM p WHERE k <> 'o'", ("fx_docs",))
+def refitted_null(spark, d):
+    split = P.class_aware_split(_control_docs(spark, d).select("sample_id", "domain", "label", "x"), "domain", "label", 1)
+    null = L.permutation_null(split.where("side = 'fit'"), split.where("side = 'test'"), 1, "sample_id", 8, 1)
+    return null.withColumn("stat", F.round("stat", 5))
 
 
 @query("L7_constant_control", """
