@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.store import chunk_count, partitions
+from assayer.llm.store import bounded_batches, chunk_count, partitions
 
 ASK = "bucket int, chunk int, h1 binary, h2 binary, id binary, pos binary"
 ANSWER = "chunk int, h1 binary"
@@ -21,6 +21,7 @@ ANSWER = "chunk int, h1 binary"
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(chunk, id, text, row): row holds all other columns as a struct, so that no name can clash."""
+    bounded_batches(docs.sparkSession)
     n = chunk_count(docs, text)
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return docs.select(

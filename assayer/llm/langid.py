@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.store import bounded_batches
 from assayer.llm.words import slices, texts_of
 
 #: Subwords are runs of 2, 3 and 4 bytes (blanks included, A-Z lower-cased), hashed to 2**HASH_BITS embeddings.
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     `usable` is a condition on the table's columns. Rows with null text, language or id are left out. The counts of
     languages and the chosen rows' subword counts, both bounded, go to the driver.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.where(usable & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     own = own.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     found = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
@@ -158,6 +160,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     lang_pred is the likeliest language of the whole text, or `und` where the text is null or has no letter;
     lang_score its calibrated probability (0 for `und`); lang_accepted whether that reaches the model's floor.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from assayer.llm.graph import components, local_roots
-from assayer.llm.store import keep, partitions, rows_of
+from assayer.llm.store import bounded_batches, keep, partitions, rows_of
 from assayer.llm.words import shingles, slices, texts_of
 
 #: Hash permutations a * x + b modulo 2**32 (a odd, so each permutes the 32-bit values), and words of a shingle.
@@ -58,6 +58,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fingerprint): 128 places of 4 hex digits. Null text counts as empty; equal texts have equal fingerprints."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,6 +80,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     id; it goes to the range before it as well. Texts are shuffled once and read as a stream in order, so a task holds
     a batch, not a range.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(-(2**63))))
@@ -143,6 +145,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 def _sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Distinct texts: their hash as class, smallest id, rows, band keys and sorted shingle hashes."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     firsts = src.groupBy(F.xxhash64("text").alias("class"), "text").agg(F.min("id").alias("least"))
 

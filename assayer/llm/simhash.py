@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.graph import components, local_roots
-from assayer.llm.store import keep, partitions, rows_of
+from assayer.llm.store import bounded_batches, keep, partitions, rows_of
 from assayer.llm.words import texts_of
 
 #: Fingerprints compared in one tile; a larger bucket is cut into pieces that meet two by two.
@@ -42,6 +42,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(id, bits): the 64-bit fingerprint of every row's whole text, as a signed long. Null text counts as empty."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

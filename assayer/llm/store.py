@@ -11,6 +11,8 @@ from assayer.session import ensure_checkpoint_dir
 
 #: Text that one chunk of documents holds on average; a chunk is what one task has in memory at a time.
 CHUNK_BYTES = 8 << 20
+#: Bytes of an Arrow batch that goes to a worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -26,6 +28,14 @@ def keep(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches go by bytes: 10,000 long texts in one would fill a worker. A smaller limit stays as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.store import bounded_batches
 from assayer.llm.words import mix, powers, slices, texts_of
 
 #: Terms are words and word beginnings, hashed to 2**HASH_BITS places.
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     `usable` is a condition on the id column. A document labelled more than once counts as toxic if any label says so;
     null ids and null labels are left out. The chosen ids and their texts' terms, both bounded, go to the driver.
     """
+    bounded_batches(docs.sparkSession)
     own = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label}`").cast("int").alias("y")).where(usable & F.col("y").isNotNull() & F.col(id_col).isNotNull())
     own = own.groupBy(id_col).agg(F.max("y").alias("y"))
     shares = own.agg(F.avg("y"), F.count("*")).first()
@@ -196,6 +198,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "sc
 
     The model that goes to the tasks holds only the terms with a weight.
     """
+    bounded_batches(docs.sparkSession)
     places = np.flatnonzero(machine.active)
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, places, machine.weight[places], machine.factor[places], machine.slope, machine.shift))
     made: list[Machine] = []
