@@ -90,7 +90,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _third("doc_id", 3) != 1)
     scored = toxicity.score(docs, machine)
-    return scored.select("doc_id", (_third("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_third("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @_query("op4_neighbours")
@@ -103,7 +103,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, _third("doc_id", 5) != 0)
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (_third("doc_id", 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+    return out.select("doc_id", F.coalesce(_third("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
 @_query(
