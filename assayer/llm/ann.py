@@ -17,8 +17,8 @@ from assayer.llm.store import keep
 SAMPLE, BRANCH, LEAF, MOST_LEAVES = 20_000, 16, 200, 1024
 #: Recall to reach on the calibration queries, and how many of those there are.
 RECALL, TRIALS = 0.96, 400
-#: Members and queries that meet in one task.
-PIECE_MEMBERS, PIECE_QUERIES = 4096, 1024
+#: Members and queries that meet in one task, and queries multiplied at a time.
+PIECE_MEMBERS, PIECE_QUERIES, BLOCK_QUERIES = 16_384, 2048, 128
 
 
 def taking_part(v: Column) -> Column:
@@ -121,23 +121,46 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
+def _groups(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Group and number of pieces of each leaf: neighbouring small leaves share a group, a large one is cut."""
+    out, group, held = {}, 0, 0
+    for leaf in sorted(sizes):
+        if held + sizes[leaf] > PIECE_MEMBERS and held:
+            group, held = group + 1, 0
+        out[leaf] = (group, max(1, -(-sizes[leaf] // PIECE_MEMBERS)))
+        held += sizes[leaf]
+    return out
+
+
 def _best(top: int):
+    """The `top` best members for each query among the leaves it visits, of one group of leaves or piece of one."""
+
     def run(probes: pa.Table, members: pa.Table) -> pa.Table:
         names = ["query_id", "h1", "h2", "first", "score"]
         if not probes.num_rows or not members.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=names)
         q, v = _matrix(probes.column("v")), _matrix(members.column("v"))
-        first = members.column("first").to_numpy()
-        near = q @ v.T
-        k = min(top, len(v))
-        bar = np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
-        i, j = np.nonzero(near >= (bar - 1e-9 * np.maximum(1, np.abs(bar)))[:, None])
-        score = np.concatenate([(q[i[a : a + 65536]] * v[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)])
-        order = np.lexsort((first[j], -score, i))
-        place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-        best = order[place < top]
+        first, leaf = members.column("first").to_numpy(), members.column("leaf").to_numpy()
+        visits = probes.column("leaves").to_pylist()
+        left, right, scores = [], [], []
+        for lo in range(0, len(q), BLOCK_QUERIES):
+            part = q[lo : lo + BLOCK_QUERIES]
+            open_ = np.zeros((len(part), int(leaf.max()) + 1), bool)
+            for r, seen in enumerate(visits[lo : lo + BLOCK_QUERIES]):
+                open_[r, [x for x in seen if x < open_.shape[1]]] = True
+            near = np.where(open_[:, leaf], part @ v.T, -np.inf)
+            k = min(top, len(v))
+            bar = np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
+            slack = np.where(np.isfinite(bar), 1e-9 * np.maximum(1, np.abs(bar)), 0)
+            i, j = np.nonzero((near >= (bar - slack)[:, None]) & np.isfinite(near))
+            score = (part[i] * v[j]).sum(axis=1)
+            order = np.lexsort((first[j], -score, i))
+            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            best = order[place < top]
+            left.append(lo + i[best]), right.append(j[best]), scores.append(score[best])
+        i, j = np.concatenate(left), np.concatenate(right)
         take = lambda t, c, at: t.column(c).take(pa.array(at)).combine_chunks()
-        return pa.table([take(probes, "query_id", i[best]), *(take(members, c, j[best]) for c in ("h1", "h2", "first")), pa.array(score[best])], names=names)
+        return pa.table([take(probes, "query_id", i), *(take(members, c, j) for c in ("h1", "h2", "first")), pa.array(np.concatenate(scores))], names=names)
 
     return run
 
@@ -152,7 +175,8 @@ def neighbours(vectors: DataFrame, queries: Column, top: int = 20, id_col: str =
 
     The tree is fitted on a sample of SAMPLE distinct vectors chosen by hash; every row is indexed. Equal vectors are one entry,
     so a vector that a third of all rows share costs one row, and at most top + 1 of its ids are ever listed.
-    Leaves and their queries are cut into pieces of bounded size that meet in separate tasks.
+    Small leaves share a task, large ones and the queries are cut into pieces of bounded size that meet in separate
+    tasks; a task leaves top + 1 rows for each of its queries, however many leaves it holds.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("v"), queries.alias("asks")).where(F.col("vec_id").isNotNull() & taking_part(F.col("v")))
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -178,15 +202,16 @@ def neighbours(vectors: DataFrame, queries: Column, top: int = 20, id_col: str =
 
     member = keep(classes.select("h1", "h2", "first", "v").mapInArrow(homes, "h1 long, h2 long, first long, v array<double>, leaf int"), "members")
     asked = keep(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").distinct().mapInArrow(paths, "query_id long, v array<double>, leaves array<int>"), "asked")
-    probe = asked.select("query_id", "v", F.explode("leaves").alias("leaf"))
-    # at most MOST_LEAVES rows each
-    pieces = member.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE_MEMBERS).cast("int").alias("m")).join(probe.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE_QUERIES).cast("int").alias("n")), "leaf")
-    pieces = keep(pieces, "pieces")
-    left = probe.join(F.broadcast(pieces), "leaf").withColumn("qp", F.expr("pmod(xxhash64(query_id), n)")).withColumn("mp", F.explode(F.expr("sequence(0L, m - 1L)")))
-    right = member.join(F.broadcast(pieces), "leaf").withColumn("mp", F.expr("pmod(h2, m)")).withColumn("qp", F.explode(F.expr("sequence(0L, n - 1L)")))
-    keys = [F.col(c).cast("long").alias(c) for c in ("leaf", "qp", "mp")]
-    left, right = left.select(*keys, "query_id", "v"), right.select(*keys, "h1", "h2", "first", "v")
-    found = left.groupBy("leaf", "qp", "mp").cogroup(right.groupBy("leaf", "qp", "mp")).applyInArrow(_best(top + 1), "query_id long, h1 long, h2 long, first long, score double")
+    # one row for each leaf, MOST_LEAVES at most
+    counted = {r["leaf"]: r["count"] for r in member.groupBy("leaf").count().collect()}
+    deal = _groups(counted)
+    layout = spark.createDataFrame([(leaf, g, m) for leaf, (g, m) in deal.items()], "leaf int, g long, m int")
+    probe = asked.select("query_id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(layout), "leaf")
+    probe = probe.groupBy("query_id", "g").agg(F.any_value("v").alias("v"), F.max("m").alias("m"), F.collect_list("leaf").alias("leaves"))
+    pieces = -(-asked.count() // PIECE_QUERIES)
+    left = probe.select(F.expr("g + 0L").alias("g"), F.expr(f"pmod(xxhash64(query_id), {max(1, pieces)})").alias("qp"), F.explode(F.expr("sequence(0L, m - 1L)")).alias("mp"), "query_id", "v", "leaves")
+    right = member.join(F.broadcast(layout), "leaf").select(F.expr("0L + g").alias("g"), F.explode(F.expr(f"sequence(0L, {max(0, pieces - 1)}L)")).alias("qp"), F.expr("pmod(h2, m)").alias("mp"), "h1", "h2", "first", "v", "leaf")
+    found = left.groupBy("g", "qp", "mp").cogroup(right.groupBy("g", "qp", "mp")).applyInArrow(_best(top + 1), "query_id long, h1 long, h2 long, first long, score double")
     each = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
     found = found.withColumn("r", F.row_number().over(each)).where(F.col("r") <= top + 1).drop("r")
     ids = rows.select("h1", "h2", "vec_id")
