@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.store import bounded_batches
+
 #: Distinct pieces a worker remembers; beyond it the memory starts anew.
-MEMORY = 200_000
+MEMORY = 300_000
+#: Distinct pieces that go through the tokenizer as one text, a line each.
+TOGETHER = 500
 
 
 def byte_characters() -> dict[int, str]:
@@ -64,7 +68,10 @@ class Codec:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         back = {c: b for b, c in chars.items()}
         self.bytes_of = {r: bytes(back[c] for c in t) for t, r in vocab.items()}
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.by_name = {str(r): x for r, x in self.bytes_of.items()}
+        self.names = [str(r) for r in range(max(self.bytes_of) + 1)]
+        self.line = f" {ranks[bytes([10])]} "
+        self.known: dict[str, str] = {}
         self.apart = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
 
@@ -77,24 +84,38 @@ class Codec:
         return [first, *parts] if first else parts
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not yet known; decoding their ids gives the bytes kept beside them."""
-        new = sorted(p for p in pieces if p not in self.known)
+        """Encode the pieces not yet known; their ids are kept as decimal text.
+
+        A line break before a blank or a word is a match of its own, so pieces without blanks inside go many to a text, a
+        line each, and the ids are cut at that token again. All others are encoded one by one.
+        """
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = sorted(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[p] = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
-
-    def encoded(self, texts: list[str]) -> Iterator[list[tuple[int, str, bytes, list[int]]]]:
-        """The known entries of each text's pieces, a few megabytes of text at a time."""
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        plain, odd = [], []
+        for p in sorted(new):
+            word = p[1:] if p[0] == " " else p
+            (plain if word.split() == [word] else odd).append(p)
+        texts = ["\n".join(plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
+        coded = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            coded += " ".join([self.names[i] for i in e.ids]).split(self.line)
+        coded += [" ".join([self.names[i] for i in e.ids]) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        self.known.update(zip(plain + odd, coded, strict=True))
+
+    def encoded(self, texts: list[str]) -> Iterator[str]:
+        """Each text's ids in decimal, joined by one blank; a few megabytes of text at a time."""
         from assayer.llm.words import slices
 
         for lo, hi in slices(texts, 2 << 20):
             cut = [self.pieces(t) for t in texts[lo:hi]]
             self.learn({p for c in cut for p in c})
             for c in cut:
-                yield [self.known[p] for p in c]
+                yield " ".join(map(self.known.__getitem__, c))
+
+    def decoded(self, ids: str) -> bytes:
+        """Bytes of ids in decimal."""
+        return b"".join(map(self.by_name.__getitem__, ids.split(" "))) if ids else b""
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the ids; tokens may hold parts of characters, so text is made only of the whole."""
@@ -115,11 +136,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     Special tokens' strings are ordinary text. Null text counts as empty and has no tokens. Rows keep their number,
     repeated ones too; extra columns are left out.
     """
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for b in batches:
-            out = [[i for e in entries for i in e[3]] for entries in codec.encoded([t or "" for t in b.column(1).to_pylist()])]
+            out = [[int(i) for i in ids.split()] for ids in codec.encoded([t or "" for t in b.column(1).to_pylist()])]
             spans = [codec.offsets(ids) if ids else (np.zeros(0, np.int64),) * 2 for ids in out]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), *(pa.array([s[k].astype(np.int32) for s in spans], pa.list_(pa.int32())) for k in (0, 1))], ["id", "ids", "starts", "ends"])
 
@@ -144,15 +166,16 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "id", ids:
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: digests of the ids in decimal and of the bytes decoded
     from them, made in one pass so that no id list leaves the task. Null text counts as empty."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for b in batches:
             n, ids, raw = [], [], []
-            for entries in codec.encoded([t or "" for t in b.column(1).to_pylist()]):
-                n.append(sum([e[0] for e in entries]))
-                ids.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                raw.append(hashlib.sha256(b"".join([e[2] for e in entries])).hexdigest())
+            for text in codec.encoded([t or "" for t in b.column(1).to_pylist()]):
+                n.append(text.count(" ") + 1 if text else 0)
+                ids.append(hashlib.sha256(text.encode()).hexdigest())
+                raw.append(hashlib.sha256(codec.decoded(text)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
