@@ -19,8 +19,10 @@ BEGINNINGS = (4, 5, 6)
 #: Labelled rows of either label that a fit looks at, at most.
 SAMPLE_PER_LABEL = 8000
 FACTORS, EPOCHS, BATCH = 4, 20, 64
-#: A term is used if its ties to the label are this many standard deviations beyond chance.
-TELLING = 4.0
+#: Terms of a text beyond which it moves each of their factors less.
+CALM = 128
+#: Rows of the sample in which a term must occur, and standard deviations of its tie to the label at which it begins with half its log odds' weight.
+LEAST_ROWS, TELLING = 3, 4.0
 _R = 0x9E3779B97F4A7C15
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -79,7 +81,7 @@ class Machine:
     shift: float = 0.0
 
     def __post_init__(self) -> None:
-        self.active = self.weight != 0
+        self.active = (self.weight != 0) | (self.factor != 0).any(axis=1)
 
     def margin(self, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
         v = self.factor[ids]
@@ -91,35 +93,51 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(ids, to) + self.shift, -30, 30)))
 
 
-def _telling(ids: np.ndarray, to: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which terms a fit uses, those tied to the label beyond chance, and half their log odds to begin with."""
+def _start(ids: np.ndarray, to: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which terms a fit uses, whatever their tie to the label, and weights to begin with: half the log odds, drawn to zero
+    as far as chance explains them."""
     size = 1 << HASH_BITS
     n, hit = np.bincount(ids, minlength=size), np.bincount(ids, np.repeat(y, np.diff(to)), minlength=size)
     share, total = y.mean(), y.sum()
     z = (hit - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
     odds = np.log((hit + 0.5) / (total + 1)) - np.log((n - hit + 0.5) / (len(y) - total + 1))
-    use = (n >= 3) & (np.abs(z) >= TELLING)
-    return use, np.where(use, odds / 2, 0.0)
+    use = n >= LEAST_ROWS
+    return use, np.where(use, odds / 2 * z**4 / (z**4 + TELLING**4), 0.0)
+
+
+def _distinct(x: np.ndarray, seen: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(x, return_inverse=True) without a sort; `seen` and `rank` are scratch space, seen all false."""
+    seen[x] = True
+    u = np.flatnonzero(seen)
+    rank[u] = np.arange(len(u))
+    seen[u] = False
+    return u, rank[x]
 
 
 def fit_machine(ids: np.ndarray, to: np.ndarray, y: np.ndarray, positive_share: float, seed: int = 0) -> Machine:
-    """Adaptive gradient descent on the logistic loss, weights drawn to zero by a lasso step, then a calibration.
+    """Adaptive gradient descent on the logistic loss, weights and factors drawn to zero by lasso steps, then a calibration.
 
-    Terms that chance explains are left out. A fifth of the texts is held back to place the curve's slope and shift,
-    with the share of label 1 brought back to `positive_share`.
+    All terms of LEAST_ROWS rows have a weight and factors of their own: a term without a tie to the label by itself can
+    still have one beside another. A fifth of the texts is held back to choose the
+    epoch and to place the curve's slope and shift, with the share of label 1 brought back to `positive_share`.
     """
     rng = np.random.Generator(np.random.PCG64(seed))
     size = 1 << HASH_BITS
     if not len(y) or y.min() == y.max():
         p = np.clip(y.mean() if len(y) else positive_share, 1e-3, 1 - 1e-3)
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
-    common, w = _telling(ids, to, y)
+    common, w = _start(ids, to, y)
     v = rng.normal(0, 0.02, (size, FACTORS)) * common[:, None]
     gw, gv, b, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 0.0, 1e-2
     held = rng.random(len(y)) < 0.2 if len(y) >= 200 else np.zeros(len(y), bool)
     train = np.flatnonzero(~held)
-    rate, lasso, decay = 0.1, 2e-4, 1e-3
-    for _ in range(EPOCHS):
+    seen, rank = np.zeros(size, bool), np.zeros(size, np.int64)
+    rate, lasso, decay, group = 0.1, 3e-3, 1e-3, 2e-3
+    back = np.flatnonzero(held) if held.any() and len(set(y[held])) == 2 else train
+    part = [ids[to[r] : to[r + 1]] for r in back]
+    judged, bounds = np.concatenate(part), np.concatenate(([0], np.cumsum([len(p) for p in part])))
+    best, fitted, since = np.inf, None, 0
+    for epoch in range(EPOCHS):
         order = rng.permutation(train)
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
@@ -132,25 +150,32 @@ def fit_machine(ids: np.ndarray, to: np.ndarray, y: np.ndarray, positive_share:
             s = _sums(f, at)
             m = b + _sums(w[x], at) + 0.5 * ((s * s).sum(axis=1) - _sums((f * f).sum(axis=1), at))
             err = 1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]
-            u, place = np.unique(x, return_inverse=True)
+            u, place = _distinct(x, seen, rank)
             e = err[who] / len(rows)
             g = np.bincount(place, e, len(u))
             gw[u] += g * g
             step = rate / np.sqrt(gw[u])
             new = w[u] - step * g
             w[u] = np.sign(new) * np.maximum(np.abs(new) - step * lasso, 0)
-            d = e[:, None] * (s[who] - f)
+            # a text of many terms moves all their factors the same way, so each of them less
+            d = (e * np.minimum(1, CALM / np.maximum(np.diff(at), 1))[who])[:, None] * (s[who] - f)
             gr = np.stack([np.bincount(place, d[:, k], len(u)) for k in range(FACTORS)], axis=1) + decay * v[u]
             gv[u] += gr * gr
-            v[u] -= rate / 2 / np.sqrt(gv[u]) * gr
+            new = v[u] - rate / 2 / np.sqrt(gv[u]) * gr
+            norm = np.sqrt((new * new).sum(axis=1, keepdims=True))
+            v[u] = new * np.maximum(1 - rate / 2 / np.sqrt(gv[u].mean(axis=1, keepdims=True)) * group / np.maximum(norm, 1e-12), 0)
             gb += err.mean() ** 2
             b -= rate / np.sqrt(gb) * err.mean()
-    v[w == 0] = 0
-    fitted = Machine(float(b), w.astype(np.float32), v.astype(np.float32))
-    rows = np.flatnonzero(held) if held.any() and len(set(y[held])) == 2 else train
-    part = [ids[to[r] : to[r + 1]] for r in rows]
-    m = fitted.margin(np.concatenate(part), np.concatenate(([0], np.cumsum([len(p) for p in part]))))
-    t, share = y[rows], np.clip(positive_share, 1e-4, 1 - 1e-4)
+        now = Machine(float(b), w.astype(np.float32), v.astype(np.float32))
+        m = now.margin(judged, bounds)
+        loss = np.logaddexp(0, np.where(y[back] == 1, -m, m)).mean()
+        since = 0 if loss < best - 1e-4 else since + 1
+        if fitted is None or loss < best:
+            best, fitted = loss, now
+        if epoch >= 7 and since >= 4:
+            break
+    m = fitted.margin(judged, bounds)
+    t, share = y[back], np.clip(positive_share, 1e-4, 1 - 1e-4)
     weight = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
     slope, shift = 1.0, 0.0
     for _ in range(50):  # damped Newton steps on two numbers
@@ -196,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """All columns of docs and the machine's score of the whole text, 0 to 1. Null text counts as empty.
 
-    The model that goes to the tasks holds only the terms with a weight.
+    The model that goes to the tasks holds only the terms with a weight or a factor.
     """
     bounded_batches(docs.sparkSession)
     places = np.flatnonzero(machine.active)

@@ -46,6 +46,34 @@ def test_pairs_of_terms_are_learned():
     assert score(b"n1 n2 insultword n3") < 0.3 and score(b"n1 groupword n4") < 0.3 and score(b"n1 n2") < 0.3
 
 
+def test_pairs_of_words_that_are_neutral_alone_are_learned():
+    """Toxic if both words occur or neither: each is as common in toxic rows as in clean ones."""
+    rng = random.Random(6)
+    noise = [f"n{k}" for k in range(30)]
+    texts, y = [], []
+    for k in range(1600):
+        a, b = bool(k & 1), bool(k & 2)
+        words = rng.sample(noise, 6) + ["insultword"] * a + ["groupword"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        y.append(int(a == b))
+    ids, to = toxicity.terms(texts)
+    machine = toxicity.fit_machine(ids, to, np.array(y, float), 0.5)
+    score = machine.score([b"n1 insultword n3 groupword", b"n1 n2 n4", b"n1 insultword n2", b"n1 groupword n4"])
+    assert (score[:2] > 0.9).all() and (score[2:] < 0.1).all()
+
+
+def test_rare_toxic_words_count():
+    """A word of ten toxic rows and no clean one, of 4,000, raises the score."""
+    rng = random.Random(7)
+    noise = [f"n{k}" for k in range(200)]
+    texts = [" ".join(rng.sample(noise, 8) + ["common"] * (k % 2 and k % 10 != 1) + ["seldomword"] * (k % 400 == 1)).encode() for k in range(4000)]
+    ids, to = toxicity.terms(texts)
+    machine = toxicity.fit_machine(ids, to, np.array([k % 2 for k in range(4000)], float), 0.5)
+    with_it, without = machine.score([b"n1 n2 n3 seldomword", b"n1 n2 n3"])
+    assert with_it > without + 0.2
+
+
 def test_terms_ignore_case_repeats_and_marks():
     a, _ = toxicity.terms([b"Idiot, idiot! IDIOT"])
     b, _ = toxicity.terms([b"idiot"])
