@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import ann, bpe, langid, lines, minhash, packing, simhash, substrings, toxicity, warc
+from assayer.llm import ann, bpe, langid, lines, minhash, packing, periodic, simhash, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,58 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.withColumnRenamed("id", "doc_id")
+
+
+#: CRC-32 of a decimal id: a step for each byte and eight shifts after it.
+_CRC_SQL = """
+    xor(list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+        lambda k: [1000 + ascii(substr(doc_id::VARCHAR, k::INT, 1)), 1, 1, 1, 1, 1, 1, 1, 1]::UBIGINT[]))),
+        lambda c, s: CASE WHEN s >= 1000 THEN xor(c, s - 1000) ELSE xor(c >> 1, 3988292384::UBIGINT * (c & 1)) END), 4294967295::UBIGINT)
+"""
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by a hash of the id, all words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("ws"))
+    sized = words.withColumn("n", F.size("ws")).withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    tail = "transform(sequence(0L, n - a - 1), i -> get(ws, cast(a + i % (1 + (n - a) div (3 + g % 8)) as int)))"
+    repeated = F.expr(f"array_join(concat(slice(ws, 1, cast(a as int)), {tail}), ' ')")
+    return sized.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@_query(
+    "op12_periodic_runs",
+    rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_CRC_SQL} AS h FROM documents),
+    s AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS altered, (h // 10)::BIGINT AS g FROM w),
+    p AS (SELECT *, CASE WHEN altered THEN g % n ELSE 0 END AS a FROM s),
+    t AS (SELECT doc_id, n, CASE WHEN altered THEN list_transform(range(0, n), lambda i: ws[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END)::BIGINT + 1]) ELSE ws END AS ws FROM p),
+    each AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(0, n)) AS i FROM t),
+    same AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM each l JOIN each r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+    island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+    stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+    told AS (SELECT doc_id, count(*) AS n_runs, max({{'l': length, 's': -start, 'p': -period}}) AS m,
+                    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, -m.s AS start, m.l AS length, -m.p AS period, 1000 * m.l // -m.p AS exponent_milli,
+           sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+    FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(planted_repeats(_table(spark, sf_dir, "documents")))
+    most = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    told = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("m", most).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("m.start")).alias("start"),
+        F.col("m.length").alias("length"),
+        (-F.col("m.period")).alias("period"),
+        F.expr("1000 * m.length div -m.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )

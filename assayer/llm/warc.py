@@ -171,7 +171,7 @@ def _bodies(spark: SparkSession, path: str, spans: DataFrame, placed: DataFrame)
         at, length = rows.column("body_at")[0].as_py(), rows.column("length")[0].as_py()
         body = MAGIC.encode().join(pieces)[at : at + length]
         ok = len(body) == length
-        return pa.table([rows.column("file").slice(0, 1), rows.column("start").slice(0, 1), pa.array([base64.b32encode(hashlib.sha1(body).digest()).decode() if ok else None])], names=["file", "start", "whole"])
+        return pa.table([rows.column("file").slice(0, 1), rows.column("start").slice(0, 1), pa.array([base64.b32encode(hashlib.sha1(body).digest()).decode() if ok else None], pa.string())], names=["file", "start", "whole"])
 
     return again.join(wanted, ["file", "block", "k"]).groupBy("file", "start").applyInArrow(join, "file string, start long, whole string")
 
