@@ -34,6 +34,29 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def meetings(placed: DataFrame, half: int) -> DataFrame:
+    """(tile, node, side) in which nodes of one key that are in different groups meet; placed: (key, node, root, weight).
+
+    A group of `half` or more (in weights) is cut into parts of its own, the rest of a key into parts that mix whole small
+    groups. Two parts of one key meet, side 1 with side 2, unless both are of the same large group; a mixed part also
+    meets itself, as side 0. So a large group is compared with the strays in its bucket, not with itself.
+    """
+    placed = keep(placed, "placed")
+    sizes = keep(placed.groupBy("key", "root").agg(F.sum("weight").alias("size")), "sizes")
+    live = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("size") < half, F.col("size")).otherwise(0)).alias("small")).where("roots > 1")
+    where = sizes.join(live, "key").select("key", "root", "size", "small")
+    alone = F.col("size") >= half
+    part = F.when(alone, F.expr(f"pmod(xxhash64(node, 3), cast(ceil(size / {half}) as long))")).otherwise(F.expr(f"pmod(xxhash64(root, 5), greatest(1L, cast(ceil(small / {half}) as long)))"))
+    parted = placed.join(where, ["key", "root"]).select("key", "node", F.when(alone, F.col("root")).alias("of"), part.alias("part"))
+    parted = keep(parted.withColumn("piece", F.xxhash64(F.col("of").isNull(), F.coalesce("of", F.lit(0)), "part")), "parted")
+    pieces = parted.select("key", "piece", "of").distinct()
+    other = pieces.select("key", F.col("piece").alias("piece2"), F.col("of").alias("of2"))
+    meet = pieces.join(other, "key").where("piece <= piece2 and coalesce(of <> of2, true)").where("piece < piece2 or of is null")
+    one, two = F.array(F.struct("piece", F.lit(0).alias("side"))), F.array(F.struct("piece", F.lit(1).alias("side")), F.struct(F.col("piece2").alias("piece"), F.lit(2).alias("side")))
+    meet = meet.select("key", F.xxhash64("key", "piece", "piece2").alias("tile"), F.explode(F.when(F.col("piece") == F.col("piece2"), one).otherwise(two)).alias("m"))
+    return parted.join(meet.select("key", "tile", "m.piece", "m.side"), ["key", "piece"]).select("tile", "node", "side")
+
+
 def local_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Join the pairs (i, j) to the groups that `root` holds; each node's root is its group's smallest index."""
     root = root.copy()
