@@ -80,16 +80,20 @@ def run_evaluation(records: DataFrame, scores: DataFrame, config: EvaluationConf
 
 
 def identity_reports(records: DataFrame, folds: DataFrame, embeddings: DataFrame, config: EvaluationConfig) -> DataFrame:
-    """The corpus-level check and one report per fold."""
-    e = shared(embeddings.select("sample_id", "embedding"))
-    named = e.join(records.select("sample_id", "subject_id"), "sample_id")
+    """The corpus-level check and one report per fold, from one product of packed vectors: (scope, name, report columns)."""
     t, tol = config.identity_threshold, config.identity_tolerated
-    out = I.subject_partition(named, t, tol, config.max_subjects, config.seed).select(F.lit("corpus").alias("scope"), F.lit("corpus").alias("name"), "*")
-    for name in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
-        one = folds.where(F.col("fold") == name)
-        r = I.identity_disjoint(one.where(F.col("side") == "train"), one.where(F.col("side") == "test"), e, t, tol)
-        out = out.unionByName(r.select(F.lit("fold").alias("scope"), F.lit(name).alias("name"), "*"), allowMissingColumns=True)
-    return out
+    names = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    number = records.sparkSession.createDataFrame([*((k, "fold", n) for k, n in enumerate(names)), (len(names), "corpus", "corpus")], "number int, scope string, name string")
+    numbered = folds.join(number.where(F.col("scope") == "fold").select(F.col("name").alias("fold"), "number"), "fold").select("number", "sample_id", "side")
+    named = embeddings.select("sample_id", "embedding").join(records.select("sample_id", "subject_id"), "sample_id")
+    subjects = I.subject_vectors(named, len(names) + 1, len(names), config.max_subjects, config.seed)
+    found = I.scope_products(I.side_vectors(numbered.withColumnRenamed("number", "scope"), embeddings, len(names) + 1).unionByName(subjects), t)
+    side = lambda name: F.count_if(F.col("side") == name)
+    sizes = numbered.groupBy("number").agg(side("train").alias("n_train"), side("test").alias("n_test"))
+    whole = subjects.agg(F.lit(len(names)).alias("number"), F.count(F.lit(1)).alias("n_train"), F.count(F.lit(1)).alias("n_test"))
+    total = named.agg(F.lit(len(names)).alias("number"), F.countDistinct("subject_id").alias("n_subjects_total"))
+    out = number.join(sizes.unionByName(whole), "number").join(found.withColumnRenamed("scope", "number"), "number", "left").join(total, "number", "left")
+    return out.select("scope", "name", *I.report_columns(t, tol), "n_subjects_total")
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame, replicates: int = 1000, seed: int = 0, check: bool = True) -> DataFrame:
