@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.store import keep
+from assayer.llm.store import keep, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.where("a <> b").distinct()
         root = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.withColumnRenamed("m", "b"))
-        e = keep(small.where("a <> b").distinct(), "edges")
+        old, e = e, keep(small.where("a <> b").distinct(), "edges")
+        release(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out._kept = e._kept
+    return out
 
 
 def meetings(placed: DataFrame, half: int) -> DataFrame:
@@ -41,7 +44,7 @@ def meetings(placed: DataFrame, half: int) -> DataFrame:
     groups. Two parts of one key meet, side 1 with side 2, unless both are of the same large group; a mixed part also
     meets itself, as side 0. So a large group is compared with the strays in its bucket, not with itself.
     """
-    placed = keep(placed, "placed")
+    placed = keep(placed, "placed")  # its readers are lazy, so these tables stay with the session
     sizes = keep(placed.groupBy("key", "root").agg(F.sum("weight").alias("size")), "sizes")
     live = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("size") < half, F.col("size")).otherwise(0)).alias("small")).where("roots > 1")
     where = sizes.join(live, "key").select("key", "root", "size", "small")

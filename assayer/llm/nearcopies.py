@@ -1,169 +1,70 @@
-"""Near copies by MinHash bands and the exact similarity of shingle sets; one document of each group stays."""
+"""Near copies: SimHash links and the exact similarity of shingle sets; one document of each group stays."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.graph import components, local_roots
-from assayer.llm.minhash import BANDS, ROWS, signatures
-from assayer.llm.store import bounded_batches, keep
-from assayer.llm.words import mix, shingles, slices, texts_of
-
-#: Words of a shingle, least similarity of a link.
-WIDTH, THRESHOLD = 5, 0.8
-#: Texts compared in one task.
-TILE = 512
-#: Bands whose buckets are looked at first; the others' only where they hold texts that are not yet in one group.
-FIRST_BANDS = 4
-
-
-def _nodes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return mix(np.add.reduceat(mix(h + np.uint64(1)), starts))
-
-
-def nodes(texts: list[bytes]) -> np.ndarray:
-    """The node of each text alone, as a signed number; 0 for a text without a word."""
-    out = np.zeros(len(texts), np.uint64)
-    for lo, hi in slices(texts, 1 << 18):
-        h, to = shingles([t.lower() for t in texts[lo:hi]], WIDTH)
-        some = np.flatnonzero(np.diff(to))
-        if len(some):
-            out[lo + some] = _nodes(h, to[some])
-    return out.view(np.int64)
-
-
-def _prints(docs: DataFrame) -> DataFrame:
-    """(id, node, keys, shingles): a hash of the text's shingles by which equal texts are one node, a key for each band of
-    minima, and the sorted set of shingles. A-Z are lower-cased; a text without a word has node 0 and no key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.lower() for t in texts_of(b.column(1))]
-            for lo, hi in slices(texts, 1 << 18):
-                h, to = shingles(texts[lo:hi], WIDTH)
-                some = np.flatnonzero(np.diff(to))
-                node = np.zeros(hi - lo, np.uint64)
-                if len(some):
-                    node[some] = _nodes(h, to[some])
-                s = signatures(texts[lo:hi], WIDTH)[:, : BANDS * ROWS].astype(np.uint64)
-                key = np.empty((hi - lo, BANDS), np.uint64)
-                for k in range(BANDS):
-                    key[:, k] = mix(np.uint64(k + 1))
-                    for r in range(ROWS):
-                        key[:, k] = mix(key[:, k] ^ s[:, k * ROWS + r])
-                worded = np.diff(to) > 0
-                keys = [x if w else [] for x, w in zip(key.view(np.int64), worded, strict=True)]
-                sets = [np.unique(h[a:z]).tobytes() for a, z in zip(to[:-1], to[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "node", "keys", "shingles"])
-
-    return docs.mapInArrow(run, "id long, node long, keys array<long>, shingles binary")
-
+from assayer.llm import ngrams, simhash
+from assayer.llm.graph import components
+from assayer.llm.store import bounded_batches, keep, release
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two of the sets share."""
-    place, at = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.zeros(0), np.zeros(0, np.int64))
-    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    often = np.bincount(at, minlength=len(place)) > 1
-    who, at = who[often[at]], (np.cumsum(often) - 1)[at[often[at]]]
-    order = np.argsort(at, kind="stable")
-    who, at = who[order], at[order]
-    out, step = np.zeros((len(sets), len(sets)), np.int64), 4096
-    for lo in range(0, int(often.sum()), step):
-        a, z = np.searchsorted(at, [lo, lo + step])
-        held = np.zeros((len(sets), step), np.float32)
-        held[who[a:z], at[a:z] - lo] = 1
-        out += (held @ held.T).astype(np.int64)
-    return out
-
-
-def _verify(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        ids, sides = table.column("node").to_numpy(), table.column("side").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        both = common(sets)
-        linked = (both >= threshold * (size[:, None] + size[None, :] - both)) & ((sides[:, None] != sides[None, :]) | (sides == 0)[:, None])
-        root = local_roots(np.arange(len(ids)), *np.nonzero(np.triu(linked, 1)))
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+#: Words of a shingle, least similarity of a link in hundredths, differing fingerprint bits of a link.
+WIDTH, PERCENT, RADIUS = 5, 80, 4
 
-    return run
 
+def _same_prints(docs: DataFrame, prints: DataFrame, text: str, radius: int) -> DataFrame:
+    """Edges between nodes whose SimHash fingerprints differ in `radius` bits or fewer, found by bit-sliced comparison.
 
-def _links(prints: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the nodes that share a band and are as similar as the threshold.
-
-    First the buckets of a few bands are compared, large ones in pieces, and their links followed. Then, of all bands,
-    the buckets that still hold texts of several groups: parts of one group and mixed parts of small groups meet two by
-    two, but not two parts of the same group. So a large group of copies is compared with the strays in its bucket, not
-    with itself.
+    A fingerprint is computed once for each text; equal ones link to the least node among them, linked ones by those.
     """
-    classes = keep(prints.groupBy("node").agg(F.min("keys").alias("keys")), "classes")
-    member = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = keep(member.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).where("n > 1"), "buckets")
-    member = keep(member.join(buckets.select("key", "n"), "key"), "member")
-    sets = keep(prints.select("node", "shingles").join(member.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
-
-    def edges(dealt: DataFrame) -> DataFrame:
-        return dealt.join(sets, "node").groupBy("tile").applyInArrow(_verify(threshold), "a long, b long")
-
-    early = buckets.where(F.col("band") < FIRST_BANDS).groupBy("n", "who").agg(F.min("key").alias("key"))
-    piece = F.expr(f"pmod(xxhash64(node, key), cast(ceil(n * 2 / {tile}) as long))")
-    first = member.join(early.select("key"), "key").select(F.xxhash64("key", F.when(F.col("n") > tile, piece).otherwise(0)).alias("tile"), "node", F.lit(0).alias("side"))
-    found = keep(edges(first).distinct(), "links")
-
-    half = max(tile // 2, 1)
-    rooted = member.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = keep(rooted.groupBy("key", "root").agg(F.count("*").alias("size")), "sizes")
-    small = F.sum(F.when(F.col("size") < half, F.col("size")).otherwise(0))
-    live = sizes.groupBy("key").agg(F.count("*").alias("roots"), small.alias("small")).where("roots > 1")
-    where = sizes.join(live, "key").select("key", "root", "size", "small")
-    alone = F.col("size") >= half
-    part = F.when(alone, F.expr(f"pmod(xxhash64(node, 3), cast(ceil(size / {half}) as long))")).otherwise(F.expr(f"pmod(xxhash64(root, 5), cast(ceil(small / {half}) as long))"))
-    placed = rooted.join(where, ["key", "root"]).select("key", "node", F.when(alone, F.col("root")).alias("of"), part.alias("part"))
-    placed = keep(placed.withColumn("piece", F.xxhash64(F.col("of").isNull(), F.coalesce("of", F.lit(0)), "part")), "placed")
-    pieces = placed.select("key", "piece", "of").distinct()
-    other = pieces.select("key", F.col("piece").alias("piece2"), F.col("of").alias("of2"))
-    meet = pieces.join(other, "key").where("piece <= piece2 and coalesce(of <> of2, true)").where("piece < piece2 or of is null")
-    meet = meet.select("key", F.xxhash64("key", "piece", "piece2").alias("tile"), F.explode(F.when(F.col("piece") == F.col("piece2"), F.array(F.struct("piece", F.lit(0).alias("side")))).otherwise(F.array(F.struct("piece", F.lit(1).alias("side")), F.struct(F.col("piece2").alias("piece"), F.lit(2).alias("side"))))).alias("m"))
-    last = placed.join(meet.select("key", "tile", "m.piece", "m.side"), ["key", "piece"]).select("tile", "node", "side")
-    return found.unionByName(edges(last)).distinct()
+    first = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("key"), F.col(f"`{text}`").alias("text"))
+    bits = keep(simhash.fingerprints(first, "key", "text", WIDTH).distinct(), "fingerprints")
+    named = keep(prints.select(F.col("text_key").alias("id"), "node").distinct().join(bits, "id").select("node", "bits").distinct(), "named")
+    least = named.groupBy("bits").agg(F.min("node").alias("least"))
+    star = named.join(least, "bits").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    far = simhash.links(named.select("bits").distinct(), radius)
+    for end in ("a", "b"):
+        far = far.join(least.select(F.col("bits").alias(end), F.col("least").alias(f"{end}_node")), end)
+    out = keep(star.unionByName(far.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).where("a <> b").distinct(), "links")
+    release(bits, named)
+    return out
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(id, node, root): every row's text node and the smallest node that its links reach.
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, tile: int | None = None, radius: int | None = None) -> DataFrame:
+    """(id, text_key, node, root): every row's shingle set and the smallest one that its links reach.
 
-    Texts of equal shingles are one node. Two nodes link if the Jaccard similarity of their sets of five-word shingles is
-    at least `threshold`. They are compared if they agree in one of BANDS bands of ROWS minima, whatever the number of
-    texts: 5 of 100,000 pairs at a similarity of 0.8 do not.
+    Texts of equal five-word shingle sets are one node. Two nodes link if the Jaccard similarity of their sets is at least
+    `percent` hundredths, exactly (see ngrams.py), and, if a `radius` is given, if their SimHash fingerprints differ in so
+    many bits or fewer. Groups are chains of links. Texts without a word are one node.
     """
     bounded_batches(docs.sparkSession)
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    prints = keep(_prints(src), "prints")
-    found = components(_links(prints, threshold, tile))
-    return prints.select("id", "node").join(found, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    prints = keep(ngrams._prints(docs, id_col, text, WIDTH, percent), "prints")
+    links = [ngrams.links(docs, prints, text, WIDTH, percent, tile)]
+    if radius is not None:
+        links.append(_same_prints(docs, prints, text, radius))
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    found = components(edges)
+    out = keep(prints.select("id", "text_key", "node").join(found, "node", "left").select("id", "text_key", "node", F.coalesce("root", "node").alias("root")), "groups")
+    release(prints, found, *links)
+    return out
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs, one row of each near-duplicate group: that of the smallest id.
 
-    Texts without a word are one group; null text counts as empty. A row with null id stays only if its group has no
-    row with an id; of several such, or of repeated ids, one stays. An empty table gives an empty one.
+    Groups are chains of SimHash links within RADIUS bits and of exact Jaccard links from PERCENT hundredths on, both over
+    words in lower case (A-Z). Texts without a word are one group; null text counts as empty. A row with null id stays only
+    if its group has no row with an id; of several such, or of repeated ids, one stays. An empty table gives an empty one.
     """
-    placed = keep(groups(docs, id_col, text), "groups")
-    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("m"))
-    stay = best.select(F.coalesce("m.id", "m.node").alias("_key"), F.col("m.node").alias("_node"))
-
-    def node_of(texts: pa.Array) -> pa.Array:
-        return pa.array(nodes(texts_of(texts)))
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.arrow_udf(node_of, "long")(F.col(f"`{text}`")).alias("_own"))
-    rows = rows.withColumn("_id", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), "_own"))
-    joined = rows.join(stay, (rows["_id"] == stay["_key"]) & (rows["_own"] == stay["_node"]))
+    placed = groups(docs, id_col, text, radius=RADIUS)
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("m"))
+    stay = keep(best.select(F.coalesce("m.id", "m.text_key").alias("_key"), F.col("m.text_key").alias("_text")), "stay")
+    release(placed)
+    own = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("_own")).withColumn("_id", F.coalesce(F.col(f"row.`{id_col}`").cast("long"), "_own"))
+    joined = rows.join(stay, (rows["_id"] == stay["_key"]) & (rows["_own"] == stay["_text"]))
     one = Window.partitionBy("_id", "_own").orderBy(F.xxhash64("row"))
     return joined.withColumn("_r", F.row_number().over(one)).where("_r = 1").select("row.*")

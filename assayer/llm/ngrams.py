@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.graph import components, local_roots, meetings
-from assayer.llm.store import bounded_batches, keep, partitions
+from assayer.llm.store import bounded_batches, keep, partitions, release
 from assayer.llm.words import mix, shingles, slices, texts_of
 
 #: Words of an n-gram; two sets link at so many hundredths of their union.
@@ -277,9 +277,9 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, width: int) -> DataFram
     return found.select("text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
 
 
-def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Edges (a, b) of nodes that connect exactly the sets linked to each other."""
-    spark = docs.sparkSession
+def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: int, tile: int | None = None) -> DataFrame:
+    """Edges (a, b) of nodes that connect exactly the sets linked to each other. Tables of the way are removed."""
+    spark, tile = docs.sparkSession, tile or TILE
     cold = prints.select(F.explode("cold").alias("token"), "node").repartition(partitions(spark), "token").sortWithinPartitions("token", "node")
     live = cold.mapInArrow(_not_alone, "token long, node long").unionByName(prints.select(F.explode("hot").alias("token"), "node"))
     live = keep(live.distinct(), "offers")
@@ -294,25 +294,30 @@ def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: in
         groups = max(partitions(spark), -(-(rows.agg(F.sum("n")).first()[0] or 0) // most))
         return rows.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups)))
 
-    small = member.where(f"m <= {TILE}").select(F.col("key").alias("tile"), "node", F.lit(0).alias("side")).join(points, "node")
+    small = member.where(f"m <= {tile}").select(F.col("key").alias("tile"), "node", F.lit(0).alias("side")).join(points, "node")
     maybe = deal(small, 16 * TILE_GRAMS).groupBy("g").applyInArrow(_may_link(percent), "a long, b long")
-    together = components(maybe.distinct()).select(F.xxhash64("root", F.lit(1)).alias("key"), "node")
-    rooms = together.unionByName(member.where(f"m > {TILE}").select(F.xxhash64("key", F.lit(2)).alias("key"), "node"))
-    rooms = keep(rooms.join(points.select("node", "n"), "node"), "rooms")
-    sizes = rooms.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_GRAMS)).alias("pieces"))
-    rooms = keep(rooms.join(sizes, "key"), "rooms")
+    candidate = components(maybe.distinct())
+    together = candidate.select(F.xxhash64("root", F.lit(1)).alias("key"), "node")
+    rooms = together.unionByName(member.where(f"m > {tile}").select(F.xxhash64("key", F.lit(2)).alias("key"), "node"))
+    rough = keep(rooms.join(points.select("node", "n"), "node"), "rooms")
+    sizes = rough.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_GRAMS)).alias("pieces"))
+    rooms = keep(rough.join(sizes, "key"), "rooms")
+    release(live, member, rough, candidate)
     wanted = points.join(rooms.select("node").distinct(), "node", "left_semi")
-    sets = keep(_sets(docs, text, wanted, width), "sets")
-    sets = sets.join(points.select("node", "n", "point"), "node")
+    grams = keep(_sets(docs, text, wanted, width), "sets")
+    sets = grams.join(points.select("node", "n", "point"), "node")
 
     def edges(tiles: DataFrame) -> DataFrame:
         return deal(tiles.join(sets, "node"), TILE_GRAMS).groupBy("g").applyInArrow(_do_link(percent), "a long, b long").distinct()
 
     piece = F.xxhash64("key", F.expr("pmod(xxhash64(node, key), pieces)"))
     found = keep(edges(rooms.select(piece.alias("tile"), "node", F.lit(0).alias("side"))), "links")
-    cut = rooms.where("pieces > 1").join(components(found), "node", "left")
-    cut = cut.select("key", "node", F.coalesce("root", "node").alias("root"), F.greatest(F.lit(1.0), F.col("n") * (TILE / TILE_GRAMS)).alias("weight"))
-    return found.unionByName(edges(meetings(cut, TILE // 2)))
+    rooted = components(found)
+    cut = rooms.where("pieces > 1").join(rooted, "node", "left")
+    cut = cut.select("key", "node", F.coalesce("root", "node").alias("root"), F.greatest(F.lit(1.0), F.col("n") * (tile / TILE_GRAMS)).alias("weight"))
+    out = keep(found.unionByName(edges(meetings(cut, max(tile // 2, 1)))), "links")
+    release(points, rooms, grams, found, rooted)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -25,7 +25,17 @@ def keep(df: DataFrame, what: str = "table") -> DataFrame:
     """Write a table to the shared folder and read it back: no lineage, known size, survives lost executors."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept = path
+    return kept
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove kept tables whose last reader is done."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._kept)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
