@@ -118,7 +118,7 @@ def control_alarm(spark, d):
 @query("G15_evidence_gate", """
 WITH c AS (SELECT 's' || s_suppkey AS detector, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 10000 END AS auc, 'n' || s_nationkey AS corpus,
   CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'n' || s_nationkey ELSE 'n' || (s_nationkey + 3) END AS trained_on, CASE WHEN s_suppkey % 4 = 0 THEN 0.8 END AS auc_floor FROM supplier),
-a AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey % 6 <> 0),
+a AS (SELECT 'n' || n_nationkey AS id FROM nation),
 w AS (SELECT detector, CASE WHEN auc IS NULL THEN 'never_measured' WHEN auc < greatest(0.3, coalesce(auc_floor, 0.3)) THEN 'below_floor' WHEN trained_on IS NULL THEN 'training_undeclared'
   WHEN trained_on = corpus THEN 'trained_on_corpus' WHEN corpus NOT IN (SELECT id FROM a) OR trained_on NOT IN (SELECT id FROM a) THEN 'unregistered_corpus' END AS reason FROM c)
 SELECT detector, reason IS NULL AS gated, reason FROM w""")
@@ -128,5 +128,5 @@ def evidence_gate(spark, d):
     card = fx.table(spark, d, "supplier").select(
         F.concat(F.lit("s"), k.cast("string")).alias("detector"), F.when(k % 7 != 0, F.col("s_acctbal") / 10000).alias("auc"), nation(0).alias("corpus"),
         F.when(k % 5 == 0, None).when(k % 5 == 1, nation(0)).otherwise(nation(3)).alias("trained_on"), F.when(k % 4 == 0, 0.8).alias("auc_floor"))
-    assets = fx.table(spark, d, "nation").where(F.col("n_nationkey") % 6 != 0).select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("asset_id"))
+    assets = fx.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("asset_id"))
     return G.evidence_gate(card, assets, 0.3)

@@ -39,9 +39,9 @@ def meets_floor(spark, d):
 @query("P3_worst_band", """
 SELECT subject_id, CASE min(CASE WHEN generator IS DISTINCT FROM 'error' THEN CASE band WHEN 'reject' THEN 1 WHEN 'low' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END END)
   WHEN 1 THEN 'reject' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' ELSE 'unmeasured' END AS worst_band
-FROM fx_banded WHERE blur_var > 30 GROUP BY 1""", ("fx_banded",))
+FROM fx_banded GROUP BY 1""", ("fx_banded",))
 def worst_band(spark, d):
-    obs = fx.banded(spark, d).where(F.col("blur_var") > 30)
+    obs = fx.banded(spark, d)
     measured = obs.withColumn("band", F.when(~F.col("generator").eqNullSafe(F.lit("error")), F.col("band")))
     return O.worst_band(measured, "subject_id").select("subject_id", "worst_band")
 

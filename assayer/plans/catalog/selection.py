@@ -111,9 +111,9 @@ def couple_expansion(spark, d):
 
 @query("O14_real_and_derived", """
 SELECT c_custkey || '-' || arm AS sample_id, label, generator FROM customer,
-  (VALUES ('real', 0, NULL), ('blend', 1, 'blend')) t(arm, label, generator) WHERE c_acctbal >= 0""")
+  (VALUES ('real', 0, NULL), ('blend', 1, 'blend')) t(arm, label, generator)""")
 def real_and_derived(spark, d):
-    c = fx.table(spark, d, "customer").where(F.col("c_acctbal") >= 0).select("c_custkey")
+    c = fx.table(spark, d, "customer").select("c_custkey")
     return S.expand_real_and_derived(c, "c_custkey", "blend").select("sample_id", "label", "generator")
 
 

@@ -120,10 +120,10 @@ def missing_ids(spark, d):
     return ingest.missing_ids(scores, _known(spark, d))
 
 
-@query("S7_aligned", "SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus AS status, value AS score FROM orders JOIN events ON event_id = o_orderkey WHERE event_type <> 'view'")
+@query("S7_aligned", "SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus AS status, value AS score FROM orders JOIN events ON event_id = o_orderkey")
 def aligned(spark, d):
     recs = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderstatus").alias("status"))
-    scores = fx.table(spark, d, "events").where(F.col("event_type") != "view").select(F.col("event_id").cast("string").alias("sample_id"), F.col("value").alias("score"))
+    scores = fx.table(spark, d, "events").select(F.col("event_id").cast("string").alias("sample_id"), F.col("value").alias("score"))
     return ingest.aligned(recs, scores)
 
 

@@ -116,10 +116,10 @@ def row_split(spark, d):
 
 
 @query("F10_window_violations", """
-SELECT 's' || s_suppkey AS detector, 'v' || s_nationkey AS version, n_nationkey * 400 AS "window" FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE 5000 < n_nationkey * 400 AND n_nationkey % 2 = 0""")
+SELECT 's' || s_suppkey AS detector, 'v' || s_nationkey AS version, n_nationkey * 400 AS "window" FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE 5000 < n_nationkey * 400""")
 def window_violations(spark, d):
     det = fx.table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("detector"), F.concat(F.lit("v"), "s_nationkey").alias("version"))
-    win = fx.table(spark, d, "nation").where(F.col("n_nationkey") % 2 == 0).select(F.concat(F.lit("v"), "n_nationkey").alias("version"), (F.col("n_nationkey") * 400).alias("window"))
+    win = fx.table(spark, d, "nation").select(F.concat(F.lit("v"), "n_nationkey").alias("version"), (F.col("n_nationkey") * 400).alias("window"))
     return P.window_violations(det, win, 5000)
 
 
@@ -273,10 +273,10 @@ def worst_fold(spark, d):
 
 
 @query("M20_fold_intervals", f"""
-WITH {_FOLD_SCORES}, s AS (SELECT fold, subject_id, score, label FROM fs WHERE detector = 'd_iod'), d AS {draws_sql('s', 'fold', 'subject_id', 20, 0)},
-x AS (SELECT s.fold, rep, score, label, w FROM s JOIN d ON d.fold = s.fold AND d.subject_id = s.subject_id), a AS {weighted_auc_sql('x', 'fold, rep')}, p AS {auc_sql('s', 'fold')}
-SELECT a.fold, round(max(auc), 6) AS auc, max(n_pos) AS n_pos, max(n_neg) AS n_neg, round(quantile_cont(stat, 0.025), 6) AS ci_lo, round(quantile_cont(stat, 0.975), 6) AS ci_hi FROM a JOIN p ON p.fold = a.fold GROUP BY 1""", ("fx_joined",))
+WITH {_FOLD_SCORES}, s AS (SELECT fd, subject_id, score, label FROM fs WHERE score IS NOT NULL), d AS {draws_sql('s', 'fd', 'subject_id', 20, 0)},
+x AS (SELECT s.fd, rep, score, label, w FROM s JOIN d ON d.fd = s.fd AND d.subject_id = s.subject_id), a AS {weighted_auc_sql('x', 'fd, rep')}, p AS {auc_sql('fs', 'fd')}
+SELECT split_part(a.fd, '/', 1) AS fold, split_part(a.fd, '/', 2) AS detector, round(max(auc), 6) AS auc, max(n_pos) AS n_pos, max(n_neg) AS n_neg, round(quantile_cont(stat, 0.025), 6) AS ci_lo, round(quantile_cont(stat, 0.975), 6) AS ci_hi FROM a JOIN p ON p.fd = a.fd GROUP BY a.fd""", ("fx_joined",))
 def fold_intervals(spark, d):
-    s = fold_scores(spark, d).where(F.col("detector") == "d_iod")
-    j = auc(s, ["fold"]).join(B.bootstrap_ci(s, ["fold"], "subject_id", 20), "fold")
-    return j.select("fold", r6("auc").alias("auc"), "n_pos", "n_neg", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
+    s = fold_scores(spark, d)
+    j = auc(s, ["fold", "detector"]).join(B.bootstrap_ci(s, ["fold", "detector"], "subject_id", 20), ["fold", "detector"])
+    return j.select("fold", "detector", r6("auc").alias("auc"), "n_pos", "n_neg", r6("ci_lo").alias("ci_lo"), r6("ci_hi").alias("ci_hi"))
