@@ -1,11 +1,11 @@
 """Grouped bootstrap, paired differences and permutation tests.
 
-Groups are numbered once; a replicate draws as many numbers as there are
-groups. A group carries the list of replicates that drew it and rows meet that
-list by one join on the group. For the AUC rows then move once, to their score
-bucket, and all replicates are counted there together as columns of a matrix;
-what leaves a bucket is three numbers per replicate. Other statistics explode
-the compact table after the join. Raw rows are never multiplied.
+Groups are numbered once, and rows carry their group's number. Which replicates
+drew a group follows from its number alone (see draws.py), so every task makes
+the draws of its own rows: nothing that grows with the replicates is joined on
+or moved with rows. For the AUC rows go to their score bucket, for the mean
+groups go to ranges; a task multiplies its counts by a matrix of draws and
+leaves a few numbers per replicate.
 """
 
 from __future__ import annotations
@@ -21,22 +21,37 @@ from pyspark.sql.window import Window
 from assayer.functions.scalar import finite
 from assayer.functions.seed import hash_int
 from assayer.operators.curve import auc_of, tpr_of
+from assayer.operators.draws import multiplicities
 from assayer.operators.ranking import BUCKET, hash_rank, is_heavy, null_safe_join, with_value_bucket
 from assayer.session import shared
 
 STATISTICS = ("auc", "tpr_at_fpr", "mean")
-MATRIX_CELLS = 4_000_000  # values x replicates one task counts at a time
+MATRIX_CELLS = 8_000_000  # rows x replicates one task counts at a time
+RANGE_GROUPS = 4096  # groups summed together
+PLAIN = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def draws(groups: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int) -> DataFrame:
-    """(by, group, reps): the replicates that drew each group, with repeats."""
+def numbered(groups: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int) -> DataFrame:
+    """(by, group, place, n): each group's number from 0 in a seeded order, and how many groups there are."""
     if replicates < 1:
         raise ValueError(f"replicates must be at least 1, got {replicates}")
-    numbered = hash_rank(groups.select(*by, group).distinct(), by, group, seed)
-    slots = numbered.select(*by, F.col("rank").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picked = slots.select(*by, "rep", (hash_int(seed, "rep", "slot") % F.col("n") + 1).alias("rank"))
-    per = picked.groupBy(*by, "rank").agg(F.collect_list("rep").alias("reps"))
-    return null_safe_join(numbered.drop("n"), per, [*by, "rank"]).select(*by, group, "reps")
+    return hash_rank(groups.select(*by, group).distinct(), by, group, seed).select(*by, group, (F.col("rank") - 1).alias("place"), "n")
+
+
+def draws(groups: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int) -> DataFrame:
+    """(by, group, reps): the replicates that drew each group, with repeats."""
+
+    def run(n: pa.Array, place: pa.Array) -> pa.Array:
+        total, at = n.to_numpy(zero_copy_only=False), place.to_numpy(zero_copy_only=False)
+        reps = np.empty(len(total), object)
+        for one in np.unique(total):
+            own = np.flatnonzero(total == one)
+            times = multiplicities(seed, int(one), at[own], replicates)
+            reps[own] = [np.repeat(np.arange(replicates, dtype=np.int32), w) for w in times]
+        return pa.array(reps.tolist(), pa.list_(pa.int32()))
+
+    drawn = numbered(groups, by, group, replicates, seed).withColumn("reps", F.arrow_udf(run, "array<int>")("n", "place"))
+    return drawn.where(F.size("reps") > 0).select(*by, group, "reps")
 
 
 def _cells(df: DataFrame, keys: Sequence[str], group: str, score: str, label: str) -> DataFrame:
@@ -58,32 +73,44 @@ def replicate_cells(df: DataFrame, by: Sequence[str], group: str, replicates: in
     return shared(x.groupBy(*by, *arms, "rep", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
-def _count_bucket(keys: Sequence[str], replicates: int, schema: pa.Schema) -> Callable:
+def _typed(df: DataFrame, keys: Sequence[str], rest: str) -> tuple[pa.Schema, str]:
+    """Arrow and Spark forms of plain key columns followed by `rest`."""
+    kinds = {k: dict(df.dtypes)[k] for k in keys}
+    if not set(kinds.values()) <= set(PLAIN):
+        raise TypeError(f"keys must be plain columns, got {kinds}")
+    numbers = [(name, PLAIN[{"long": "bigint"}.get(kind, kind)]) for name, kind in (x.split() for x in rest.split(", "))]
+    return pa.schema([(k, PLAIN[kinds[k]]) for k in keys] + numbers), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), rest])
+
+
+def _fixed(key: tuple, keys: Sequence[str], schema: pa.Schema, replicates: int) -> list[pa.Array]:
+    """A group's key once for each replicate, and the replicates."""
+    return [*(pa.array([k.as_py()] * replicates, schema.field(i).type) for i, k in enumerate(key[: len(keys)])), pa.array(np.arange(replicates, dtype="int32"))]
+
+
+def _count_bucket(keys: Sequence[str], replicates: int, seed: int, schema: pa.Schema) -> Callable:
     """Positives, negatives and inversions per replicate inside one bucket."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        reps = table.column("reps").combine_chunks()
-        drawn = reps.flatten().to_numpy()
-        row = np.repeat(np.arange(len(reps)), reps.value_lengths().to_numpy(zero_copy_only=False))
+        place, groups = table.column("place").to_numpy(), table.column("n")[0].as_py()
         scores, pos, neg = (table.column(c).to_numpy() for c in ("score", "pos", "neg"))
         order = np.argsort(scores, kind="stable")
-        ends = np.flatnonzero(np.concatenate((scores[order][1:] != scores[order][:-1], [True]))) + 1
-        drawn_of, cut = np.split(drawn, np.cumsum(np.bincount(row, minlength=len(reps)))[:-1]), 0
+        new = np.concatenate(([True], scores[order][1:] != scores[order][:-1])) if len(order) else np.zeros(0, bool)
+        starts = np.append(np.flatnonzero(new), len(order))
         p, n, u = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
-        step = max(1, MATRIX_CELLS // replicates)
-        for lo in range(0, len(ends), step):  # so many values at a time, totals carried
-            stop = ends[lo : lo + step]
-            rows = order[cut : stop[-1]]
-            value = np.searchsorted(stop - cut, np.arange(len(rows)), "right")
-            times = np.array([len(drawn_of[r]) for r in rows])
-            cell = np.repeat(value, times) * replicates + (np.concatenate([drawn_of[r] for r in rows]) if len(rows) else drawn[:0])
-            here = lambda w: np.bincount(cell, weights=np.repeat(w[rows], times), minlength=len(stop) * replicates).reshape(len(stop), replicates)  # noqa: B023, E731
-            a, b = here(pos), here(neg)
+        step, lo = max(1, MATRIX_CELLS // replicates), 0
+        while lo < len(starts) - 1:  # so many rows at a time, whole values, totals carried
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, "right")) - 1)
+            a, b = np.zeros((hi - lo, replicates)), np.zeros((hi - lo, replicates))
+            for at in range(starts[lo], starts[hi], step):
+                rows = order[at : min(at + step, starts[hi])]
+                value = np.searchsorted(starts, np.arange(at, at + len(rows)), "right") - 1 - lo
+                heads = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+                w = multiplicities(seed, groups, place[rows], replicates)
+                a[value[heads]] += np.add.reduceat(w * pos[rows, None], heads, axis=0)
+                b[value[heads]] += np.add.reduceat(w * neg[rows, None], heads, axis=0)
             u += (a * (n + np.cumsum(b, axis=0) - b / 2.0)).sum(axis=0)
-            p, n, cut = p + a.sum(axis=0), n + b.sum(axis=0), stop[-1]
-        fixed = [pa.array([k.as_py()] * replicates, schema.field(i).type) for i, k in enumerate(key[: len(keys)])]
-        rest = [pa.array(np.arange(replicates, dtype="int32")), pa.array(p), pa.array(n), pa.array(u)]
-        return pa.Table.from_arrays([*fixed, *rest], schema=schema)
+            p, n, lo = p + a.sum(axis=0), n + b.sum(axis=0), hi
+        return pa.Table.from_arrays([*_fixed(key, keys, schema, replicates), pa.array(p), pa.array(n), pa.array(u)], schema=schema)
 
     return run
 
@@ -96,21 +123,15 @@ def replicate_auc(df: DataFrame, by: Sequence[str], group: str, replicates: int,
     by group: a single value has no order inside it, so its counts just add up.
     """
     cells = shared(_cells(df, [*by, *arms], group, score, label))
-    d = draws(cells, by, group, replicates, seed)
     rows = max(500, MATRIX_CELLS // replicates)
     keys = [*by, *arms]
     b = with_value_bucket(cells, "score", alike=("pos", "neg"), rows=rows)
-    x = null_safe_join(b, d, [*by, group])
+    x = null_safe_join(b, numbered(cells, by, group, replicates, seed), [*by, group])
     spread = F.pmod(hash_int(seed, group), F.lit(1024))
-    x = x.select(*keys, BUCKET, "score", "pos", "neg", "reps", is_heavy(F.col(BUCKET)).alias("_heavy"), F.when(is_heavy(F.col(BUCKET)), spread).otherwise(0).alias("_salt"))
+    x = x.select(*keys, BUCKET, "score", "pos", "neg", "place", "n", is_heavy(F.col(BUCKET)).alias("_heavy"), F.when(is_heavy(F.col(BUCKET)), spread).otherwise(0).alias("_salt"))
     out = [*keys, BUCKET, "_heavy"]
-    kinds = dict(x.select(*out).dtypes)
-    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-    if not set(kinds.values()) <= set(arrow):
-        raise TypeError(f"keys must be plain columns, got {kinds}")
-    schema = pa.schema([(k, arrow[kinds[k]]) for k in out] + [("rep", pa.int32()), ("_p", pa.float64()), ("_n", pa.float64()), ("_u", pa.float64())])
-    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in out) + ", rep int, _p double, _n double, _u double"
-    parts = x.groupBy(*out, "_salt").applyInArrow(_count_bucket(out, replicates, schema), ddl)
+    schema, ddl = _typed(x, out, "rep int, _p double, _n double, _u double")
+    parts = x.groupBy(*out, "_salt").applyInArrow(_count_bucket(out, replicates, seed, schema), ddl)
     whole = parts.groupBy(*out, "rep").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_u").alias("_u"))
     lower = Window.partitionBy(*keys, "rep").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(lower), F.lit(0.0))
@@ -120,14 +141,34 @@ def replicate_auc(df: DataFrame, by: Sequence[str], group: str, replicates: int,
     return g.select(*keys, "rep", F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / (F.col("_p") * F.col("_n"))).alias("stat"))
 
 
+def _sum_range(keys: Sequence[str], replicates: int, seed: int, schema: pa.Schema) -> Callable:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros((replicates, 2))
+        step = max(1, MATRIX_CELLS // replicates)
+        for at in range(0, table.num_rows, step):
+            part = table.slice(at, step)
+            w = multiplicities(seed, part.column("n")[0].as_py(), part.column("place").to_numpy(), replicates)
+            total += w.T @ np.column_stack([part.column("_s").to_numpy(), part.column("_c").to_numpy()])
+        return pa.Table.from_arrays([*_fixed(key, keys, schema, replicates), pa.array(total[:, 0]), pa.array(total[:, 1])], schema=schema)
+
+    return run
+
+
+def replicate_mean(df: DataFrame, by: Sequence[str], group: str, replicates: int, seed: int, score: str = "score") -> DataFrame:
+    """(by, rep, stat): the mean finite score of every replicate, from one sum and count per group."""
+    s = F.col(score).cast("double")
+    sums = shared(df.where(finite(score)).groupBy(*by, group).agg(F.sum(s).alias("_s"), F.count(F.lit(1)).cast("double").alias("_c")))
+    x = null_safe_join(sums, numbered(sums, by, group, replicates, seed), [*by, group]).withColumn("_range", F.floor(F.col("place") / RANGE_GROUPS))
+    schema, ddl = _typed(x, by, "rep int, _s double, _c double")
+    parts = x.select(*by, "_range", "place", "n", "_s", "_c").groupBy(*by, "_range").applyInArrow(_sum_range(list(by), replicates, seed, schema), ddl)
+    return parts.groupBy(*by, "rep").agg((F.sum("_s") / F.sum("_c")).alias("stat"))
+
+
 def replicate_statistic(cells: DataFrame, keys: Sequence[str], stat: str, fpr: float = 0.01) -> DataFrame:
     """A statistic per replicate from exploded cells, NULL where it is undefined."""
     keys = [*keys, "rep"]
     if stat == "tpr_at_fpr":
         return tpr_of(cells, keys, {"stat": fpr}).select(*keys, "stat")
-    if stat == "mean":
-        n = F.col("pos") + F.col("neg")
-        return cells.groupBy(*keys).agg((F.sum(F.col("score") * n) / F.sum(n)).alias("stat"))
     raise ValueError(f"unknown statistic {stat!r}; choose from {STATISTICS}")
 
 
@@ -146,6 +187,8 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], group: str, replicates: int =
     """Percentile interval of a statistic, resampling whole groups."""
     if stat == "auc":
         return interval(replicate_auc(df, by, group, replicates, seed, score=score, label=label), by, alpha)
+    if stat == "mean":
+        return interval(replicate_mean(df, by, group, replicates, seed, score), by, alpha)
     cells = replicate_cells(df, by, group, replicates, seed, score=score, label=label)
     return interval(replicate_statistic(cells, by, stat, fpr), by, alpha)
 

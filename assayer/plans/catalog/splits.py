@@ -160,12 +160,25 @@ def subject_partition(spark, d):
 # --- resampling --------------------------------------------------------------
 
 
+def _hash_sql(start: str, values: list[str]) -> str:
+    """A 32-bit hash folded over values: shifts are coded from 2**32 on, factors from 2**43 on, all else is taken in by xor."""
+    steps = [f"({start})::UBIGINT"]
+    for v in values:
+        steps += [f"({v})::UBIGINT", *(f"{x}::UBIGINT" for x in (2**32 + 16, 2**43 + 0x7FEB352D, 2**32 + 15, 2**43 + 0x846CA68B, 2**32 + 16))]
+    return f"list_reduce([{', '.join(steps)}], lambda x, o: CASE WHEN o >= {2**43} THEN (x * (o - {2**43})) & {2**32 - 1} WHEN o >= {2**32} THEN xor(x, x >> (o - {2**32})) ELSE xor(x, o) END)"
+
+
 def draws_sql(groups: str, by: str, group: str, reps: int, seed: int) -> str:
-    """(by, rep, group, w) by the same seeded rule, counted the plain way."""
-    return f"""(SELECT n.{by}, rep, n.{group}, w FROM (SELECT {by}, {group}, row_number() OVER (PARTITION BY {by} ORDER BY {_md5(seed, group)}, {group}) AS rk FROM (SELECT DISTINCT {by}, {group} FROM {groups})) n
-  JOIN (SELECT {by}, rep, ('0x' || substr(md5(concat_ws('|', '{seed}', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))), 1, 15))::BIGINT % n + 1 AS rk, count(*) AS w
-    FROM (SELECT {by}, count(DISTINCT {group}) AS n FROM {groups} GROUP BY 1) s, range(0, {reps}) t(rep), (SELECT unnest(range(1, (SELECT count(DISTINCT {group}) + 1 FROM {groups}))) AS slot) u WHERE slot <= n GROUP BY 1, 2, 3) c
-  ON c.{by} = n.{by} AND c.rk = n.rk)"""
+    """(by, rep, group, w): n draws split down to single groups, range by range, bit by bit."""
+    ones = f"coalesce(list_sum(list_transform(range(0, (s[1] + 31) // 32), lambda w: bit_count({_hash_sql('h', ['b[1]', 'w'])} & ((1::UBIGINT << least(s[1] - 32 * w, 32)::UBIGINT) - 1)))), 0)::BIGINT"
+    step = f"""CASE WHEN s[1] = 0 OR share & ((2::BIGINT << b[1]) - 1) = 0 THEN [0, s[2]]
+      ELSE list_transform([{ones}], lambda one: CASE WHEN (share >> b[1]) & 1 = 1 THEN [one, s[2] + s[1] - one] ELSE [s[1] - one, s[2]] END)[1] END"""
+    taken = f"list_reduce(list_concat([[m, 0]], list_transform(range(31, -1, -1), lambda b: [b, 0])), lambda s, b: {step})[2]"
+    return f"""(WITH RECURSIVE num AS (SELECT {by}, {group}, row_number() OVER (PARTITION BY {by} ORDER BY {_md5(seed, group)}, {group}) - 1 AS place, count(*) OVER (PARTITION BY {by}) AS n FROM (SELECT DISTINCT {by}, {group} FROM {groups})),
+  tree AS (SELECT DISTINCT {by}, rep, 0::BIGINT AS lo, n::BIGINT AS size, n::BIGINT AS m FROM num, range(0, {reps}) t(rep) UNION ALL
+    SELECT {by}, rep, unnest([lo, lo + half]), unnest([half, size - half]), unnest([went, m - went]) FROM (SELECT *, {taken} AS went FROM (SELECT *, (half << 32) // size AS share, {_hash_sql(str(seed), ['rep', 'lo', 'size', '0'])} AS h
+    FROM (SELECT *, pow(2, floor(log2(size - 1)))::BIGINT AS half FROM tree WHERE size > 1 AND m > 0))))
+  SELECT num.{by}, rep, num.{group}, m AS w FROM tree JOIN num ON num.{by} = tree.{by} AND num.place = tree.lo WHERE size = 1 AND m > 0)"""
 
 
 def weighted_auc_sql(source: str, keys: str) -> str:
