@@ -11,9 +11,9 @@ from assayer.operators.curve import auc
 from assayer.operators.decide import isolated_scorer
 from assayer.plans import evaluation as E
 from assayer.plans.catalog.decisions import curves
-from assayer.plans.catalog.metrics import r6
+from assayer.plans.catalog.metrics import auc_sql, ece_sql, r6, tpr_sql
 from assayer.plans.catalog.registry import query
-from assayer.plans.catalog.splits import _FOLDS, assignments, draws_sql, weighted_auc_sql
+from assayer.plans.catalog.splits import _COS, _FOLDS, assignments, draws_sql, relabelled, weighted_auc_sql
 from assayer.streaming import decisions as D
 from assayer.streaming import inbox as T
 
@@ -211,11 +211,74 @@ def compare_runs(spark, d):
     return c.select("fold", *[r6(k).alias(k) for k in ("baseline_auc", "candidate_auc", "delta", "ci_lo", "ci_hi")], "n", "n_fake", "n_subjects", "is_worst", "improved")
 
 
-@query("C18_evaluation")
+def _cells(section: str, subject: str, metrics: list[str], source: str) -> str:
+    names, values = ", ".join(f"'{m}'" for m in metrics), ", ".join(f"CAST({m} AS DOUBLE)" for m in metrics)
+    return f"SELECT '{section}' AS section, {subject} AS subject, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM {source}"
+
+
+_EVAL_REPS = 12
+_SCORES = ["n", "abstention_rate", "auc", "tpr_at_1pct", "tpr_at_0p1pct", "ece", "ci_lo", "ci_hi", "n_draws", "n_degenerate"]
+
+
+def _report_sql(source: str, by: str) -> str:
+    """All metrics of a detector table keyed by one text column, with a bootstrap interval over subjects."""
+    return f"""(SELECT h.{by} AS k, h.n, ab AS abstention_rate, a.auc, t1.tpr AS tpr_at_1pct, t2.tpr AS tpr_at_0p1pct, CASE WHEN a.auc IS NOT NULL THEN e.ece END AS ece, ci_lo, ci_hi, n_draws, n_degenerate
+  FROM (SELECT {by}, count(*) AS n, avg(CASE WHEN score IS NULL THEN 1.0 ELSE 0.0 END) AS ab FROM {source} GROUP BY 1) h
+  LEFT JOIN {auc_sql(source, by)} a ON a.{by} = h.{by} LEFT JOIN {tpr_sql(source, by, 0.01)} t1 ON t1.{by} = h.{by} LEFT JOIN {tpr_sql(source, by, 0.001)} t2 ON t2.{by} = h.{by}
+  LEFT JOIN {ece_sql(source, by)} e ON e.{by} = h.{by}
+  LEFT JOIN (SELECT {by}, quantile_cont(stat, 0.025) AS ci_lo, quantile_cont(stat, 0.975) AS ci_hi, count(*) AS n_draws, count(*) FILTER (stat IS NULL) AS n_degenerate
+    FROM {weighted_auc_sql(f"(SELECT s.{by}, d.rep, s.score, s.label, d.w FROM {source}_finite s JOIN {source}_draws d ON d.{by} = s.{by} AND d.subject_id = s.subject_id)", f'{by}, rep')} GROUP BY 1) c ON c.{by} = h.{by})"""
+
+
+_IDENTITY = ["n_train", "n_test", "max_similarity", "violations", "threshold", "violation_rate", "tolerated_rate", "n_subjects_total"]
+_PAIR = "SELECT {k}, count(*) AS pairs, count(*) FILTER (c >= 0.35) AS violations, greatest(0, max(c)) AS max_similarity"
+
+
+@query("C18_evaluation", f"""
+WITH {_FOLDS},
+sj AS (SELECT s.detector, s.score, r.sample_id, r.subject_id, r.y AS label, r.g AS generator, r.stratum, r.exposure FROM fx_scores s JOIN r ON r.sample_id = s.sample_id),
+fj AS (SELECT asg.fold || '/' || sj.detector AS fd, asg.fold, sj.detector, sj.score, sj.label, sj.subject_id FROM sj JOIN asg ON asg.sample_id = sj.sample_id WHERE side = 'test'),
+sj_finite AS (SELECT * FROM sj WHERE score IS NOT NULL), fj_finite AS (SELECT * FROM fj WHERE score IS NOT NULL),
+sj_draws AS {draws_sql('sj_finite', 'detector', 'subject_id', _EVAL_REPS, 4)}, fj_draws AS {draws_sql('fj_finite', 'fd', 'subject_id', _EVAL_REPS, 4)},
+rep AS (SELECT *, CASE k WHEN 'd_value' THEN 'ok' WHEN 'd_exposure' THEN 'weights_absent' ELSE 'no_target' END AS status, CASE WHEN k = 'd_value' THEN (SELECT avg(exposure) FROM fx_records) END AS adversarial_tpr FROM {_report_sql('sj', 'detector')}),
+fold AS (SELECT f.*, split_part(k, '/', 1) AS fold, split_part(k, '/', 2) AS detector, n_dropped FROM {_report_sql('fj', 'fd')} f JOIN (SELECT fold, count(*) FILTER (side = 'dropped') AS n_dropped FROM asg GROUP BY 1) x ON x.fold = split_part(k, '/', 1)),
+va AS (SELECT detector || '/dim' AS dv, 0.8 * score + 0.1 * exposure AS score, label FROM sj UNION ALL SELECT detector || '/flip', 1 - score, label FROM sj),
+vr AS (SELECT h.dv, n, n_scored, tpr AS tpr_at_1pct FROM (SELECT dv, count(*) AS n, count(score) AS n_scored FROM va GROUP BY 1) h LEFT JOIN {tpr_sql('va', 'dv', 0.01)} t ON t.dv = h.dv),
+pg AS (SELECT stratum, count(*) FILTER (y = 0) AS n FROM r GROUP BY 1), pk AS (SELECT sj.* FROM sj JOIN pg ON pg.stratum = sj.stratum WHERE pg.n >= 150 AND score IS NOT NULL),
+pt AS (SELECT detector, quantile_cont(score, 0.99) AS thr FROM pk WHERE label = 0 GROUP BY 1),
+pr AS (SELECT pk.detector, pk.stratum, avg(CASE WHEN label = 0 THEN CASE WHEN score > thr THEN 1.0 ELSE 0.0 END END) AS fpr FROM pk JOIN pt ON pt.detector = pk.detector GROUP BY 1, 2),
+px AS (SELECT detector, CASE WHEN count(fpr) < 2 THEN 1 WHEN min(fpr) = 0 THEN CASE WHEN max(fpr) > 0 THEN CAST('inf' AS DOUBLE) ELSE 1 END ELSE max(fpr) / min(fpr) END AS ratio FROM pr GROUP BY 1),
+par AS (SELECT d.detector, CASE WHEN ok < 2 THEN 'too_few_per_stratum' ELSE 'ok' END AS status, thr AS threshold, ratio AS fpr_ratio, n_excluded FROM (SELECT DISTINCT detector FROM sj) d
+  CROSS JOIN (SELECT count(*) FILTER (n >= 150) AS ok, count(*) FILTER (n < 150) AS n_excluded FROM pg) LEFT JOIN pt ON pt.detector = d.detector AND ok >= 2 LEFT JOIN px ON px.detector = d.detector AND ok >= 2),
+em AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, embedding FROM embeddings),
+pe AS (SELECT r.subject_id, arg_min(embedding, em.sample_id) AS embedding FROM em JOIN r ON r.sample_id = em.sample_id GROUP BY 1),
+fp AS ({_PAIR.format(k='fold')} FROM (SELECT x.fold, {_COS} AS c FROM asg x JOIN em a ON a.sample_id = x.sample_id JOIN asg z ON z.fold = x.fold JOIN em b ON b.sample_id = z.sample_id WHERE x.side = 'train' AND z.side = 'test') GROUP BY 1),
+cp AS ({_PAIR.format(k="'corpus'")} FROM (SELECT {_COS} AS c FROM pe a JOIN pe b ON a.subject_id < b.subject_id)),
+idn AS (SELECT 'fold' AS scope, n.fold AS name, n_train, n_test, coalesce(max_similarity, 0) AS max_similarity, coalesce(violations, 0) AS violations, 0.35 AS threshold, coalesce(violations / pairs, 0) AS violation_rate, 0 AS tolerated_rate, NULL AS n_subjects_total
+  FROM (SELECT fold, count(*) FILTER (side = 'train') AS n_train, count(*) FILTER (side = 'test') AS n_test FROM asg GROUP BY 1) n LEFT JOIN fp ON fp.fold = n.fold
+  UNION ALL SELECT 'corpus', 'corpus', (SELECT count(*) FROM pe), (SELECT count(*) FROM pe), max_similarity, violations, 0.35, violations / pairs, 0, (SELECT count(*) FROM pe) FROM cp),
+wi AS (SELECT arg_max(name, (violation_rate, max_similarity, name)) AS worst, max(violation_rate) AS violation_rate, arg_max(max_similarity, (violation_rate, max_similarity, name)) AS max_similarity FROM idn),
+cells AS ({_cells('report', "k || '/' || status", [*_SCORES, 'adversarial_tpr'], 'rep')}
+  UNION ALL {_cells('folds', "fold || '/' || detector", [*_SCORES, 'n_dropped'], 'fold')}
+  UNION ALL {_cells('variants', 'dv', ['n', 'n_scored', 'tpr_at_1pct'], 'vr')}
+  UNION ALL {_cells('abstention', "detector || '/' || class", ['abstained', 'total'], "(SELECT detector, coalesce(generator, 'real') AS class, count(*) FILTER (score IS NULL) AS abstained, count(*) AS total FROM sj GROUP BY 1, 2)")}
+  UNION ALL {_cells('fold_sizes', 'fold', ['train_reals', 'train_fakes', 'test_reals', 'test_fakes', 'dropped'], "(SELECT fold, count(*) FILTER (side = 'train' AND label = 0) AS train_reals, count(*) FILTER (side = 'train' AND label = 1) AS train_fakes, count(*) FILTER (side = 'test' AND label = 0) AS test_reals, count(*) FILTER (side = 'test' AND label = 1) AS test_fakes, count(*) FILTER (side = 'dropped') AS dropped FROM asg GROUP BY 1)")}
+  UNION ALL {_cells('worst_fold', "detector || '/' || worst", ['worst_auc'], '(SELECT detector, min(auc) AS worst_auc, arg_min(fold, auc) AS worst FROM fold GROUP BY 1)')}
+  UNION ALL {_cells('parity', "detector || '/' || status", ['threshold', 'fpr_ratio', 'n_excluded'], 'par')}
+  UNION ALL {_cells('missing_embeddings', "''", ['n'], '(SELECT count(*) AS n FROM r WHERE sample_id NOT IN (SELECT sample_id FROM em))')}
+  UNION ALL {_cells('identity', "scope || '/' || name", _IDENTITY, 'idn')}
+  UNION ALL {_cells('worst_identity', "'violation/' || worst", ['violation_rate', 'max_similarity'], 'wi')})
+SELECT section, subject, metric, round(value, 6) AS value FROM cells""", ("fx_records", "fx_scores"))
 def evaluation(spark, d):
-    r = fx.records(spark, d).withColumn("face_detector", F.lit("one")).withColumn("align", F.lit("five_point"))
-    cfg = E.EvaluationConfig(seed=4, bootstrap=20, waived=frozenset({"parity"}))
-    out = E.run_evaluation(r, fx.scored(spark, d).select("sample_id", "detector", "score"), cfg)
+    r = relabelled(fx.records(spark, d)).withColumn("face_detector", F.lit("one")).withColumn("align", F.lit("five_point"))
+    cfg = E.EvaluationConfig(seed=4, bootstrap=_EVAL_REPS, bootstrap_group="subject_id", identity_threshold=0.35, waived=frozenset({"parity", "identity"}))
+    scored = fx.scored(spark, d)
+    perturbed = F.array(F.struct(F.lit("dim").alias("variant"), (0.8 * F.col("score") + 0.1 * F.col("exposure")).alias("score")), F.struct(F.lit("flip").alias("variant"), (1 - F.col("score")).alias("score")))
+    variants = scored.select("sample_id", "detector", F.inline(perturbed))
+    names = scored.groupBy("detector").agg(F.avg("exposure").alias("adversarial_tpr"))
+    attacks = names.where(F.col("detector") == "d_value")
+    targets = names.where(F.col("detector") != "d_iod").select("detector", (F.col("detector") == "d_value").alias("weights_present"))
+    out = E.run_evaluation(r, scored.select("sample_id", "detector", "score"), cfg, fx.identities(spark, d), variants, attacks, targets)
     return E.tidy({k: v for k, v in out.items() if k != "dataset"}).withColumn("value", r6("value"))
 
 

@@ -46,13 +46,13 @@ asg AS (SELECT sf.fold, r.sample_id, r.y AS label, CASE WHEN y = 0 THEN CASE WHE
   FROM r JOIN sf ON sf.subject_id = r.subject_id)"""
 
 
-def _relabelled(df):
+def relabelled(df):
     hit = F.col("subject_id").isin("u1", "u2", "u3") & (F.col("label") == 0)
     return df.withColumn("generator", F.when(hit, "error").otherwise(F.col("generator"))).withColumn("label", F.when(hit, 1).otherwise(F.col("label")))
 
 
 def assignments(spark, d):
-    return shared(P.generator_folds(_relabelled(fx.records(spark, d)), 4))
+    return shared(P.generator_folds(relabelled(fx.records(spark, d)), 4))
 
 
 @query("F2_generator_folds", f"WITH {_FOLDS} SELECT fold, sample_id, side FROM asg", ("fx_records",))

@@ -7,12 +7,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer import plugins as U
 from assayer import schema as K
+from assayer.functions.scalar import finite
 from assayer.operators import guards as G
 from assayer.operators import identity as I
 from assayer.operators import metrics as M
 from assayer.operators import resample as B
 from assayer.operators import splits as P
+from assayer.operators.curve import tpr_at_fpr
 from assayer.operators.ranking import null_safe_join
 from assayer.operators.select import require_same_coverage
 from assayer.session import shared
@@ -22,6 +25,7 @@ from assayer.session import shared
 class EvaluationConfig:
     seed: int = 0
     bootstrap: int = 1000
+    bootstrap_group: str = "source_id"
     parity_at_fpr: float = 0.01
     parity_ceiling: float = 2.0
     min_genuine: int = K.MIN_GENUINE_PER_STRATUM
@@ -49,29 +53,45 @@ def check_corpus(records: DataFrame, config: EvaluationConfig) -> None:
     G.require(G.mixed_preprocessing(records), "non-uniform preprocessing")
 
 
-def run_evaluation(records: DataFrame, scores: DataFrame, config: EvaluationConfig = EvaluationConfig(), embeddings: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Guards, metrics, folds, identity and parity over one pass of scores.
+def run_evaluation(records: DataFrame, scores: DataFrame, config: EvaluationConfig = EvaluationConfig(), embeddings: DataFrame | None = None,
+                   variants: DataFrame | None = None, attacks: DataFrame | None = None, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Guards, metrics with intervals, folds, variants, identity and parity over one pass of scores.
 
-    ``scores`` is (sample_id, detector, score[, latency_ms]). Scores are
+    ``scores`` is (sample_id, detector, score[, latency_ms]); ``variants`` is (sample_id, detector, variant, score), the
+    same samples after a perturbation; ``attacks`` and ``targets`` are as in :func:`adversarial_status`. Scores are
     computed elsewhere once; folds slice them. Every entry is lazy.
+
+    A waived guard still measures. With identity waived, samples without an embedding are counted, the others are
+    compared, and the status is a violation.
     """
     check_corpus(records, config)
     cols = [c for c in ("latency_ms",) if c in scores.columns]
-    long = shared(scores.select("sample_id", "detector", "score", *cols).join(records.select("sample_id", "subject_id", "label", "generator", "stratum"), "sample_id"))
+    known = records.select(*dict.fromkeys(["sample_id", config.bootstrap_group, "subject_id", "label", "generator", "stratum"]))
+    long = shared(scores.select("sample_id", "detector", "score", *cols).join(known, "sample_id"))
     folds = shared(P.generator_folds(records, config.seed))
     P.require_measurable(folds)
-    ci = B.bootstrap_ci(long, ["detector"], "subject_id", config.bootstrap, config.seed)
-    report = null_safe_join(M.detector_report(long, ["detector"], latency=cols[0] if cols else None), ci, ["detector"], "left")
-    by_fold = shared(M.fold_report(long, folds))
+    interval = lambda rows, by: B.bootstrap_ci(rows, by, config.bootstrap_group, config.bootstrap, config.seed)
+    report = null_safe_join(M.detector_report(long, ["detector"], latency=cols[0] if cols else None), interval(long, ["detector"]), ["detector"], "left")
+    if attacks is not None and targets is None:
+        raise ValueError("attack results need the table of detectors that offer a target")
+    report = U.adversarial_status(report, attacks, targets)
+    tests = long.join(folds.where(F.col("side") == "test").select("fold", "sample_id"), "sample_id")
+    by_fold = shared(null_safe_join(M.fold_report(long, folds), interval(tests, ["fold", "detector"]), ["fold", "detector"], "left"))
     out = {
         "dataset": M.dataset_hash(records), "report": report, "abstention": M.abstention_by_class(long), "folds": by_fold,
         "fold_sizes": P.fold_counts(folds), "worst_fold": M.worst_fold(by_fold),
         "parity": G.parity_report(long, records, config.parity_at_fpr, config.parity_ceiling, config.min_genuine),
     }
+    if variants is not None:
+        out["variants"] = variant_report(variants, records)
     if embeddings is not None:
-        G.require(I.missing_embeddings(records, embeddings), "no embedding, so disjointness cannot be certified")
+        missing = I.missing_embeddings(records, embeddings)
+        if "identity" not in config.waived:
+            G.require(missing, "no embedding, so disjointness cannot be certified")
+        out["missing_embeddings"] = missing.agg(F.count(F.lit(1)).alias("n"))
         out["identity"] = identity_reports(records, folds, embeddings, config)
-        out["worst_identity"] = G.worst_identity(out["identity"])
+        worst = null_safe_join(G.worst_identity(out["identity"]), out["missing_embeddings"], [])
+        out["worst_identity"] = worst.withColumn("status", F.when(F.col("n") > 0, "violation").otherwise(F.col("status"))).drop("n")
         if "identity" not in config.waived:
             G.require(out["worst_identity"].where(F.col("status") == "violation"), "identity leakage")
     if "parity" not in config.waived:
@@ -79,6 +99,14 @@ def run_evaluation(records: DataFrame, scores: DataFrame, config: EvaluationConf
     return out
 
 
+def variant_report(variants: DataFrame, records: DataFrame) -> DataFrame:
+    """(detector, variant, n, n_scored, tpr_at_1pct): detection after each perturbation, NULL with one class."""
+    rows = variants.join(records.select("sample_id", "label"), "sample_id")
+    n = rows.groupBy("detector", "variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(finite("score")).alias("n_scored"))
+    tpr = tpr_at_fpr(rows, ["detector", "variant"], {"tpr_at_1pct": 0.01}).select("detector", "variant", "tpr_at_1pct")
+    return n.join(tpr, ["detector", "variant"], "left")
+
+
 def identity_reports(records: DataFrame, folds: DataFrame, embeddings: DataFrame, config: EvaluationConfig) -> DataFrame:
     """The corpus-level check and one report per fold, from one product of packed vectors: (scope, name, report columns)."""
     t, tol = config.identity_threshold, config.identity_tolerated

@@ -51,6 +51,31 @@ def test_leaking_identities_are_refused(spark, corpus):
         E.run_evaluation(records, scores, E.EvaluationConfig(bootstrap=5, waived=frozenset({"parity"})), emb.limit(10))
 
 
+def test_a_waived_guard_goes_on_without_some_embeddings(spark, corpus):
+    records, scores, emb = corpus
+    some = emb.where(F.col("sample_id") != "s3")
+    out = E.run_evaluation(records, scores, E.EvaluationConfig(bootstrap=5, waived=frozenset({"parity", "identity"})), some)
+    assert out["missing_embeddings"].first().n == 1
+    assert out["worst_identity"].first().status == "violation"
+    assert {r.name: r.violations for r in out["identity"].collect()} == {"corpus": 0, "ga": 0, "gb": 0, "gc": 0}
+
+
+def test_variants_attacks_and_fold_intervals(spark, corpus):
+    records, scores, emb = corpus
+    variants = scores.select("sample_id", "detector", F.lit("flip").alias("variant"), (1 - F.col("score")).alias("score"))
+    targets = spark.createDataFrame([("good", True)], "detector string, weights_present boolean")
+    attacks = spark.createDataFrame([("good", 0.25)], "detector string, adversarial_tpr double")
+    cfg = E.EvaluationConfig(bootstrap=20, bootstrap_group="subject_id", waived=frozenset({"parity"}))
+    out = E.run_evaluation(records, scores, cfg, None, variants, attacks, targets)
+    assert {r.detector: (r.adversarial_tpr, r.adversarial_status) for r in out["report"].collect()} == {"good": (0.25, "ok"), "blind": (None, "no_target")}
+    flip = {r.detector: r for r in out["variants"].collect()}
+    assert flip["good"].tpr_at_1pct < 0.05 and (flip["good"].n, flip["good"].n_scored) == (240, 228)
+    for r in out["folds"].collect():
+        assert r.n_draws == 20 and (r.auc is None or r.ci_lo is None or r.ci_lo <= r.ci_hi)
+    with pytest.raises(ValueError, match="target"):
+        E.run_evaluation(records, scores, cfg, attacks=attacks)
+
+
 @pytest.mark.parametrize("break_it, what", [
     (lambda r: r.withColumn("label", F.lit(2)), "malformed"),
     (lambda r: r.unionByName(r.limit(1)), "duplicate"),

@@ -6,7 +6,7 @@ import check
 from assayer.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-COMPOSED = {"C18_evaluation", "L6_shortcut_control"}  # exercised by their own tests
+COMPOSED = {"L6_shortcut_control"}  # exercised by their own tests
 
 
 @pytest.fixture(scope="module")
