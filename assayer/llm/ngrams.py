@@ -3,9 +3,11 @@
 1. A table of SLOTS counters tells how common each n-gram is, to a power of two. Each document offers its rarest n-grams,
    just so many that two sets of the wanted similarity must have one of them in common whatever they are; documents meet
    in the buckets of what they offer.
-2. The n-grams of a set are hashed into GROUPS, and the group counts are a point. In each bucket an R-tree holds the
-   points: a box keeps the largest count of each group and the smallest set size. Two sets share at most the sum of the
-   smaller counts, two boxes no more than the sum over their corners; pairs whose bound is too small are left out.
+2. The n-grams of a set are hashed into groups, and the group counts are a point: GROUPS of them, for a large set so many
+   more that PER_GROUP n-grams fall into one. In each bucket an R-tree holds the points, folded to GROUPS: a box keeps the
+   largest count of each group and the smallest set size. Two sets share at most the sum of the smaller counts, two boxes
+   no more than the sum over their corners; pairs whose bound is too small are left out, pairs of large sets once more
+   by their finer points.
 3. What survives is gathered by connected candidates and verified from the sets themselves, again down an R-tree. Pairs
    that are already in one group are not looked at.
 """
@@ -25,8 +27,8 @@ from assayer.llm.words import mix, shingles, slices, texts_of
 
 #: Words of an n-gram; two sets link at so many hundredths of their union.
 WIDTH, PERCENT = 4, 85
-#: Counters of n-grams, and how many doublings over the mean make one hot; groups of a point.
-SLOTS, HOT, GROUPS = 1 << 19, 5, 128
+#: Counters of n-grams, and how many doublings over the median make one hot; groups of a point, n-grams of a large set in one.
+SLOTS, HOT, GROUPS, PER_GROUP = 1 << 19, 5, 128, 20
 #: Sets, and n-grams in them, that are compared in one task; members of a leaf and of a box.
 TILE, TILE_GRAMS, FAN = 512, 4 << 20, 16
 
@@ -72,6 +74,18 @@ def _node(h: np.ndarray) -> int:
     return int(mix(np.array([mix(h + np.uint64(1)).sum(dtype=np.uint64) ^ np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
+def _point(grams: np.ndarray) -> bytes:
+    n = GROUPS
+    while n * PER_GROUP < len(grams):
+        n *= 2
+    return np.bincount((grams % np.uint64(n)).astype(np.int64), minlength=n).astype(np.int32).tobytes()
+
+
+def _fold(point: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups; both numbers are powers of two times GROUPS."""
+    return point.reshape(-1, groups).sum(axis=0)
+
+
 def _prints(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -> DataFrame:
     """(id, text_key, node, n, point, cold, hot): of each row its set's name, size, point, and what it offers.
 
@@ -95,7 +109,7 @@ def _prints(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -
                         points.append(None), cold.append(None), common.append(None)
                         continue
                     seen.add(node[-1])
-                    points.append(np.bincount((u % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    points.append(_point(u))
                     rare = level.value[_slot(u)]
                     n = offered(len(u), percent)
                     best = np.argpartition((rare.astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8)), n - 1)[:n]
@@ -192,10 +206,22 @@ def candidates(points: np.ndarray, sizes: np.ndarray, side: np.ndarray, percent:
     return i[ok], j[ok]
 
 
-def verified(points: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, chunk: int = 128) -> np.ndarray:
+def likely(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates over folded points, pairs of large sets also over the finest points that both have."""
+    i, j = candidates(np.array([_fold(p, GROUPS) for p in points], np.int64).reshape(-1, GROUPS), sizes, side, percent)
+    fine = np.minimum(*(np.array([len(p) for p in points], np.int64)[k] for k in (i, j)))
+    good = np.ones(len(i), bool)
+    for k in np.flatnonzero(fine > GROUPS):
+        a, b = i[k], j[k]
+        bound = int(np.minimum(_fold(points[a], fine[k]), _fold(points[b], fine[k])).sum())
+        good[k] = (100 + percent) * bound >= percent * (sizes[a] + sizes[b])
+    return i[good], j[good]
+
+
+def verified(points: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray, percent: int, chunk: int = 128) -> np.ndarray:
     """The group of each row over links between exact sets; pairs that are in one group already are passed over."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    i, j = candidates(points, sizes, side, percent)
+    i, j = likely(points, sizes, side, percent)
     root = np.arange(len(sets))
     lo = 0
     while lo < len(i):
@@ -216,10 +242,11 @@ def verified(points: np.ndarray, sets: list[np.ndarray], side: np.ndarray, perce
     return root
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+def _columns(table: pa.Table) -> tuple:
     tile, node, side = (table.column(c).to_numpy() for c in ("tile", "node", "side"))
     order = np.lexsort((node, tile))
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)[order].astype(np.int64)
+    raw = table.column("point").to_pylist()
+    points = [np.frombuffer(raw[k], np.int32) for k in order]
     cuts = np.flatnonzero(np.concatenate(([True], tile[order][1:] != tile[order][:-1], [True]))) if len(tile) else np.zeros(1, np.int64)
     return order, node[order], side[order], points, cuts
 
@@ -236,7 +263,7 @@ def _may_link(percent: int):
         order, node, side, points, cuts = _columns(table)
         sizes, out = table.column("n").to_numpy()[order], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            i, j = candidates(points[lo:hi], sizes[lo:hi], side[lo:hi], percent)
+            i, j = likely(points[lo:hi], sizes[lo:hi], side[lo:hi], percent)
             root = local_roots(np.arange(hi - lo), i, j)
             moved = np.flatnonzero(root != np.arange(hi - lo))
             out.append((lo + moved, lo + root[moved]))
@@ -261,20 +288,26 @@ def _do_link(percent: int):
     return run
 
 
-def _sets(docs: DataFrame, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, grams): the sorted n-gram hashes of the wanted texts, which are found by their hash in a second read."""
+def _with_sets(docs: DataFrame, text: str, tiles: DataFrame, width: int) -> DataFrame:
+    """(tile, node, side, n, point, grams): each tile's sets, from a second read of the texts, which are found by their hash.
+
+    Copies of a text fall together before it is hashed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.lower() for t in texts_of(b.column(0))]
+            texts = [t.lower() for t in texts_of(b.column(3))]
             for lo, hi in slices(texts, 1 << 18):
                 h, to = shingles(texts[lo:hi], width)
                 sets = [np.unique(h[a:z]) for a, z in zip(to[:-1], to[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array([len(u) for u in sets], pa.int64()), pa.array([_point(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())],
+                    ["tile", "node", "side", "n", "point", "grams"],
+                )
 
     src = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    found = src.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
-    return found.select("text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    found = src.join(tiles, "text_key").dropDuplicates(["text_key", "tile", "side"])
+    return found.select("tile", "node", "side", "text").mapInArrow(run, "tile long, node long, side int, n long, point binary, grams binary")
 
 
 def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: int, tile: int | None = None) -> DataFrame:
@@ -290,33 +323,38 @@ def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: in
     points = prints.where(F.col("point").isNotNull()).join(need, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.max("point").alias("point"))
     points = keep(points, "points")
 
-    def deal(rows: DataFrame, most: int) -> DataFrame:
-        groups = max(partitions(spark), -(-(rows.agg(F.sum("n")).first()[0] or 0) // most))
-        return rows.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups)))
+    def groups_of(grams: int, most: int) -> int:
+        return max(partitions(spark), -(-grams // most))
 
+    offer = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     small = member.where(f"m <= {tile}").select(F.col("key").alias("tile"), "node", F.lit(0).alias("side")).join(points, "node")
-    maybe = deal(small, 16 * TILE_GRAMS).groupBy("g").applyInArrow(_may_link(percent), "a long, b long")
-    candidate = components(maybe.distinct())
+    dealt = small.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups_of(offer, 4 * TILE_GRAMS))))
+    candidate = components(dealt.groupBy("g").applyInArrow(_may_link(percent), "a long, b long").distinct())
     together = candidate.select(F.xxhash64("root", F.lit(1)).alias("key"), "node")
     rooms = together.unionByName(member.where(f"m > {tile}").select(F.xxhash64("key", F.lit(2)).alias("key"), "node"))
-    rough = keep(rooms.join(points.select("node", "n"), "node"), "rooms")
+    rough = keep(rooms.join(points.select("node", "n", "text_key"), "node"), "rooms")
     sizes = rough.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_GRAMS)).alias("pieces"))
     rooms = keep(rough.join(sizes, "key"), "rooms")
     release(live, member, rough, candidate)
-    wanted = points.join(rooms.select("node").distinct(), "node", "left_semi")
-    grams = keep(_sets(docs, text, wanted, width), "sets")
-    sets = grams.join(points.select("node", "n", "point"), "node")
 
     def edges(tiles: DataFrame) -> DataFrame:
-        return deal(tiles.join(sets, "node"), TILE_GRAMS).groupBy("g").applyInArrow(_do_link(percent), "a long, b long").distinct()
+        grams = tiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sets = _with_sets(docs, text, tiles, width)
+        dealt = sets.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups_of(grams, TILE_GRAMS))))
+        return dealt.groupBy("g").applyInArrow(_do_link(percent), "a long, b long").distinct()
 
     piece = F.xxhash64("key", F.expr("pmod(xxhash64(node, key), pieces)"))
-    found = keep(edges(rooms.select(piece.alias("tile"), "node", F.lit(0).alias("side"))), "links")
+    # the first join is by sorting whatever the sizes; what meets again is little, and its join left to Spark
+    found = keep(edges(rooms.select("text_key", piece.alias("tile"), "node", F.lit(0).alias("side"), "n").hint("merge")), "links")
     rooted = components(found)
     cut = rooms.where("pieces > 1").join(rooted, "node", "left")
     cut = cut.select("key", "node", F.coalesce("root", "node").alias("root"), F.greatest(F.lit(1.0), F.col("n") * (tile / TILE_GRAMS)).alias("weight"))
-    out = keep(found.unionByName(edges(meetings(cut, max(tile // 2, 1)))), "links")
-    release(points, rooms, grams, found, rooted)
+    again = keep(meetings(cut, max(tile // 2, 1)).join(points.select("node", "n", "text_key"), "node"), "meetings")
+    out = found
+    if not again.isEmpty():  # no piece has anything left to meet otherwise, and texts need not be read again
+        out = keep(found.unionByName(edges(again)), "links")
+        release(found)
+    release(points, rooms, rooted, again)
     return out
 
 

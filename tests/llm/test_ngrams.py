@@ -112,6 +112,23 @@ def test_the_tree_keeps_every_pair_that_its_bound_allows(n):
     assert got == want and len(got) == len(i)
 
 
+def test_points_of_large_sets_fold_and_still_bound(monkeypatch):
+    monkeypatch.setattr(ngrams, "GROUPS", 8)
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n, replace=False)) for n in (5, 150, 160, 900, 1000, 3900, 4000)]
+    points = [np.frombuffer(ngrams._point(u), np.int32) for u in sets]
+    assert [len(p) for p in points] == [8, 8, 8, 64, 64, 256, 256]
+    for u, p in zip(sets, points, strict=True):
+        assert (ngrams._fold(p, 8) == np.bincount((u % np.uint64(8)).astype(int), minlength=8)).all()
+    sizes, side = np.array([len(u) for u in sets]), np.zeros(7, np.int64)
+    i, j = ngrams.likely(points, sizes, side, 85)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    linked = {(a, b) for a in range(7) for b in range(a + 1, 7) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    coarse = ngrams.candidates(np.array([ngrams._fold(p, 8) for p in points]), sizes, side, 85)
+    assert linked == {(5, 6)} and linked <= got and len(got) < len(coarse[0])
+
+
 def test_offers_of_linked_sets_meet():
     """Whatever the order of n-grams, two sets of the similarity share one of what both offer."""
     rng = random.Random(8)
