@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.store import bounded_batches
@@ -15,7 +15,7 @@ from assayer.llm.words import slices, texts_of
 
 #: Subwords are runs of 2, 3 and 4 bytes (blanks included, A-Z lower-cased), hashed to 2**HASH_BITS embeddings.
 SIZES, HASH_BITS, DIM = (2, 3, 4), 15, 16
-#: Rows of a language, and rows in all, that a fit looks at (about, and at most).
+#: Rows of a language, and rows in all, that a fit looks at, at most.
 SAMPLE_PER_LANGUAGE, SAMPLE = 1200, 6000
 EPOCHS, BATCH = 5, 32
 UNKNOWN = "und"
@@ -126,20 +126,22 @@ def fit_model(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, language
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> Model:
-    """Fit on about `per_language` rows of each language and `most` rows in all, chosen by a hash of the id.
+    """Fit on `per_language` rows of each language and at most `most` rows in all, chosen by a hash of the id.
 
-    `usable` is a condition on the table's columns. Rows with null text, language or id are left out. The counts of
-    languages and the chosen rows' subword counts, both bounded, go to the driver.
+    `usable` is a condition on the table's columns. Rows with null text, language or id are left out. Where there are so
+    many languages that their shares would not fit, each gets an equal share of `most`; a language with fewer rows keeps
+    them all. `most` languages at most can have a row, the commonest. Their counts and the chosen rows' subword counts, both bounded, go to the driver.
     """
     bounded_batches(docs.sparkSession)
     own = docs.where(usable & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     own = own.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    found = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    found = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not found:
         return fit_model([], np.zeros(0, np.int64), [])
-    rate = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, per_language / n))])
+    share = max(1, min(per_language, most // len(found)))
+    ample = share + 6 * share**0.5 + 12  # so many are drawn that `share` of them are there
+    rate = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, ample / n))])
     draw = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = own.where(draw < rate[F.col("lang")]).orderBy(draw, "id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +149,11 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([e[k].tobytes() for e in each], pa.binary()) for k in (0, 1))], ["id", "lang", "ids", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = own.where(draw < rate[F.col("lang")]).mapInArrow(run, f"id {kind}, lang string, ids binary, n binary").orderBy(F.xxhash64(F.lit("lang"), "id"), "id", "lang", "ids").limit(most).toArrow()
+    picked = own.where(draw < rate[F.col("lang")]).mapInArrow(run, f"id {kind}, lang string, ids binary, n binary")
+    order = [F.xxhash64(F.lit("lang"), "id"), "id", "lang", "ids"]
+    # a language is a group of about `ample` rows here
+    ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    got = ranked.where(F.col("r") <= share).drop("r").orderBy(*order).toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
     y = np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)
     rows = [(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)) for a, b in zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), strict=True)]
@@ -158,7 +164,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs, and lang_pred, lang_score and lang_accepted.
 
     lang_pred is the likeliest language of the whole text, or `und` where the text is null or has no letter;
-    lang_score its calibrated probability (0 for `und`); lang_accepted whether that reaches the model's floor.
+    lang_score its calibrated probability (0 for `und`); lang_accepted whether that reaches the model's floor. Columns of
+    docs with one of these three names are replaced; any other name may occur.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,12 +175,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         best = p.argmax(axis=1) if len(p) else np.zeros(0, np.int64)
         return pa.StructArray.from_arrays([pa.array([sent.value.languages[k] for k in best], pa.string()), pa.array(p.max(axis=1) if len(p) else [], pa.float64())], ["lang", "p"])
 
-    guess = F.arrow_udf(run, "lang string, p double")(F.col(f"`{text}`"))
-    known = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    out = docs.select("*", guess.alias("_guess"))
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(known, F.col("_guess.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(known, F.col("_guess.p")).otherwise(0.0).alias("lang_score"),
-        (known & (F.col("_guess.p") >= model.floor)).alias("lang_accepted"),
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.arrow_udf(run, "lang string, p double")(F.col(f"`{text}`")).alias("guess"))
+    known = F.coalesce(F.col(f"row.`{text}`").rlike(r"\p{L}"), F.lit(False))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_accepted")]
+    return row.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.when(known, F.col("guess.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, F.col("guess.p")).otherwise(0.0).alias("lang_score"),
+        (known & (F.col("guess.p") >= model.floor)).alias("lang_accepted"),
     )

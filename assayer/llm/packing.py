@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.store import partitions
+from assayer.llm.store import keep
 
-#: Words of a bin, and pieces that one shard packs by itself.
-CAPACITY, SHARD_PIECES = 4096, 20_000
+#: Words of a bin, pieces that one shard packs by itself, and the share of a bin that counts as well filled.
+CAPACITY, SHARD_PIECES, WELL_FILLED = 4096, 20_000, 0.95
 OUT = "row_id long, part long, first_word long, n_words long, shard int, bin int, slot int, bin_words long"
 
 
@@ -109,9 +109,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: str = "n_words", sourc
 
     Pieces are dealt to shards by a hash of id and piece, about `shard_pieces` to a shard, so a source with a third of
     all rows is spread over all shards and a shard's work is bounded; a bin lies within one shard and is named
-    (shard, bin). Documents without words take no room and get a bin of their own kind: they are listed with bin -1.
-    Null ids are packed like others, repeated rows each on their own, a null length counts as 0. An empty table
-    gives an empty one.
+    (shard, bin). How many shards there are depends on the pieces alone, not on the cluster. Bins of which less than
+    WELL_FILLED is used are taken apart, and the pieces of all shards' poor bins are dealt and packed once more, in shards
+    with numbers of their own. Documents without words take no room and get a bin of their own kind: they are listed
+    with bin -1. Null ids are packed like others, repeated rows each on their own, a null length counts as 0. An empty
+    table gives an empty one.
     """
     none = F.lit(None).cast("string")
     rows = docs.select(
@@ -122,9 +124,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: str = "n_words", sourc
     )
     pieces = rows.withColumn("part", F.explode(F.expr(f"sequence(0L, greatest(0L, cast((n - 1) div {capacity} as long)))")))
     pieces = pieces.withColumn("first_word", F.col("part") * capacity).withColumn("n_words", F.least(F.col("n") - F.col("first_word"), F.lit(capacity).cast("long")))
-    total = pieces.count()
-    shards = max(partitions(docs.sparkSession), -(-total // shard_pieces))
-    dealt = pieces.withColumn("shard", F.expr(f"cast(pmod(xxhash64('pack', row_id, part, source), {shards}) as int)"))
+    columns = ["row_id", "part", "first_word", "n_words", "source", "cluster"]
+
+    def dealt(rows: DataFrame, turn: int, before: int) -> tuple[DataFrame, int]:
+        shards = max(1, -(-rows.count() // shard_pieces))
+        return rows.select(*columns, F.expr(f"cast({before} + pmod(xxhash64('pack', {turn}, row_id, part, source), {shards}) as int)").alias("shard")), before + shards
 
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by([("n_words", "descending"), ("row_id", "ascending"), ("part", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
@@ -139,11 +143,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: str = "n_words", sourc
                 pa.array(where + [-1] * rest, pa.int32()),
                 pa.array(slots + [0] * rest, pa.int32()),
                 pa.array([filled[b] for b in where] + [0] * rest, pa.int64()),
+                *(order.column(c) for c in ("source", "cluster")),
             ],
-            names=["row_id", "part", "first_word", "n_words", "shard", "bin", "slot", "bin_words"],
+            names=["row_id", "part", "first_word", "n_words", "shard", "bin", "slot", "bin_words", "source", "cluster"],
         )
 
-    return dealt.groupBy("shard").applyInArrow(run, OUT).withColumnRenamed("row_id", "doc_id")
+    shape = f"{OUT}, source string, cluster string"
+    rows, shards = dealt(pieces, 0, 0)
+    first = keep(rows.groupBy("shard").applyInArrow(run, shape), "bins")
+    poor = (F.col("bin") >= 0) & (F.col("bin_words") < WELL_FILLED * capacity)
+    rows, _ = dealt(first.where(poor), 1, shards)
+    both = first.where(~poor).unionByName(rows.groupBy("shard").applyInArrow(run, shape))
+    return both.drop("source", "cluster").withColumnRenamed("row_id", "doc_id")
 
 
 def word_count(text: str = "text"):

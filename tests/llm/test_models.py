@@ -123,3 +123,23 @@ def test_language_edges(make, spark):
     assert langid.fit(docs.limit(0), F.lit(True)).languages == ["und"]
     batch = model.probabilities([b"", b"a", rows[0][1].encode()])
     assert np.allclose(batch[2], model.probabilities([rows[0][1].encode()])[0])
+
+
+def test_rare_languages_keep_their_rows_when_there_are_many(make, spark):
+    """Forty languages and room for eighty rows: each has a row, and rare ones keep all of theirs."""
+    from pyspark.sql import functions as F
+
+    rows = [(1000 * k + i, f"lang{k} text number {i} of {k}", f"l{k:02d}") for k in range(40) for i in range(200 if k < 5 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), most=80)
+    assert list(model.languages) == [f"l{k:02d}" for k in range(40)]
+
+
+def test_language_columns_of_the_table_are_replaced(make, spark):
+    from pyspark.sql import functions as F
+
+    docs = make([(i, t) for i, t in enumerate(["one two three", "un deux trois", None, "12 34"] * 10)], extra=True).selectExpr("*", "'x' as lang_pred", "1 as _guess", "2 as guess")
+    model = langid.fit(docs, F.lit(True))
+    out = langid.identify(docs, model)
+    assert out.columns.count("lang_pred") == 1 and {"_guess", "guess"} <= set(out.columns)
+    assert {r.lang_pred for r in out.where("text is null or text = '12 34'").collect()} == {"und"}

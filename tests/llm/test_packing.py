@@ -76,3 +76,18 @@ def test_word_count_matches_split(make):
     rows = [(1, "a b\tc\x0bd\n"), (2, ""), (3, None), (4, "x y z"), (5, " " * 500)]
     got = {r.doc_id: r.n for r in make(rows).select("doc_id", packing.word_count().alias("n")).collect()}
     assert got == {i: len((t or "").encode().split()) for i, t in rows}
+
+
+def test_bins_do_not_depend_on_the_cluster(spark):
+    rng = random.Random(4)
+    rows = [(i, f"s{rng.randint(0, 30)}", rng.randint(1, 60), str(i % 97)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_words long, cluster string")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("4", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted(tuple(r) for r in packing.pack(df.repartition(int(n)), cluster="cluster", capacity=100, shard_pieces=300).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    bins = {(r[4], r[5]): r[7] for r in seen[0]}
+    assert {s for s, _ in bins} - {0, 1, 2}  # poor bins of the three shards were packed again
+    assert sum(bins.values()) / len(bins) > 93
