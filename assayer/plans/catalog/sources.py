@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayer import fixtures as fx
 from assayer.functions import scalar as X
 from assayer.plans.catalog.registry import query
+from assayer.session import scratch_path
 from assayer.sources import ingest, scans, sinks
 
 
@@ -73,22 +74,31 @@ def vendor_results(spark, d):
 @query("S4_manifest", """
 SELECT c_name AS item_id, c_name || '.jpg' AS filename, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS label, 'd' || c_nationkey AS "domain" FROM customer""")
 def manifest(spark, d):
+    path = scratch_path(spark, "manifest")
+    _raw_manifest(spark, d).write.option("header", True).csv(path)
+    return scans.read_manifest(spark, path)
+
+
+def _raw_manifest(spark, d):
     k = F.col("c_custkey") % 4
     raw = fx.table(spark, d, "customer").select(
         F.col("c_name").alias("item_id"), F.concat("c_name", F.lit(".jpg")).alias("filename"),
         F.when(k == 0, " Real").when(k == 1, "FAKE ").when(k == 2, "unsure").alias("label"),
         F.concat(F.lit("d"), F.col("c_nationkey").cast("string")).alias("domain"))
-    return scans.label_manifest(raw)
+    return raw
 
 
 def _score_lines(spark, d):
+    """A score file as its reader sees it: lines of two fields or three, written and read."""
     o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")
     k = F.col("k")
     raw = (F.when(k % 89 == 0, "abc").when(k % 83 == 0, "nan").when(k % 79 == 0, "-inf").otherwise((F.col("o_totalprice") / 1000).cast("string")))
     ids = F.when(k % 97 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
-    fields = F.when(k % 73 == 0, 3).otherwise(2)
+    fields = F.when(k % 73 == 0, F.concat(raw, F.lit(",x"))).otherwise(raw)
     copies = F.explode(F.sequence(F.lit(1), F.when(k % 101 == 0, 2).otherwise(1)))
-    return o.select(ids.alias("sample_id"), raw.alias("raw_score"), fields.alias("n_fields"), copies.alias("_c")).drop("_c")
+    path = scratch_path(spark, "scores")
+    o.select(ids.alias("sample_id"), fields.alias("score"), copies.alias("_c")).drop("_c").write.option("header", True).option("quote", "").csv(path)
+    return scans.read_score_file(spark, path)
 
 
 def _known(spark, d):
@@ -132,6 +142,20 @@ def label_from_path(spark, d):
     return scans.label_from_path(fx.table(spark, d, "pages").select("page_id", "url"), "url", ["en", "fr", "de"]).select("page_id", "label_dir")
 
 
+@query("S8_scanned_files", r"""
+SELECT page_id, regexp_extract(url, '/(en|fr|de)/', 1) AS label_dir, regexp_extract(url, '/(en|fr|de)/', 1) AS folder FROM pages WHERE regexp_matches(url, '/(en|fr|de)/')""")
+def scanned_files(spark, d):
+    """Files written below a folder for each label, found again by a scan of the tree: the label from the path, and the path below the root."""
+    labels, root = ["en", "fr", "de"], scratch_path(spark, "corpus")
+    p = scans.label_from_path(fx.table(spark, d, "pages").select("page_id", "url"), "url", labels)
+    for label in labels:
+        p.where(F.col("label_dir") == label).select(F.col("page_id").cast("string")).write.text(f"{root}/{label}")
+    scans.require_all_labels(scans.scan_labelled_files(spark, root, labels, "part-*"), labels)
+    files = scans.label_from_path(scans.scan_files(spark, root, "part-*"), "path", labels)
+    lines = F.explode(F.split(F.decode("content", "utf-8"), "\n"))
+    return files.select("label_dir", F.split_part("sample_id", F.lit("/"), F.lit(1)).alias("folder"), lines.alias("line")).where("line <> ''").select(F.col("line").cast("long").alias("page_id"), "label_dir", "folder")
+
+
 @query("S9_relative_id", r"SELECT page_id, ltrim(substr(url, length(regexp_extract(url, '^https?://[^/]+')) + 1), '/') AS sample_id FROM pages")
 def relative_id(spark, d):
     p = fx.table(spark, d, "pages").withColumn("root", F.regexp_extract("url", "^https?://[^/]+", 0))
@@ -169,8 +193,9 @@ def admission(spark, d):
 @query("S12_decoded_labels", """
 SELECT vec_id, CASE label WHEN 0 THEN 'zero' WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' ELSE CAST(label AS VARCHAR) END AS label_name FROM embeddings""")
 def decoded_labels(spark, d):
-    e = fx.table(spark, d, "embeddings").select("vec_id", "label")
-    return sinks.decode_labels(e, {"label": ["zero", "one", "two", "three"]}).select("vec_id", "label_name")
+    path = scratch_path(spark, "labels")
+    sinks.export_decoded(fx.table(spark, d, "embeddings").select("vec_id", "label"), {"label": ["zero", "one", "two", "three"]}, path)
+    return spark.read.schema("vec_id long, label int, label_name string").parquet(path).select("vec_id", "label_name")
 
 
 @query("S13_curve_violations", """
@@ -178,12 +203,25 @@ SELECT 's' || s_suppkey AS detector, band, CASE WHEN v <> 1 THEN 'format_version
 FROM (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'great' ELSE 'low' END AS band, CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 1 END AS v,
   CASE WHEN s_suppkey % 3 = 0 THEN CAST('inf' AS DOUBLE) ELSE 0.5 END AS prior FROM supplier) WHERE v <> 1 OR NOT isfinite(prior) OR band = 'great'""")
 def curve_violations(spark, d):
+    return ingest.curve_violations(_curves(spark, d))
+
+
+def _curves(spark, d):
     k = F.col("s_suppkey")
-    c = fx.table(spark, d, "supplier").select(
+    return fx.table(spark, d, "supplier").select(
         F.concat(F.lit("s"), k.cast("string")).alias("detector"), F.when(k % 5 == 0, "great").otherwise("low").alias("band"),
         (F.col("s_acctbal") / 1000).alias("coef"), F.lit(0.0).alias("intercept"), F.when(k % 3 == 0, float("inf")).otherwise(0.5).alias("prior"),
         F.lit(6.0).alias("max_abs_llr"), F.when(k % 7 == 0, 2).otherwise(1).alias("format_version"))
-    return ingest.curve_violations(c)
+
+
+@query("S13_curve_round_trip", """
+SELECT 's' || s_suppkey AS detector, 'low' AS band, round(s_acctbal / 1000, 6) AS coef, 0.0::DOUBLE AS intercept, 0.5::DOUBLE AS prior, 6.0::DOUBLE AS max_abs_llr, 1 AS format_version
+FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0""")
+def curve_round_trip(spark, d):
+    c = _curves(spark, d)
+    path = scratch_path(spark, "curves")
+    ingest.save_curves(c.join(ingest.curve_violations(c), ["detector", "band"], "left_anti"), path)
+    return ingest.load_curves(spark, path).select("detector", "band", F.round("coef", 6).alias("coef"), "intercept", "prior", "max_abs_llr", "format_version")
 
 
 @query("S15_report_json", """

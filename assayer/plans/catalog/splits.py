@@ -13,7 +13,8 @@ from assayer.operators.curve import auc
 from assayer.plans.catalog.metrics import auc_sql, r6, tpr_sql
 from assayer.plans.catalog.registry import query
 from assayer.plans.catalog.selection import _md5
-from assayer.session import shared
+from assayer.session import scratch_path, shared
+from assayer.sources import sinks
 
 
 @query("F1_record_violations", """
@@ -259,10 +260,12 @@ def fold_scores(spark, d):
     return fx.scored(spark, d).drop("label").join(assignments(spark, d).where(F.col("side") == "test"), "sample_id")
 
 
-@query("S14_fold_scores", f"WITH {_FOLD_SCORES} SELECT fold, sample_id, subject_id, label, round(score, 6) AS score FROM fs WHERE detector = 'd_iod'", ("fx_joined",))
+@query("S14_fold_scores", f"WITH {_FOLD_SCORES} SELECT fold, detector, sample_id, subject_id, label, round(score, 6) AS score FROM fs", ("fx_joined",))
 def fold_score_rows(spark, d):
-    s = fold_scores(spark, d).where(F.col("detector") == "d_iod")
-    return s.select("fold", "sample_id", "subject_id", "label", r6("score").alias("score"))
+    path = scratch_path(spark, "folds")
+    sinks.write_fold_scores(fold_scores(spark, d), path)
+    s = sinks.read_fold_scores(spark, path)
+    return s.select("fold", "detector", "sample_id", "subject_id", "label", r6("score").alias("score"))
 
 
 @query("M18_fold_report", f"""

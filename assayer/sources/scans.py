@@ -153,8 +153,8 @@ def relative_id(path: Column | str, root: Column | str) -> Column:
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    return files.withColumn("sample_id", relative_id(base, F.lit(root.rstrip("/"))))
+    plain = lambda p: F.regexp_replace(p, "^file:/*", "/")
+    return files.withColumn("sample_id", relative_id(plain(F.col("path")), plain(F.lit(root.rstrip("/")))))
 
 
 def read_score_file(spark: SparkSession, path: str) -> DataFrame:

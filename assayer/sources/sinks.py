@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.scalar import decode_label, json_safe
 
 
+FOLD_SCORES = "detector string, sample_id string, subject_id string, label int, score double, fold string"
+
+
 def write_fold_scores(scores: DataFrame, path: str) -> None:
-    """Out-of-fold scores, one folder per fold, for later paired comparison."""
-    scores.select("fold", "sample_id", "subject_id", "label", "score").write.mode("overwrite").partitionBy("fold").parquet(path)
+    """Out-of-fold scores of every detector, one folder per fold, for later paired comparison."""
+    named = ["detector"] if "detector" in scores.columns else []
+    scores.select(*named, "sample_id", "subject_id", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), "fold").write.mode("overwrite").partitionBy("fold").parquet(path)
+
+
+def read_fold_scores(spark: SparkSession, path: str, fold: str | None = None) -> DataFrame:
+    """What :func:`write_fold_scores` wrote; one fold reads its own folder only."""
+    scores = spark.read.schema(FOLD_SCORES).parquet(path)
+    return scores if fold is None else scores.where(F.col("fold") == fold)
 
 
 def report_json(df: DataFrame) -> Column:
