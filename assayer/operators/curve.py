@@ -84,10 +84,14 @@ def _interpolated(q: float, count: str) -> list[Column]:
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles without gathering a key's values."""
-    by = list(by)
     v = F.col(value).cast("double")
-    c = df.where(v.isNotNull()).groupBy(*by, v.alias("score")).agg(F.count(F.lit(1)).alias("cnt"))
-    r = running(c, by, ["score"], ["cnt"], bucket_on="score")
+    return quantiles_of(df.where(v.isNotNull()).groupBy(*by, v.alias("score")).agg(F.count(F.lit(1)).alias("cnt")), by, qs)
+
+
+def quantiles_of(cells: DataFrame, by: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """:func:`quantiles` of a table of values (score) and their counts (cnt)."""
+    by = list(by)
+    r = running(cells, by, ["score"], ["cnt"], bucket_on="score")
     parts, finals = [], []
     for i, (name, q) in enumerate(qs.items()):
         lo, hi, frac = _interpolated(q, "cnt")

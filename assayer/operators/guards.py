@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from assayer import schema as K
 from assayer.functions.scalar import finite
-from assayer.operators.curve import auc, quantiles
+from assayer.operators.curve import auc, quantiles_of
+from assayer.operators.metrics import report_cells
 from assayer.operators.ranking import null_safe_join
+from assayer.session import shared
 
 
 class GuardViolation(ValueError):
@@ -87,15 +89,19 @@ def parity_report(scores: DataFrame, records: DataFrame, at_fpr: float = 0.01, c
     Strata qualify on the corpus, not on what a detector scored; a table too
     thin to compare says so by name instead of passing.
     """
-    strata = records.groupBy("stratum").agg(F.count_if(F.col("label") == 0).alias("_g"))
+    strata = shared(records.groupBy("stratum").agg(F.count_if(F.col("label") == 0).alias("_g")))
     scope = strata.agg(
         F.count_if(F.col("stratum").isNull()).alias("_null"), F.count_if(F.col("_g") >= min_genuine).alias("_ok"),
         F.count_if(F.col("_g") < min_genuine).alias("n_excluded"))
-    detectors = scores.groupBy("detector").agg(F.lit(1).alias("_d")).drop("_d")
-    kept = scores.where(finite("score")).join(strata.where(F.col("_g") >= min_genuine).select("stratum"), "stratum", "left_semi")
-    size = kept.groupBy("detector").agg(F.count_if(F.col("label") == 0).alias("_n0"), F.count_if(F.col("label") == 1).alias("_n1"))
-    thr = quantiles(kept.where(F.col("label") == 0), ["detector"], "score", {"threshold": 1.0 - at_fpr})
-    ratio = parity_ratio(demographic_parity(kept, thr, ["detector"]), ["detector"], ceiling)
+    cells = shared(report_cells(scores, ["detector", "stratum"]))
+    detectors = cells.select("detector").distinct()
+    kept = cells.where(F.col("score").isNotNull()).join(strata.where(F.col("_g") >= min_genuine).select("stratum"), "stratum", "left_semi")
+    size = kept.groupBy("detector").agg(F.sum("neg").alias("_n0"), F.sum("pos").alias("_n1"))
+    genuine = kept.where("neg > 0").groupBy("detector", "score").agg(F.sum("neg").alias("cnt"))
+    thr = quantiles_of(genuine, ["detector"], {"threshold": 1.0 - at_fpr})
+    over = F.when(F.col("score") > F.col("threshold"), F.col("neg")).otherwise(0)
+    rates = kept.join(thr, "detector").groupBy("detector", "stratum").agg((F.sum(over) / F.nullif(F.sum("neg"), F.lit(0))).alias("fpr"))
+    ratio = parity_ratio(rates, ["detector"], ceiling)
     j = detectors.join(size, "detector", "left").join(thr, "detector", "left").join(ratio, "detector", "left")
     j = null_safe_join(j, scope, [])
     status = (

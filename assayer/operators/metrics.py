@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions.scalar import class_of, finite
-from assayer.operators.curve import quantiles, tpr_at_fpr
+from assayer.operators.curve import quantiles_of, tpr_at_fpr, tpr_of
 from assayer.operators.ranking import BUCKET, null_safe_join, time_number, with_value_bucket
+from assayer.session import shared
 
 
 def ece(df: DataFrame, by: Sequence[str] = (), prob: str = "score", label: str = "label", bins: int = 10) -> DataFrame:
@@ -22,22 +23,23 @@ def ece(df: DataFrame, by: Sequence[str] = (), prob: str = "score", label: str =
     The bin is a count of literal edges below the value, so edge rounding is
     the same as comparing against the edge list. Out-of-range input fails.
     """
+    p = F.col(prob).cast("double")
+    cells = df.where(p.isNotNull()).groupBy(*by, p.alias("score")).agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col(label).cast("double")).alias("ones"))
+    return ece_of(cells, by, bins)
+
+
+def ece_of(cells: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """:func:`ece` of a table of probabilities (score), their counts (cnt) and their ones."""
     if bins < 1:
         raise ValueError(f"bins must be at least 1, got {bins}")
-    by = list(by)
-    p = F.col(prob).cast("double")
+    p = F.col("score")
     ok = F.when(finite(p) & p.between(0.0, 1.0), p).otherwise(F.raise_error(F.concat(F.lit("not a probability: "), p.cast("string"))).cast("double"))
     step = 1.0 / bins
     edges = [i * step for i in range(bins)] + [1.0]
     below = sum((F.when(F.col("_p") > e, 1).otherwise(0) for e in edges), F.lit(0))
-    cells = (
-        df.where(p.isNotNull())
-        .select(*by, ok.alias("_p"), F.col(label).cast("double").alias("_y"))
-        .withColumn("_bin", F.greatest(below - 1, F.lit(0)))
-        .groupBy(*by, "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"), F.avg("_p").alias("_mp"), F.avg("_y").alias("_my"))
-    )
-    return cells.groupBy(*by).agg((F.sum(F.col("_n") * F.abs(F.col("_mp") - F.col("_my"))) / F.sum("_n")).alias("ece"), F.sum("_n").alias("n"))
+    binned = cells.select(*by, ok.alias("_p"), "cnt", "ones").withColumn("_bin", F.greatest(below - 1, F.lit(0)))
+    each = binned.groupBy(*by, "_bin").agg(F.sum("cnt").alias("_n"), F.sum(F.col("_p") * F.col("cnt")).alias("_sp"), F.sum("ones").alias("_sy"))
+    return each.groupBy(*by).agg((F.sum(F.abs(F.col("_sp") - F.col("_sy"))) / F.sum("_n")).alias("ece"), F.sum("_n").alias("n"))
 
 
 def kish_ess(df: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -116,28 +118,46 @@ def abstention_reasons(df: DataFrame, by: Sequence[str] = ("detector",)) -> Data
 
 
 def latency_summary(df: DataFrame, by: Sequence[str], value: str = "latency_ms", warmup: str | None = None) -> DataFrame:
-    """Mean, p50 and p95 over warm rows; warm-up rows are counted, not mixed in."""
-    warm = df if warmup is None else df.where(~F.col(warmup))
-    head = df.groupBy(*by).agg(
-        F.avg(value if warmup is None else F.when(~F.col(warmup), F.col(value))).alias("mean"),
-        (F.lit(0).cast("bigint") if warmup is None else F.count_if(F.col(warmup))).alias("n_warmup"))
-    return null_safe_join(head, quantiles(warm, by, value, {"p50": 0.5, "p95": 0.95}), list(by))
+    """Mean, p50 and p95 over warm rows; warm-up rows are counted, not mixed in. The input is read once."""
+    by = list(by)
+    cold = F.lit(False) if warmup is None else F.col(warmup)
+    cells = shared(df.groupBy(*by, F.col(value).cast("double").alias("score"), cold.alias("_cold")).agg(F.count(F.lit(1)).alias("cnt")))
+    warm = cells.where(~F.col("_cold") & F.col("score").isNotNull()).select(*by, "score", "cnt")
+    head = cells.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("_cold"), F.col("cnt"))), F.lit(0)).cast("bigint").alias("n_warmup"))
+    mean = warm.groupBy(*by).agg((F.sum(F.col("score") * F.col("cnt")) / F.sum("cnt")).alias("mean"))
+    out = null_safe_join(null_safe_join(head, mean, by, "left"), quantiles_of(warm, by, {"p50": 0.5, "p95": 0.95}), by)
+    return out.select(*by, "mean", "n_warmup", "p50", "p95")
+
+
+def report_cells(df: DataFrame, by: Sequence[str], latency: str | None = None, score: str = "score", label: str = "label") -> DataFrame:
+    """(by, kind, score, n, pos, neg): every distinct score (kind 0, NULL for abstentions) and latency (kind 1) with its counts.
+
+    One aggregation of one read; everything a report says comes from this table.
+    """
+    kinds = [F.struct(F.lit(0).alias("kind"), F.when(finite(score), F.col(score).cast("double")).alias("score"))]
+    kinds += [F.struct(F.lit(1).alias("kind"), F.col(latency).cast("double").alias("score"))] if latency else []
+    long = df.select(*by, F.col(label).alias("_y"), F.inline(F.array(*kinds)))
+    one = lambda y: F.count_if((F.col("_y") == y) & (F.col("kind") == 0))
+    return long.groupBy(*by, "kind", "score").agg(F.count(F.lit(1)).alias("n"), one(1).alias("pos"), one(0).alias("neg"))
 
 
 def detector_report(df: DataFrame, by: Sequence[str] = ("detector",), latency: str | None = None, calibrated: bool = True) -> DataFrame:
     """AUC, TPR at 1 % and 0.1 %, ECE, abstention rate, p95 latency, n.
 
-    Metrics are over rows that were scored; the abstention rate over all rows.
+    Metrics are over rows that were scored; the abstention rate over all rows. The input is read once.
     """
     by = list(by)
-    head = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(finite("score"), 0.0).otherwise(1.0)).alias("abstention_rate"))
-    rank = tpr_at_fpr(df, by, {"tpr_at_1pct": 0.01, "tpr_at_0p1pct": 0.001}).drop("n_pos", "n_neg")
+    cells = shared(report_cells(df, by, latency))
+    scored = cells.where((F.col("kind") == 0) & F.col("score").isNotNull())
+    head = cells.where("kind = 0").groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("score").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("abstention_rate"))
+    rank = tpr_of(scored.select(*by, "score", "pos", "neg"), by, {"tpr_at_1pct": 0.01, "tpr_at_0p1pct": 0.001}).drop("n_pos", "n_neg")
     out = null_safe_join(head, rank, by, "left")
     if calibrated:
-        e = ece(df, by).select(*by, "ece")
+        e = ece_of(scored.select(*by, "score", F.col("n").alias("cnt"), F.col("pos").alias("ones")), by).select(*by, "ece")
         out = null_safe_join(out, e, by, "left").withColumn("ece", F.when(F.col("auc").isNotNull(), F.col("ece")))
     if latency:
-        out = null_safe_join(out, quantiles(df, by, latency, {"p95_latency_ms": 0.95}), by, "left")
+        timed = cells.where((F.col("kind") == 1) & F.col("score").isNotNull()).select(*by, "score", F.col("n").alias("cnt"))
+        out = null_safe_join(out, quantiles_of(timed, by, {"p95_latency_ms": 0.95}), by, "left")
     return out
 
 
