@@ -81,6 +81,14 @@ def lifecycle_stream(spark, d):
     return _drained(life, T.lifecycle_stream)
 
 
+@query("T5_requeue_stream", f"""WITH {_REPLAY} SELECT CAST(r.id AS VARCHAR) AS id, 'running' AS was, 'queued' AS status FROM r JOIN events ON event_id = seq WHERE legal GROUP BY 1
+HAVING arg_max(status, seq) = 'running' AND arg_max(ts, seq) + INTERVAL 2 DAYS < (SELECT max(ts) FROM events)""")
+def requeue_stream(spark, d):
+    """Submissions that the stream's timer puts back in the queue once the watermark has passed their two days."""
+    life = _life(spark, d).select(F.col("id").cast("string").alias("id"), "seq", "status", F.col("event_time").cast("timestamp").alias("event_time"))
+    return _drained(life, lambda events: T.lifecycle_stream(events, "2 days")).where("seq is null").select("id", "was", "status")
+
+
 @query("T2_settle_stream", """
 WITH s AS (SELECT user_id, event_id, CAST(floor(value / 25) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 c AS (SELECT *, CASE WHEN size = lag(size) OVER (PARTITION BY user_id ORDER BY k) THEN 0 ELSE 1 END AS fresh FROM s),
