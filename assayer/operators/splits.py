@@ -113,13 +113,15 @@ def row_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 
 
 def _serpentine_rank(groups: DataFrame, by: Sequence[str], group: str, seed: int) -> DataFrame:
-    """Rank groups largest size class first, seeded inside a size class."""
-    size = F.lit(64) - F.floor(F.log2(F.col("n_rows").cast("double"))).cast("int")
-    hexed = hash_hex(seed, group)
-    o = groups.withColumn("_ord", F.concat(F.lpad(size.cast("string"), 2, "0"), hexed)).withColumn("_one", F.lit(1).cast("bigint"))
-    o = o.withColumn("_num", (size * 4096 + F.conv(F.substring(hexed, 1, 3), 16, 10).cast("int")).cast("double"))
-    r = running(o, by, ["_ord", group], ["_one"], bucket_on="_num")
-    return r.withColumn("rank", (F.col("_one_before") + 1).cast("bigint")).drop("_ord", "_num", "_one", "_one_before", "_one_total")
+    """Rank groups by size, largest first, seeded among equal sizes.
+
+    Dealt back and forth in this order, any two hands differ by the largest group at most: the spread of each round is
+    the range of its sizes, and the ranges of successive rounds do not overlap.
+    """
+    o = groups.withColumn("_less", -F.col("n_rows")).withColumn("_hex", hash_hex(seed, group)).withColumn("_one", F.lit(1).cast("bigint"))
+    o = o.withColumn("_num", (F.col("_less") * 4096 + F.conv(F.substring("_hex", 1, 3), 16, 10).cast("int")).cast("double"))
+    r = running(o, by, ["_less", "_hex", group], ["_one"], bucket_on="_num")
+    return r.withColumn("rank", (F.col("_one_before") + 1).cast("bigint")).drop("_less", "_hex", "_num", "_one", "_one_before", "_one_total")
 
 
 def class_aware_split(df: DataFrame, group: str, label: str, seed: int) -> DataFrame:
@@ -128,9 +130,9 @@ def class_aware_split(df: DataFrame, group: str, label: str, seed: int) -> DataF
     Groups of one class, of the other and mixed groups are dealt out
     separately in fit-test-test-fit order, largest first; mixed groups start on
     the test side. Any class spread over two groups therefore reaches both
-    sides. Sizes are ordered by powers of two only, so the halves are close but
-    carry no bound. Dealing by rank needs no sequential pass, so the number of
-    groups is not limited.
+    sides, and the halves differ by the largest group of each kind at most.
+    Dealing by rank needs no sequential pass, so the number of groups is not
+    limited.
     """
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.min(label).alias("_lo"), F.max(label).alias("_hi"))
     groups = groups.withColumn("kind", F.when(F.col("_lo") != F.col("_hi"), "mixed").otherwise(F.col("_lo").cast("string"))).drop("_lo", "_hi")
@@ -149,7 +151,10 @@ def require_both_classes(split: DataFrame, label: str) -> DataFrame:
 
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
-    """``fold`` 0..k-1 per group, dealt back and forth, largest groups first."""
+    """``fold`` 0..k-1 per group, dealt back and forth, largest groups first.
+
+    Any two folds differ by the rows of the largest group at most.
+    """
     groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
     r = _serpentine_rank(groups, [], group, seed)
     at = (F.col("rank") - 1) % (2 * k)

@@ -74,7 +74,7 @@ def group_holdout(spark, d):
     return P.group_holdout(fx.records(spark, d).select("sample_id", "subject_id"), "subject_id", 0.3, 2).select("sample_id", "side")
 
 
-_SERPENT = "lpad(CAST(64 - CAST(floor(log2(n_rows)) AS INTEGER) AS VARCHAR), 2, '0') || {md5}"
+_SERPENT = "n_rows DESC, {md5}"
 
 
 @query("F5_class_aware_split", f"""

@@ -1,5 +1,6 @@
 """Invariants that must hold for every seed."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,19 @@ def test_holdout_size_rounds_half_to_even(spark):
     df = spark.range(5).select(F.col("id").cast("string").alias("g"))
     assert P.group_holdout(df, "g", 0.5, 1).where("side = 'test'").count() == 2
     assert P.group_holdout(df, "g", 0.01, 1).where("side = 'test'").count() == 1
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_hands_differ_by_the_largest_group_at_most(spark, seed):
+    """Lognormal group sizes, over many buckets too."""
+    rng = np.random.default_rng(seed)
+    sizes = np.maximum(1, rng.lognormal(2.0, 1.3, 180).astype(int))
+    kind = rng.integers(0, 3, 180)
+    rows = [(f"g{g}", int(kind[g] == 1 or (kind[g] == 2 and i % 2))) for g in range(180) for i in range(sizes[g])]
+    df = spark.createDataFrame(rows, "g string, label int")
+    folds = [r.n for r in P.group_kfold(df, "g", 5, seed).groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    assert len(folds) == 5 and max(folds) - min(folds) <= sizes.max()
+    split = P.class_aware_split(df, "g", "label", seed)
+    n = {r.side: r.n for r in split.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    real = {g: ("mixed" if kind[g] == 2 and sizes[g] > 1 else "1" if kind[g] == 1 else "0") for g in range(180)}
+    assert abs(n["fit"] - n["test"]) <= sum(max(sizes[g] for g in real if real[g] == k) for k in set(real.values()))
