@@ -346,6 +346,9 @@ def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: in
     piece = F.xxhash64("key", F.expr("pmod(xxhash64(node, key), pieces)"))
     # the first join is by sorting whatever the sizes; what meets again is little, and its join left to Spark
     found = keep(edges(rooms.select("text_key", piece.alias("tile"), "node", F.lit(0).alias("side"), "n").hint("merge")), "links")
+    if rooms.where("pieces > 1").isEmpty():  # every key was compared whole
+        release(points, rooms)
+        return found
     rooted = components(found)
     cut = rooms.where("pieces > 1").join(rooted, "node", "left")
     cut = cut.select("key", "node", F.coalesce("root", "node").alias("root"), F.greatest(F.lit(1.0), F.col("n") * (tile / TILE_GRAMS)).alias("weight"))

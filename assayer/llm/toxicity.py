@@ -215,7 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     parts = [parts[i] for i in order]
     y = found.column("y").to_numpy().astype(np.float64)[order]
     to = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    return fit_machine(np.concatenate(parts) if parts else np.zeros(0, np.int32), to, y, float(shares[0] or 0.0))
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del found, parts  # the driver holds the terms once while it fits
+    return fit_machine(ids, to, y, float(shares[0] or 0.0))
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
