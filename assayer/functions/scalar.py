@@ -28,6 +28,23 @@ def unmeasured_to_null(x: Column | str) -> Column:
     return F.when(finite(v), v)
 
 
+def exact_mean(x: Column | str) -> Column:
+    """The mean of decimal figures held as doubles, the same in any order of rows.
+
+    A sum of doubles depends on which row comes first, and a mean that lies on a
+    threshold then falls on either side of it. Figures of up to six places are
+    summed as whole millionths, units and rest apart so that neither overflows;
+    a group with any other figure is averaged as doubles.
+    """
+    v = _c(x).cast("double")
+    scaled = F.rint(v * 1e6)
+    fits = (F.abs(v) < 1e9) & (scaled / 1e6 == v)
+    k = F.when(fits, scaled).cast("bigint")
+    units, rest = F.sum(F.floor(k / 1_000_000)), F.sum(F.pmod(k, F.lit(1_000_000)))
+    total = units.cast("decimal(20,0)") * 1_000_000 + rest.cast("decimal(20,0)")
+    return F.when(F.count_if(~fits) > 0, F.avg(v)).otherwise(total.cast("double") / 1e6 / F.count(v))
+
+
 def quality_band(iod: Column | str, blur: Column | str, yaw: Column | str, exposure: Column | str) -> Column:
     iod, blur, yaw, exposure = _c(iod), _c(blur), _c(yaw), _c(exposure)
     lo, hi = K.EXPOSURE_RANGE

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer import fixtures as fx
 from assayer import schema as K
+from assayer.functions.scalar import exact_mean
 from assayer.operators import decide as C
 from assayer.operators.observations import worst_band
 from assayer.plans.catalog.registry import query
@@ -226,7 +227,7 @@ SELECT run, q1, q2, q3, q4, q5, coalesce(q1 AND q2 AND q3, false) AS ships, coal
   concat_ws(',', CASE WHEN q1 IS NULL THEN 'q1' END, CASE WHEN q2 IS NULL THEN 'q2' END, CASE WHEN q3 IS NULL THEN 'q3' END, CASE WHEN q4 IS NULL THEN 'q4' END, CASE WHEN q5 IS NULL THEN 'q5' END) AS incomplete FROM q""")
 def preregistered(spark, d):
     g = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(
-        F.avg("l_discount").alias("di"), F.avg("l_tax").alias("tx"), F.avg("l_quantity").alias("qt"), F.avg("l_extendedprice").alias("pr"))
+        exact_mean("l_discount").alias("di"), exact_mean("l_tax").alias("tx"), exact_mean("l_quantity").alias("qt"), exact_mean("l_extendedprice").alias("pr"))
     run = F.col("run")
     a = g.select(
         "run", F.when(run % 6 != 0, F.col("di") > 0.049).alias("improved"), F.when(run % 7 != 0, F.col("tx") > 0.041).alias("inside_null"),
