@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer import fixtures as fx
+from assayer.functions.scalar import exact_mean
 from assayer.operators import fit as L
 from assayer.operators import resample as B
 from assayer.operators import splits as P
@@ -169,7 +170,7 @@ def family_null(spark, d):
 WITH a AS (SELECT l_suppkey AS run, avg(l_discount) * 14 AS obs, 0.62 + avg(l_tax) AS lo, 0.66 + avg(l_tax) AS hi FROM lineitem GROUP BY 1)
 SELECT run, CASE WHEN run % 8 = 0 THEN NULL WHEN obs >= lo AND obs <= hi THEN 'inside_null' WHEN obs < 0.7 THEN 'outside_below_floor' ELSE 'outside_above_floor' END AS verdict FROM a""")
 def null_verdict(spark, d):
-    a = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg((F.avg("l_discount") * 14).alias("o"), (0.62 + F.avg("l_tax")).alias("lo"), (0.66 + F.avg("l_tax")).alias("hi"))
+    a = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg((exact_mean("l_discount") * 14).alias("o"), (0.62 + exact_mean("l_tax")).alias("lo"), (0.66 + exact_mean("l_tax")).alias("hi"))
     obs = F.when(F.col("run") % 8 != 0, F.col("o"))
     return a.select("run", B.null_verdict(obs, F.col("lo"), F.col("hi"), 0.7).alias("verdict"))
 

@@ -21,3 +21,11 @@ def test_a_tax_on_the_edge_is_not_above_it(spark, tmp_path, upward):
     rows = sorted([(0.05, 0.04)] * 54 + [(0.05, 0.05)] * 6, reverse=not upward)
     got = QUERIES["C16_preregistered_verdict"](spark, lineitem(tmp_path, rows)).collect()
     assert [r.q2 for r in got] == [True]
+
+
+@pytest.mark.parametrize("upward", [True, False])
+def test_a_discount_on_the_floor_is_not_below_it(spark, tmp_path, upward):
+    """As many at 0.04 as at 0.06: the mean is 0.05, fourteen times that not below 0.7."""
+    rows = sorted([(0.04, 0.0)] * 5 + [(0.06, 0.0)] * 5, reverse=upward)
+    got = QUERIES["L9_null_verdict"](spark, lineitem(tmp_path, rows)).collect()
+    assert [r.verdict for r in got] == ["outside_above_floor"]
