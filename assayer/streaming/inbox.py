@@ -15,6 +15,7 @@ from assayer.operators.ranking import BUCKET, ordered_rank, running, with_value_
 
 LEGAL = (("", "queued"), ("queued", "running"), ("running", "done"), ("running", "failed"), ("running", "queued"))
 STATES = ("", "queued", "running")
+STATE_SHARES = 4_096  # part of a stream's checkpoint: another number needs a new one
 
 
 def _move(was: str, status: str) -> str:
@@ -179,38 +180,47 @@ def orphans(events: DataFrame, now: Column, max_age: str, order: Sequence[str] =
 def lifecycle_stream(events: DataFrame, max_age: str | None = None) -> DataFrame:
     """Apply events per submission in order; refused ones come out marked and move nothing.
 
-    State is dropped when a submission finishes. With ``max_age`` the events
+    Calling Python costs far more than an event, so submissions share a state by
+    the hash of their id: the unfinished ones of one share, each with its status.
+    A submission is dropped when it finishes. With ``max_age`` the events
     carry ``event_time``, and a submission left running for longer is put back
     in the queue by a timer on the watermark: a legal row without ``seq``.
     """
     age = None if max_age is None else int(pd.Timedelta(max_age).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was, since = state.get if state.exists else ("", 0)
-        out = []
-        if state.hasTimedOut:
-            if was == "running":
-                out.append((key[0], None, was, "queued", True))
-                was = "queued"
-        else:
-            for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-                ok = (was, r.status) in LEGAL
-                out.append((key[0], int(r.seq), was, r.status, ok))
+        unfinished = {i: (was, until) for i, was, until in zip(*state.get, strict=True)} if state.exists else {}
+        now = 0 if age is None else state.getCurrentWatermarkMs()
+        out, heard = [], set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("seq")
+            for i, seq, status, at in zip(rows["id"].tolist(), rows["seq"].tolist(), rows["status"].tolist(), rows["_at"].tolist(), strict=True):
+                was, until = unfinished.get(i, ("", 0))
+                ok = (was, status) in LEGAL
+                out.append((i, seq, was, status, ok))
                 if ok:
-                    was = _move(was, r.status)
-                    since = int(r.event_time.timestamp() * 1000) if age is not None else 0
-        if was:
-            state.update((was, since))
-            if age is not None and was == "running":
-                state.setTimeoutTimestamp(max(since + age, state.getCurrentWatermarkMs() + 1))
+                    was, until = _move(was, status), at + (age or 0)
+                heard.add(i)
+                unfinished[i] = (was, max(until, now + 1))
+            unfinished = {i: x for i, x in unfinished.items() if x[0]}
+        if age is not None:
+            late = [i for i, (was, until) in unfinished.items() if was == "running" and until < now and i not in heard]
+            out += [(i, None, "running", "queued", True) for i in late]
+            unfinished |= dict.fromkeys(late, ("queued", 0))
+        if unfinished:
+            state.update((list(unfinished), [x[0] for x in unfinished.values()], [int(x[1]) for x in unfinished.values()]))
+            timers = [until for was, until in unfinished.values() if was == "running"]
+            if age is not None and timers:
+                state.setTimeoutTimestamp(max(min(timers), now + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["id", "seq", "was", "status", "legal"]).astype({"seq": "Int64"})
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        yield pd.DataFrame({"id": cols[0], "seq": pd.array(cols[1], dtype="Int64"), "was": cols[2], "status": cols[3], "legal": cols[4]})
 
     timeout = GroupStateTimeout.NoTimeout if age is None else GroupStateTimeout.EventTimeTimeout
-    stamped = events if age is None else events.withWatermark("event_time", "0 seconds")
-    return stamped.groupBy("id").applyInPandasWithState(
-        step, "id string, seq long, was string, status string, legal boolean", "status string, since long", "append", timeout)
+    stamped = events.withColumn("_at", F.lit(0)) if age is None else events.withColumn("_at", F.unix_millis("event_time")).withWatermark("event_time", "0 seconds")
+    return stamped.withColumn("_share", F.pmod(F.xxhash64("id"), F.lit(STATE_SHARES))).groupBy("_share").applyInPandasWithState(
+        step, "id string, seq long, was string, status string, legal boolean", "ids array<string>, status array<string>, until array<long>", "append", timeout)
 
 
 def queue_depth(counts: DataFrame) -> DataFrame:

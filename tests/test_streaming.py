@@ -114,3 +114,18 @@ def test_a_late_old_file_is_taken(spark, tmp_path):
     (inbox / "old.png").write_bytes(b"2")
     os.utime(inbox / "old.png", (1_000_000_000, 1_000_000_000))
     assert sorted(r.name for r in _drain(take(), "append", tmp_path, "late").collect()) == ["new.png", "old.png"]
+
+
+def test_submissions_of_one_share_keep_their_own_state_and_timer(spark, tmp_path, monkeypatch):
+    """One call of Python and one state for all; "a" and "d" run out at different times, "b" is heard again, "e" ends."""
+    monkeypatch.setattr(T, "STATE_SHARES", 1)
+    rows = [("a", 0, "queued", "2024-01-01 00:00"), ("b", 1, "queued", "2024-01-01 00:00"), ("d", 2, "queued", "2024-01-01 00:00"), ("e", 3, "queued", "2024-01-01 00:00"),
+            ("a", 4, "running", "2024-01-01 01:00"), ("b", 5, "running", "2024-01-01 01:00"), ("e", 6, "running", "2024-01-01 01:00"), ("e", 7, "done", "2024-01-01 02:00"),
+            ("d", 8, "running", "2024-01-02 00:00"), ("b", 9, "queued", "2024-01-02 00:00"), ("c", 10, "queued", "2024-01-02 12:00"), ("c", 11, "done", "2024-01-09 00:00")]
+    ev = spark.createDataFrame(rows, "id string, seq long, status string, t string").selectExpr("id", "seq", "status", "cast(t as timestamp) as event_time", "cast(t as timestamp) as day")
+    _parts(ev, "day", str(tmp_path / "in"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*")).drop("day")
+    got = _drain(T.lifecycle_stream(stream, "1 day"), "append", tmp_path, "share").collect()
+    assert sorted((r.id, r.was, r.status) for r in got if r.seq is None) == [("a", "running", "queued"), ("d", "running", "queued")]
+    assert sorted((r.id, r.seq) for r in got if r.seq is not None and not r.legal) == [("c", 11)]
+    assert spark.read.format("statestore").load(str(tmp_path / "share-c")).count() == 1
