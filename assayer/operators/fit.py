@@ -14,6 +14,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from assayer.session import cut_lineage, shared
 TOLERANCE = 1e-8
 MAX_STEPS = 1000
 SPREAD = 32  # partial sums of one problem meet in this many tasks before the last
+NARROW = 4  # with so few features rows are likely to be equal and are counted first
 PARTIAL = "problem string, part int, sums array<double>"
+PARTIAL_ARROW = pa.schema([("problem", pa.string()), ("part", pa.int32()), ("sums", pa.list_(pa.float64()))])
 STATE = "problem string, beta array<double>, best array<double>, loss double, step double"
 
 
@@ -41,11 +45,15 @@ def _partial_sums(width: int) -> Callable:
 
     def run(batches):
         acc: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for problem, g in pdf.groupby("problem", sort=False):
-                x = np.column_stack([np.ones(len(g)), np.stack(g["x"].to_numpy())])
-                beta = np.asarray(g["beta"].iloc[0], dtype=float)
-                y, w = g["y"].to_numpy(dtype=float), g["w"].to_numpy(dtype=float)
+        for batch in batches:
+            table = pa.table(batch).combine_chunks().sort_by("problem")
+            names, sizes = (c.to_pylist() for c in pc.value_counts(table.column("problem").combine_chunks()).flatten())
+            at = 0
+            for problem, n in zip(names, sizes, strict=True):
+                g, at = table.slice(at, n), at + n
+                x = np.column_stack([np.ones(n), g.column("x").combine_chunks().flatten().to_numpy().reshape(n, width)])
+                beta = np.asarray(g.column("beta")[0].as_py(), dtype=float)
+                y, w = g.column("y").to_numpy(), g.column("w").to_numpy()
                 z = x @ beta
                 p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
                 loss = float((w * (np.logaddexp(0.0, z) - y * z)).sum())
@@ -55,7 +63,7 @@ def _partial_sums(width: int) -> Callable:
                 acc[problem] = acc[problem] + part if problem in acc else part
         here = TaskContext.get().partitionId() % SPREAD
         for problem, part in acc.items():
-            yield pd.DataFrame({"problem": [problem], "part": [here], "sums": [part]})
+            yield pa.RecordBatch.from_pydict({"problem": [problem], "part": [here], "sums": [part]}, schema=PARTIAL_ARROW)
 
     return run
 
@@ -105,9 +113,11 @@ def fit_logistic(rows: DataFrame, width: int, c: float = 1.0, max_iter: int = MA
     ``c * sum(w * log loss) + |coef|^2 / 2``. A problem still moving after
     ``max_iter`` steps is refused by name; features or weights that are not
     finite are refused before the first step. Steps stop for a problem once it
-    stands still, and only the others are summed again.
+    stands still, and only the others are summed again. Coefficients go to the
+    rows, which stay where they are: all rows may belong to one problem.
     """
-    rows = shared(rows.select("problem", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")))
+    rows = rows.select("problem", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    rows = shared(rows.groupBy("problem", "x", "y").agg(F.sum("w").alias("w")) if width <= NARROW else rows)
     refuse_unmeasured(rows, "x")
     zero = F.array_repeat(F.lit(0.0), width + 1)
     state = cut_lineage(rows.select("problem").distinct().select(
@@ -115,7 +125,7 @@ def fit_logistic(rows: DataFrame, width: int, c: float = 1.0, max_iter: int = MA
     moving = F.col("step").isNull() | (F.col("step") >= TOLERANCE)
     for _ in range(max_iter):
         live = state.where(moving)
-        parts = rows.join(live.select("problem", "beta"), "problem").select("problem", "x", "y", "w", "beta").mapInPandas(_partial_sums(width), PARTIAL)
+        parts = rows.join(F.broadcast(live.select("problem", "beta")), "problem").select("problem", "x", "y", "w", "beta").mapInArrow(_partial_sums(width), PARTIAL)
         parts = parts.groupBy("problem", "part").applyInPandas(_added(["problem", "part"]), PARTIAL)
         packed = parts.groupBy("problem").applyInPandas(_added(["problem"]), "problem string, sums array<double>")
         stepped = packed.join(live.select("problem", "beta", "best", "loss"), "problem").mapInPandas(_newton(width, c), STATE)

@@ -122,3 +122,34 @@ def test_a_score_that_is_no_number_never_decides(spark):
     ev = C.to_evidence(rows, curve)
     assert all(r.abstained and r.llr == 0.0 and r.reason == "not_measured" and r.raw_score is None for r in ev.collect())
     assert {r.verdict for r in C.fuse(ev).collect()} == {"insufficient_evidence"}
+
+
+def test_rows_of_one_problem_are_summed_where_they_are_and_equal_ones_once(spark, monkeypatch):
+    kept, steps, busy, plain = [], [], spark.sparkContext.accumulator(0), L._partial_sums
+
+    def spied(width):
+        run = plain(width)
+        steps.append(width)
+
+        def counted(batches):
+            batches = [b for b in batches if len(b)]
+            yield from run(iter(batches))
+            busy.add(bool(batches))
+
+        return counted
+
+    monkeypatch.setattr(L, "_partial_sums", spied)
+    monkeypatch.setattr(L, "shared", lambda df: kept.append(df.persist()) or kept[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = spark.range(0, 800, 1, 4).selectExpr("'p' AS problem", "array(double(id % 2)) AS x", "int(id % 3 = 0) AS y", "1.0 AS w")
+        L.fit_logistic(few, 1)
+        steps.clear()
+        busy.value = 0
+        wide = spark.range(0, 400, 1, 4).selectExpr("'p' AS problem", "array(id % 2, id % 3, id % 5, id % 7, id % 11) AS x", "int(id % 13 > 5) AS y", "1.0 AS w")
+        L.fit_logistic(wide, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.x[0], r.y, r.w) for r in kept[0].collect()) == [(0.0, 0.0, 266.0), (0.0, 1.0, 134.0), (1.0, 0.0, 267.0), (1.0, 1.0, 133.0)]
+    assert busy.value == 4 * len(steps)
