@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions.scalar import finite
-from assayer.functions.seed import hash_int
 from assayer.operators.curve import auc_of, tpr_of
 from assayer.operators.draws import multiplicities
 from assayer.operators.ranking import BUCKET, hash_rank, is_heavy, null_safe_join, with_value_bucket
@@ -120,18 +119,20 @@ def replicate_auc(df: DataFrame, by: Sequence[str], group: str, replicates: int,
     """(by, arms, rep, stat): the AUC of every replicate, NULL where undefined.
 
     A score carried by a large part of the cells is its own bucket and is split
-    by group: a single value has no order inside it, so its counts just add up.
+    into ranges of groups: a single value has no order inside it, so its counts
+    just add up. A range holds as many groups as a bucket rows: every call makes
+    its draws from all groups down, so many small ones would cost far more.
     """
     cells = shared(_cells(df, [*by, *arms], group, score, label))
     rows = max(500, MATRIX_CELLS // replicates)
     keys = [*by, *arms]
     b = with_value_bucket(cells, "score", alike=("pos", "neg"), rows=rows)
     x = null_safe_join(b, numbered(cells, by, group, replicates, seed), [*by, group])
-    spread = F.pmod(hash_int(seed, group), F.lit(1024))
-    x = x.select(*keys, BUCKET, "score", "pos", "neg", "place", "n", is_heavy(F.col(BUCKET)).alias("_heavy"), F.when(is_heavy(F.col(BUCKET)), spread).otherwise(0).alias("_salt"))
+    spread = F.floor(F.col("place") / rows)
+    x = x.select(*keys, BUCKET, "score", "pos", "neg", "place", "n", is_heavy(F.col(BUCKET)).alias("_heavy"), F.when(is_heavy(F.col(BUCKET)), spread).otherwise(0).alias("_range"))
     out = [*keys, BUCKET, "_heavy"]
     schema, ddl = _typed(x, out, "rep int, _p double, _n double, _u double")
-    parts = x.groupBy(*out, "_salt").applyInArrow(_count_bucket(out, replicates, seed, schema), ddl)
+    parts = x.groupBy(*out, "_range").applyInArrow(_count_bucket(out, replicates, seed, schema), ddl)
     whole = parts.groupBy(*out, "rep").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_u").alias("_u"))
     lower = Window.partitionBy(*keys, "rep").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(lower), F.lit(0.0))

@@ -56,3 +56,31 @@ def test_mean_equals_counting(spark):
         for rep in range(8):
             x = [s for k, g, s, _ in rows if k == key and s is not None for _ in range(drawn.get((k, g), []).count(rep))]
             assert got[key, rep] == pytest.approx(np.mean(x))
+
+
+def test_a_common_score_is_counted_in_few_calls(spark, many_buckets, monkeypatch):
+    """Before, each of 1,024 shares of the groups was a call, and each call makes its draws from all groups down."""
+    monkeypatch.setattr(B, "MATRIX_CELLS", 100)
+    calls, count = spark.sparkContext.accumulator(0), B._count_bucket
+
+    def counted(keys, replicates, seed, schema):
+        inner = count(keys, replicates, seed, schema)
+
+        def run(key, table):
+            if key[keys.index("_heavy")].as_py():
+                calls.add(1)
+            return inner(key, table)
+
+        return run
+
+    df = spark.range(1200).select(F.when(F.col("id") % 50 == 0, F.col("id") / 1200).otherwise(0.5).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.col("id").alias("g"))
+    plain = {r.rep: r.stat for r in B.replicate_auc(df, [], "g", 6, 2).collect()}
+    monkeypatch.setattr(B, "_count_bucket", counted)
+    assert {r.rep: r.stat for r in B.replicate_auc(df, [], "g", 6, 2).collect()} == plain
+    drawn = {r.g: list(r.reps) for r in B.draws(df, [], "g", 6, 2).collect()}
+    rows = df.collect()
+    for rep in range(6):
+        x = [(r.score, r.label) for r in rows for _ in range(drawn.get(r.g, []).count(rep))]
+        p, n = (np.array([s for s, y in x if y == k]) for k in (1, 0))
+        assert plain[rep] == pytest.approx(((p[:, None] > n) + (p[:, None] == n) / 2).mean())
+    assert calls.value == 3
