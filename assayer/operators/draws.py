@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Hashed words counted at a time, and the bits of a split's probability.
-WORDS, BITS = 1 << 21, 32
+#: Hashed words counted at a time, the bits of a split's probability, and ranges x replicates split at a time.
+WORDS, BITS, CELLS = 1 << 21, 32, 1 << 20
 _LOW = 0xFFFFFFFF
 #: Multipliers and shifts of a published 32-bit mixer.
 MIXER = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None))
@@ -69,32 +69,42 @@ def _left(seed: int, m: np.ndarray, lo: np.ndarray, size: np.ndarray, reps: np.n
     h = mix(mix(h, _low(size)[:, None]), _low((lo >> 32) ^ ((size >> 32) << 16))[:, None])
     open_, taken = m.copy(), np.zeros_like(m)
     for bit in range(BITS - 1, -1, -1):
-        live = (open_ > 0) & ((share & ((2 << bit) - 1)) > 0)[:, None]
-        if not live.any():
+        some = np.flatnonzero(share & ((2 << bit) - 1))  # after the first bit the right edge alone, all others are halved
+        if not len(some):
             break
-        ones = np.zeros_like(m)
-        ones[live] = _ones(open_[live], mix(h[live], np.uint32(bit)))
-        here = (share >> bit & 1).astype(bool)[:, None] & live
-        taken += np.where(here, open_ - ones, 0)
-        open_ = np.where(live, np.where(here, ones, open_ - ones), 0)
+        left = open_[some]
+        live = left > 0
+        ones = np.zeros_like(left)
+        ones[live] = _ones(left[live], mix(h[some][live], np.uint32(bit)))
+        here = (share[some] >> bit & 1).astype(bool)[:, None]
+        taken[some] += np.where(here, left - ones, 0)
+        open_[some] = np.where(here, ones, left - ones)
     return taken
 
 
 def multiplicities(seed: int, n: int, ranks: np.ndarray, replicates: int) -> np.ndarray:
-    """How often each replicate drew each of the groups `ranks` (0..n-1): an array of groups x replicates."""
+    """How often each replicate drew each of the groups `ranks` (0..n-1): an array of groups x replicates.
+
+    Ranges are split level by level, and from ``CELLS`` on half of them at a time: memory beyond the result stays bounded,
+    and the top of the tree, which costs as much as there are groups, is split once.
+    """
     wanted, back = np.unique(np.asarray(ranks, np.int64), return_inverse=True)
     reps = np.arange(replicates)
     out = np.zeros((len(wanted), replicates), np.int32)
-    lo, size, m = np.zeros(1, np.int64), np.full(1, n, np.int64), np.full((1, replicates), n, np.int64)
-    while len(lo):
+    todo = [(np.zeros(1, np.int64), np.full(1, n, np.int64), np.full((1, replicates), n, np.int64))]
+    while todo:
+        lo, size, m = todo.pop()
+        if len(lo) > 1 and len(lo) * replicates > CELLS:
+            half = len(lo) // 2
+            todo += [(lo[half:], size[half:], m[half:]), (lo[:half], size[:half], m[:half])]
+            continue
         at = np.searchsorted(wanted, [lo, lo + size])
         some = at[1] > at[0]
         lo, size, m, at = lo[some], size[some], m[some], at[0][some]
         single = size == 1
         out[at[single]] = m[single]
         lo, size, m = lo[~single], size[~single], m[~single]
-        if not len(lo):
-            break
-        left, half = _left(seed, m, lo, size, reps), left_part(size)
-        lo, size, m = np.concatenate((lo, lo + half)), np.concatenate((half, size - half)), np.concatenate((left, m - left))
+        if len(lo):
+            left, half = _left(seed, m, lo, size, reps), left_part(size)
+            todo.append((np.concatenate((lo, lo + half)), np.concatenate((half, size - half)), np.concatenate((left, m - left))))
     return out[back]

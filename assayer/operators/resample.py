@@ -25,7 +25,8 @@ from assayer.operators.ranking import BUCKET, hash_rank, is_heavy, null_safe_joi
 from assayer.session import shared
 
 STATISTICS = ("auc", "tpr_at_fpr", "mean")
-MATRIX_CELLS = 8_000_000  # rows x replicates one task counts at a time
+MATRIX_CELLS = 8_000_000  # rows x replicates one task makes draws for at a time
+COUNTED_CELLS = 1_000_000  # and multiplies with their counts at a time
 RANGE_GROUPS = 4096  # groups summed together
 PLAIN = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
@@ -93,22 +94,27 @@ def _count_bucket(keys: Sequence[str], replicates: int, seed: int, schema: pa.Sc
         place, groups = table.column("place").to_numpy(), table.column("n")[0].as_py()
         scores, pos, neg = (table.column(c).to_numpy() for c in ("score", "pos", "neg"))
         order = np.argsort(scores, kind="stable")
-        new = np.concatenate(([True], scores[order][1:] != scores[order][:-1])) if len(order) else np.zeros(0, bool)
-        starts = np.append(np.flatnonzero(new), len(order))
         p, n, u = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
-        step, lo = max(1, MATRIX_CELLS // replicates), 0
-        while lo < len(starts) - 1:  # so many rows at a time, whole values, totals carried
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, "right")) - 1)
-            a, b = np.zeros((hi - lo, replicates)), np.zeros((hi - lo, replicates))
-            for at in range(starts[lo], starts[hi], step):
-                rows = order[at : min(at + step, starts[hi])]
-                value = np.searchsorted(starts, np.arange(at, at + len(rows)), "right") - 1 - lo
+        step, part = max(1, MATRIX_CELLS // replicates), max(1, COUNTED_CELLS // replicates)
+        last, open_ = None, np.zeros((2, 1, replicates))  # the value that later rows may still carry, and its counts
+        for at in range(0, len(order), step):
+            w = multiplicities(seed, groups, place[order[at : at + step]], replicates)
+            for lo in range(0, len(w), part):
+                rows, times = order[at + lo : at + min(lo + part, len(w))], w[lo : lo + part]
+                value = scores[rows]
                 heads = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-                w = multiplicities(seed, groups, place[rows], replicates)
-                a[value[heads]] += np.add.reduceat(w * pos[rows, None], heads, axis=0)
-                b[value[heads]] += np.add.reduceat(w * neg[rows, None], heads, axis=0)
-            u += (a * (n + np.cumsum(b, axis=0) - b / 2.0)).sum(axis=0)
-            p, n, lo = p + a.sum(axis=0), n + b.sum(axis=0), hi
+                a, b = (np.add.reduceat(times * c[rows, None], heads, axis=0).astype(float) for c in (pos, neg))
+                if value[0] == last:
+                    a[0] += open_[0][0]
+                    b[0] += open_[1][0]
+                else:
+                    a, b = np.concatenate((open_[0], a)), np.concatenate((open_[1], b))
+                last, open_ = value[-1], np.stack((a[-1:], b[-1:]))
+                a, b = a[:-1], b[:-1]
+                u += (a * (n + np.cumsum(b, axis=0) - b / 2.0)).sum(axis=0)
+                p, n = p + a.sum(axis=0), n + b.sum(axis=0)
+        u += open_[0][0] * (n + open_[1][0] / 2.0)
+        p, n = p + open_[0][0], n + open_[1][0]
         return pa.Table.from_arrays([*_fixed(key, keys, schema, replicates), pa.array(p), pa.array(n), pa.array(u)], schema=schema)
 
     return run
