@@ -1,15 +1,18 @@
 """Exact Jaccard links of word n-gram sets, found with R-trees over group counts.
 
-1. A table of SLOTS counters tells how common each n-gram is, to a power of two. Each document offers its rarest n-grams,
-   just so many that two sets of the wanted similarity must have one of them in common whatever they are; documents meet
-   in the buckets of what they offer.
+1. A table of SLOTS counters tells how common each n-gram is, to a STEPS-th of a doubling: in a large corpus every slot is
+   full of n-grams that occur once, and a passage of hundreds of documents must still stand out. Each document offers its
+   rarest n-grams, just so many that two sets of the wanted similarity must have one of them in common whatever they are;
+   documents meet in the buckets of what they offer.
 2. The n-grams of a set are hashed into groups, and the group counts are a point: GROUPS of them, for a large set so many
    more that PER_GROUP n-grams fall into one. In each bucket an R-tree holds the points, folded to GROUPS: a box keeps the
    largest count of each group and the smallest set size. Two sets share at most the sum of the smaller counts, two boxes
    no more than the sum over their corners; pairs whose bound is too small are left out, pairs of large sets once more
-   by their finer points.
-3. What survives is gathered by connected candidates and verified from the sets themselves, again down an R-tree. Pairs
-   that are already in one group are not looked at.
+   by their finer points. A bucket of more than WIDE points is cut into pieces, of which those meet that are not
+   connected after all pieces are done.
+3. What survives is gathered by connected candidates, so a set stands in one room however many buckets it shares with the
+   others there, and verified from the sets themselves, again down an R-tree. Pairs that are already in one group are not
+   looked at. A large room is cut into pieces twice, at random, which connects a large group; only the rest meets again.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from assayer.llm.words import mix, shingles, slices, texts_of
 
 #: Words of an n-gram; two sets link at so many hundredths of their union.
 WIDTH, PERCENT = 4, 85
-#: Counters of n-grams, and how many doublings over the median make one hot; groups of a point, n-grams of a large set in one.
-SLOTS, HOT, GROUPS, PER_GROUP = 1 << 19, 5, 128, 20
-#: Sets, and n-grams in them, that are compared in one task; members of a leaf and of a box.
-TILE, TILE_GRAMS, FAN = 512, 4 << 20, 16
+#: Counters of n-grams, levels of a doubling, and how many doublings over the median make one hot.
+SLOTS, STEPS, HOT = 1 << 19, 6, 5
+#: Groups of a point, n-grams of a large set in one.
+GROUPS, PER_GROUP = 128, 20
+#: Sets, and n-grams in them, that are compared in one task; so many times the sets are points; members of a leaf and of a box.
+TILE, TILE_GRAMS, WIDE, FAN = 512, 4 << 20, 4, 16
+#: 64-bit words of the table that tells which texts are read again.
+WORDS = 1 << 17
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -38,7 +45,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.ndarray:
-    """For each slot of n-gram hashes the power of two below its count in all documents, repeats within one included.
+    """For each slot of n-gram hashes the doublings in its count in all documents, in STEPS-ths, repeats within one included.
 
     Each task counts by itself and sends its counters in blocks, so what is moved depends on the tasks, not on the text.
     """
@@ -55,7 +62,7 @@ def rarity(docs: DataFrame, text: str = "text", width: int = WIDTH) -> np.ndarra
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        level = np.floor(np.log2(total + 1)).astype(np.uint8)
+        level = np.minimum(STEPS * np.log2(total + 1), 255).astype(np.uint8)
         return pa.table([table.column("block").slice(0, 1), pa.array([level.tobytes()])], names=["block", "level"])
 
     told = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, level binary")
@@ -81,6 +88,16 @@ def _point(grams: np.ndarray) -> bytes:
     return np.bincount((grams % np.uint64(n)).astype(np.int64), minlength=n).astype(np.int32).tobytes()
 
 
+def _packed(point: bytes) -> bytes:
+    """A point as it is moved: a byte for a count, or four and one more at the end if a count needs them."""
+    counts = np.frombuffer(point, np.int32)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else point + b"\0"
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:-1], np.int32) if len(raw) % 2 else np.frombuffer(raw, np.uint8).astype(np.int32)
+
+
 def _fold(point: np.ndarray, groups: int) -> np.ndarray:
     """The counts of fewer groups; both numbers are powers of two times GROUPS."""
     return point.reshape(-1, groups).sum(axis=0)
@@ -93,7 +110,7 @@ def _prints(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -
     """
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(rarity(docs, text, width))
-    hot = int(np.median(level.value[level.value > 0])) + HOT if level.value.any() else HOT
+    hot = int(np.median(level.value[level.value > 0])) + STEPS * HOT if level.value.any() else STEPS * HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -109,7 +126,7 @@ def _prints(docs: DataFrame, id_col: str, text: str, width: int, percent: int) -
                         points.append(None), cold.append(None), common.append(None)
                         continue
                     seen.add(node[-1])
-                    points.append(_point(u))
+                    points.append(_packed(_point(u)))
                     rare = level.value[_slot(u)]
                     n = offered(len(u), percent)
                     best = np.argpartition((rare.astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8)), n - 1)[:n]
@@ -246,7 +263,7 @@ def _columns(table: pa.Table) -> tuple:
     tile, node, side = (table.column(c).to_numpy() for c in ("tile", "node", "side"))
     order = np.lexsort((node, tile))
     raw = table.column("point").to_pylist()
-    points = [np.frombuffer(raw[k], np.int32) for k in order]
+    points = [_unpacked(raw[k]) for k in order]
     cuts = np.flatnonzero(np.concatenate(([True], tile[order][1:] != tile[order][:-1], [True]))) if len(tile) else np.zeros(1, np.int64)
     return order, node[order], side[order], points, cuts
 
@@ -288,10 +305,20 @@ def _do_link(percent: int):
     return run
 
 
+def _asked_for(texts: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The rows of texts whose text_key is one of the tiles', and few others, so that those need not be moved.
+
+    A bit for each key in a table of at most WORDS rows; a bit that keys share lets a text through that the join drops.
+    """
+    word, bit = F.expr(f"pmod(text_key, {WORDS})"), "shiftleft(1L, cast(pmod(shiftright(text_key, 40), 64) as int))"
+    asked = tiles.groupBy(word.alias("word")).agg(F.expr(f"bit_or({bit})").alias("bits"))
+    return texts.withColumn("word", word).join(F.broadcast(asked), "word").where(f"bits & {bit} <> 0").drop("word", "bits")
+
+
 def _with_sets(docs: DataFrame, text: str, tiles: DataFrame, width: int) -> DataFrame:
     """(tile, node, side, n, point, grams): each tile's sets, from a second read of the texts, which are found by their hash.
 
-    Copies of a text fall together before it is hashed.
+    Copies of a text fall together before it is hashed. The join is by sorting whatever the sizes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +328,12 @@ def _with_sets(docs: DataFrame, text: str, tiles: DataFrame, width: int) -> Data
                 h, to = shingles(texts[lo:hi], width)
                 sets = [np.unique(h[a:z]) for a, z in zip(to[:-1], to[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array([len(u) for u in sets], pa.int64()), pa.array([_point(u) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())],
+                    [*(b.column(k).slice(lo, hi - lo) for k in range(3)), pa.array([len(u) for u in sets], pa.int64()), pa.array([_packed(_point(u)) for u in sets], pa.binary()), pa.array([u.tobytes() for u in sets], pa.binary())],
                     ["tile", "node", "side", "n", "point", "grams"],
                 )
 
     src = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    found = src.join(tiles, "text_key").dropDuplicates(["text_key", "tile", "side"])
+    found = _asked_for(src, tiles).join(tiles.hint("merge"), "text_key").dropDuplicates(["text_key", "tile", "side"])
     return found.select("tile", "node", "side", "text").mapInArrow(run, "tile long, node long, side int, n long, point binary, grams binary")
 
 
@@ -327,15 +354,31 @@ def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: in
         return max(partitions(spark), -(-grams // most))
 
     offer = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    small = member.where(f"m <= {tile}").select(F.col("key").alias("tile"), "node", F.lit(0).alias("side")).join(points, "node")
-    dealt = small.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups_of(offer, 4 * TILE_GRAMS))))
-    candidate = components(dealt.groupBy("g").applyInArrow(_may_link(percent), "a long, b long").distinct())
+    wide = WIDE * tile
+
+    def near(tiles: DataFrame) -> DataFrame:
+        rows = tiles.join(points.select("node", "n", "point"), "node")
+        groups = max(groups_of(offer, 4 * TILE_GRAMS), tiles.count() >> 16)
+        dealt = rows.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups)))
+        return dealt.groupBy("g").applyInArrow(_may_link(percent), "a long, b long").distinct()
+
+    part = F.when(F.col("m") <= wide, F.col("key")).otherwise(F.xxhash64("key", F.expr(f"pmod(xxhash64(node, key), cast(ceil(m / {wide}) as long))")))
+    bound = keep(near(member.select(part.alias("tile"), "node", F.lit(0).alias("side"))), "bound")
+    large = member.where(f"m > {wide}")
+    if not large.isEmpty():
+        rooted = components(bound)
+        again = large.join(rooted, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(1.0).alias("weight"))
+        again = keep(meetings(again, wide // 2), "meetings")
+        if not again.isEmpty():
+            first, bound = bound, keep(bound.unionByName(near(again)), "bound")
+            release(first)
+        release(rooted, again)
+    candidate = components(bound)
     together = candidate.select(F.xxhash64("root", F.lit(1)).alias("key"), "node")
-    rooms = together.unionByName(member.where(f"m > {tile}").select(F.xxhash64("key", F.lit(2)).alias("key"), "node"))
-    rough = keep(rooms.join(points.select("node", "n", "text_key"), "node"), "rooms")
+    rough = keep(together.join(points.select("node", "n", "text_key"), "node"), "rooms")
     sizes = rough.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_GRAMS)).alias("pieces"))
     rooms = keep(rough.join(sizes, "key"), "rooms")
-    release(live, member, rough, candidate)
+    release(live, member, bound, rough, candidate)
 
     def edges(tiles: DataFrame) -> DataFrame:
         grams = tiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -343,9 +386,9 @@ def links(docs: DataFrame, prints: DataFrame, text: str, width: int, percent: in
         dealt = sets.withColumn("g", F.pmod(F.xxhash64("tile", F.lit(9)), F.lit(groups_of(grams, TILE_GRAMS))))
         return dealt.groupBy("g").applyInArrow(_do_link(percent), "a long, b long").distinct()
 
-    piece = F.xxhash64("key", F.expr("pmod(xxhash64(node, key), pieces)"))
-    # the first join is by sorting whatever the sizes; what meets again is little, and its join left to Spark
-    found = keep(edges(rooms.select("text_key", piece.alias("tile"), "node", F.lit(0).alias("side"), "n").hint("merge")), "links")
+    deals = rooms.withColumn("deal", F.explode(F.when(F.col("pieces") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    piece = F.xxhash64("key", "deal", F.expr("pmod(xxhash64(node, key, deal), pieces)"))
+    found = keep(edges(deals.select("text_key", piece.alias("tile"), "node", F.lit(0).alias("side"), "n")), "links")
     if rooms.where("pieces > 1").isEmpty():  # every key was compared whole
         release(points, rooms)
         return found

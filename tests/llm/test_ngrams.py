@@ -142,3 +142,45 @@ def test_offers_of_linked_sets_meet():
             rank = {x: k for k, x in enumerate(order)}
             offer = lambda s: set(sorted(s, key=rank.get)[: ngrams.offered(len(s), 85)])  # noqa: E731, B023
             assert offer(a) & offer(b)
+
+
+def test_a_set_stands_in_two_tiles_however_many_buckets_it_shares(make, monkeypatch):
+    """Near copies of one text share many large buckets; their texts are not read once for each of these."""
+    monkeypatch.setattr(ngrams, "TILE", 8)
+    read, with_sets = [], ngrams._with_sets
+
+    def counted(docs, text, tiles, width):
+        read.append(tiles.count())
+        return with_sets(docs, text, tiles, width)
+
+    monkeypatch.setattr(ngrams, "_with_sets", counted)
+    rng = random.Random(6)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(80):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    assert found(ngrams.near_duplicates(make(rows))) == brute(rows)
+    assert read[0] == 2 * 80
+
+
+def test_points_are_moved_as_bytes_where_counts_allow():
+    for counts in ([0, 3, 255, 1], [0, 3, 256, 70000]):
+        point = np.array(counts, np.int32).tobytes()
+        raw = ngrams._packed(point)
+        assert len(raw) == (4 if max(counts) < 256 else 17)
+        assert ngrams._unpacked(raw).tolist() == counts
+
+
+def test_texts_that_no_tile_asks_for_are_not_moved(spark):
+    texts = spark.range(-3000, 3000).selectExpr("xxhash64(id) as text_key", "id as text")
+    tiles = texts.where("text % 50 = 0").select("text_key")
+    got = {r.text for r in ngrams._asked_for(texts, tiles).collect()}
+    assert set(range(-3000, 3000, 50)) <= got and len(got) < 200
+
+
+def test_levels_tell_a_passage_in_full_slots(spark):
+    """Counts of 1,100 and 1,500 are within one doubling, and have different levels."""
+    texts = ["a b c d"] * 1100 + ["e f g h"] * 1500
+    level = ngrams.rarity(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(set(level[level > 0].tolist())) == 2
