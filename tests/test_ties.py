@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from assayer.plans.catalog import QUERIES
+from assayer.plans.catalog import ORACLES, QUERIES
 
 
 def lineitem(folder, rows):
@@ -29,3 +29,24 @@ def test_a_discount_on_the_floor_is_not_below_it(spark, tmp_path, upward):
     rows = sorted([(0.04, 0.0)] * 5 + [(0.06, 0.0)] * 5, reverse=upward)
     got = QUERIES["L9_null_verdict"](spark, lineitem(tmp_path, rows)).collect()
     assert [r.verdict for r in got] == ["outside_above_floor"]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_a_mean_on_the_floor_falls_where_the_sum_in_row_order_falls(spark, sf):
+    """Suppliers whose mean discount is exactly 0.05, of which the SQL's sum of doubles stays short."""
+    folder = f"/root/testdata/sf{sf}"
+    got = {r.run: r.verdict for r in QUERIES["L9_null_verdict"](spark, folder).where("run in (2, 35, 60)").collect()}
+    assert got == {"0.001": {2: "outside_below_floor"}, "0.01": {2: got.get(2), 35: "outside_below_floor", 60: "outside_below_floor"}}[sf]
+
+
+def test_rows_of_a_supplier_in_many_files_are_added_in_one_order(spark, tmp_path):
+    """Parts of a supplier's rows in other files and tasks: one verdict a supplier, that of the SQL over the files in order."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    source = "read_parquet('/root/testdata/sf0.01/lineitem.parquet', file_row_number = true)"
+    for k in range(4):
+        con.execute(f"COPY (SELECT * EXCLUDE file_row_number FROM {source} WHERE file_row_number // 15000 = {k}) TO '{tmp_path}/lineitem.parquet/part-{k}.parquet' (FORMAT parquet)")
+    got = QUERIES["L9_null_verdict"](spark, str(tmp_path)).collect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM {source}")
+    assert sorted((r.run, r.verdict or "") for r in got) == sorted((k, v or "") for k, v in con.execute(ORACLES["L9_null_verdict"]).fetchall())
